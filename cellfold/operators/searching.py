@@ -16,10 +16,10 @@ HIT_LIMIT = 200
 def _class_end(text: str, at: int) -> int:
     """Where the class opened at ``at`` closes; -1 when it does not.
 
-    A bracket straight after the opening (or after its !) is a member.
+    A bracket straight after the opening (or after its ! or ^) is a member.
     """
     first = at + 1
-    if text[first:first + 1] == "!":
+    if text[first:first + 1] in ("!", "^"):
         first += 1
     return text.find("]", first + 1)
 
@@ -54,7 +54,7 @@ def to_regex(pattern: str) -> str:
         elif letter == "[":
             end = _class_end(pattern, at)
             body = pattern[at + 1:end]
-            negated = body.startswith("!")
+            negated = body.startswith(("!", "^"))
             body = body[1:] if negated else body
             members, k = [], 0
             while k < len(body):
@@ -83,7 +83,7 @@ def _quoted(letter: str) -> str:
 
 def _literal(pattern: str) -> str:
     """The longest run of plain letters every match has to contain."""
-    bare = re.sub(r"\[!?.[^\]]*\]", "*", pattern)
+    bare = re.sub(r"\[[!^]?.[^\]]*\]", "*", pattern)
     return max(re.split(r"[*?]", bare), key=len)
 
 

@@ -1,8 +1,9 @@
 """Saved views against a catalog.
 
-``views`` is [view, line, path, is_time_base, subscript_rank]: one row per line
-a view draws, plus one for its time base.  ``nodes`` has ``kind`` and, for
-datasets, ``type`` (the type's description), ``numeric`` and ``rank``.
+``views`` is [view, line, path, held_axes]: one row per line a view draws, plus
+one for its time base; ``held_axes`` is how many axes the line's subscript holds
+at an index.  ``nodes`` has ``kind`` and, for datasets, ``type`` (the type's
+description), ``numeric`` and ``rank``.
 """
 
 from __future__ import annotations
@@ -49,8 +50,7 @@ def view_match(views: DataFrame, nodes: DataFrame, names: DataFrame | None = Non
 def view_issues(views: DataFrame, nodes: DataFrame) -> DataFrame:
     """[view, line, path, reason] of every line of a view that cannot be drawn.
 
-    ``axes_left`` of a line is the number of axes its subscript holds on to
-    an index; a line is drawn when exactly one axis is left.
+    A line is drawn when its subscript leaves exactly one axis.
     """
     facts = nodes.select("path", "kind", "type", "numeric", "rank")
     left = F.col("rank") - F.col("held_axes")
@@ -65,10 +65,11 @@ def view_issues(views: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:
-    """[view, issues, reasons]: what is wrong with each view, on one line."""
-    text = F.concat(F.col("line"), F.lit(" - "), F.col("reason"))
-    gathered = issues.groupBy("view").agg(F.count(F.lit(1)).alias("issues"), F.sort_array(F.collect_list(text)).alias("_l"))
-    return gathered.select("view", "issues", F.array_join("_l", "; ").alias("reasons"))
+    """[view, reason, issues]: how many lines of each view have which problem.
+
+    The lines themselves stay rows of ``view_issues``: a view may name millions.
+    """
+    return issues.groupBy("view", "reason").agg(F.count(F.lit(1)).alias("issues"))
 
 
 def rank_views(matched: DataFrame) -> DataFrame:
