@@ -153,6 +153,6 @@ def _(spark, d):
     width = F.when(kind == 0, 1).when(kind == 1, 2).when(kind == 2, 4).when(kind == 3, 8)
     sets = docs.select(path, width.alias("int_width"), (F.col("n_chars") % 7 < 3).alias("signed"))
     cells = scan(spark, d, "labels", ["doc_id", "quality", "toxic"]).select(
-        path, F.explode(F.array("quality", "toxic")).cast("double").alias("v"))
+        path, F.explode(F.array("quality", "toxic").cast("array<double>")).alias("v"))
     images = rasters.classify_images(image_shapes(spark, d), image_attrs(spark, d))
     return rasters.value_range(sets, images, cells)

@@ -23,7 +23,8 @@ def records(spark, d):
 
 # Shortest text of a DOUBLE of moderate size: DuckDB's, without a trailing .0.
 def plain(value):
-    return f"regexp_replace(CAST({value} AS VARCHAR), '\\.0$', '')"
+    # … and with an exponent where that is shorter: one digit before five zeros.
+    return f"regexp_replace(regexp_replace(CAST({value} AS VARCHAR), '\\.0$', ''), '^([1-9])00000$', '\\1e+05')"
 
 
 RECORDS = f"""records AS (

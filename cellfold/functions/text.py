@@ -15,38 +15,45 @@ MAX_DECIMALS = 17
 def shortest(value: Column) -> Column:
     """The shortest text that reads back as the same double.
 
-    Plain digits unless the exponent form is shorter: 100, 0.25, 1e+22.
+    Plain digits unless the exponent form is shorter: 100, 0.25, 1e+05.  The
+    digits are Java's; before Java 19 those are one too many for a few doubles.
     """
     v = value.cast("double")
     text = F.abs(v).cast("string")
-    mantissa = F.split_part(text, F.lit("E"), F.lit(1))
-    power = F.when(F.contains(text, F.lit("E")), F.split_part(text, F.lit("E"), F.lit(2)).cast("int")).otherwise(0)
-    whole = F.split_part(mantissa, F.lit("."), F.lit(1))
-    part = F.split_part(mantissa, F.lit("."), F.lit(2))
-    raw = F.concat(whole, part)
-    lead = F.length(raw) - F.length(F.ltrim(raw, F.lit("0")))
-    digits = F.rtrim(F.ltrim(raw, F.lit("0")), F.lit("0"))
-    # The value is 0.digits * 10 ** point.
-    point = F.length(whole) + power - lead
+    # Spark writes 0.001 … 10 million plainly; of those, only a single digit
+    # before five or six zeros is shorter with an exponent.
+    plain = F.regexp_replace(text, r"\.0$", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, "^([1-9])0{5}$", "$1e+05"), "^([1-9])0{6}$", "$1e+06")
+    # Everything else is d.ddE±p.
+    digits = F.regexp_replace(F.regexp_extract(text, "^([^E]*)", 1), r"\.0$|\.", "")
+    power = F.regexp_extract(text, "E(.*)$", 1).try_cast("int")
+    # Plain digits of a large whole number are those of its exact value.
+    whole = F.when(F.abs(v) < F.lit(9.2e18), F.abs(v)).cast("bigint").cast("string")
+    far = _placed(digits, power, whole)
+    shown = F.when(F.contains(text, F.lit("E")), far).otherwise(plain)
+    negative = (v < 0) | (v.cast("string") == "-0.0")
+    return (F.when(F.isnan(v), F.lit(NOT_A_NUMBER)).when(v == float("inf"), F.lit(INFINITE))
+            .when(v == float("-inf"), F.lit(MINUS_INFINITE))
+            .when(negative, F.concat(F.lit("-"), shown)).otherwise(shown))
+
+
+def _placed(digits: Column, power: Column, whole: Column) -> Column:
+    """``d.dd * 10 ** power`` in whichever form is shorter, plain when they tie."""
     n = F.length(digits)
-    exponent = point - 1
-    fixed = (
-        F.when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
-        .when(point > 0, F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+    plain_size = F.when(power < 0, n + 1 - power).otherwise(F.greatest(power + 1, n + 1))
+    plain_size = F.when((power >= 0) & (power == n - 1), n).otherwise(plain_size)
+    science_size = n + F.when(n > 1, 3).otherwise(2) + F.when(F.abs(power) > 99, 3).otherwise(2)
+    plain = (
+        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(power >= n - 1, F.coalesce(whole, F.rpad(digits, power + 1, F.lit("0"))))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n)))
     )
-    size = F.abs(exponent).cast("string")
     science = F.concat(
-        F.substring(digits, F.lit(1), F.lit(1)),
-        F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""),
-        F.when(exponent < 0, F.lit("e-")).otherwise("e+"),
-        F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size),
+        F.regexp_replace(digits, "^(.)(.+)$", "$1.$2"),
+        F.when(power < 0, F.lit("e-")).otherwise("e+"),
+        F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")),
     )
-    plain = F.when(F.length(fixed) <= F.length(science), fixed).otherwise(science)
-    unsigned = F.when(v == 0, F.lit("0")).otherwise(plain)
-    signed = F.when(v.cast("string").startswith("-"), F.concat(F.lit("-"), unsigned)).otherwise(unsigned)
-    return (F.when(F.isnan(v), F.lit(NOT_A_NUMBER)).when(v == float("inf"), F.lit(INFINITE))
-            .when(v == float("-inf"), F.lit(MINUS_INFINITE)).otherwise(signed))
+    return F.when(plain_size <= science_size, plain).otherwise(science)
 
 
 def _is_float(kind: T.DataType) -> bool:
