@@ -124,7 +124,7 @@ def _levels(first: int, count: int) -> str:
 @check("pyramid", _levels(64, 12))
 def _(spark, d):
     lines, n = event_line(spark, d)
-    return summaries.pyramid(lines, 64, n, small=50)
+    return summaries.pyramid(lines, 64, n, series_count=1)
 
 
 @check("coarsen", f"WITH {EVENTS}, {envelope_sql('line', '48')} SELECT * FROM pairs")
@@ -147,7 +147,7 @@ p AS (SELECT e.series, e.bucket, any_value(lo) AS lo, any_value(hi) AS hi, 137 +
 SELECT series, bucket, CASE WHEN hi_at < lo_at THEN 1 ELSE 0 END AS slot, lo_at AS pos, lo AS v FROM p
 UNION ALL SELECT series, bucket, CASE WHEN hi_at < lo_at THEN 0 ELSE 1 END, hi_at, hi FROM p""")
 def _(spark, d):
-    return summaries.closer_look(event_line(spark, d)[0], 137, 800, 30)
+    return summaries.closer_look(event_line(spark, d)[0], 137, 800, 30, series_count=1)
 
 
 def _log_sql(source: str, lo: str, hi: str, columns: int) -> str:
@@ -170,7 +170,7 @@ WITH line AS (SELECT 'events' AS series, event_id AS pos, 0.5e0 * event_id AS x,
 {_log_sql('line', '3e0', '700e0', 64)}""")
 def _(spark, d):
     lines, _ = event_line(spark, d)
-    return summaries.log_columns(elementwise.range_axis(lines, 0, 0.5), 3.0, 700.0, 64)
+    return summaries.log_columns(elementwise.range_axis(lines, 0, 0.5), 3.0, 700.0, 64, series_count=1)
 
 
 @check("log_columns_against", f"""
@@ -304,8 +304,10 @@ def _(spark, d):
 
 
 @check("time_edges", """
-SELECT 1704067200e0 + c_custkey * 977 AS x,
-       (SELECT count(*) FROM events WHERE epoch_us(ts) / 1e6 < 1704067200e0 + c_custkey * 977) AS before FROM customer""")
+WITH mixed AS (SELECT 1704067200e0 + c_custkey * 977 AS x, 0 AS kind FROM customer
+               UNION ALL SELECT epoch_us(ts) / 1e6, 1 FROM events),
+ran AS (SELECT x, kind, sum(kind) OVER (ORDER BY x, kind ROWS UNBOUNDED PRECEDING) AS n FROM mixed)
+SELECT x, CAST(n AS BIGINT) AS before FROM ran WHERE kind = 0""")
 def _(spark, d):
     edges = scan(spark, d, "customer", ["c_custkey"]).select((F.lit(1704067200.0) + F.col("c_custkey") * 977).alias("x"))
     return ordering.time_edges(event_base(spark, d), edges)

@@ -145,19 +145,28 @@ def _sides_in_gaps(probes: DataFrame, samples: DataFrame, bounds: np.ndarray) ->
     folded = fold_extremes(rows, ["series", "_g"], carry=["_v"])
     low = F.struct(F.col("lo_at").alias("pos"), F.col("lo").alias("x"), F.col("lo__v").alias("v"))
     high = F.struct(F.col("hi_at").alias("pos"), F.col("hi").alias("x"), F.col("hi__v").alias("v"))
-    ends = folded.select("series", "_g", low.alias("_first"), high.alias("_last"),
-                         *[F.lit(None).cast(t).alias(n) for n, t in probes.select("probe", "x").dtypes])
+    ends = folded.select("series", "_g", low.alias("_first"), high.alias("_last"), F.lit(None).cast("double").alias("x"))
     none = F.lit(None).cast(dict(ends.dtypes)["_first"])
-    # A probe stands at the end of its own gap: before it lies x < probe.
-    asked = probes.select("series", (_gap_of(bounds, "left")("x")).alias("_g"), none.alias("_first"),
-                          none.alias("_last"), "probe", "x")
-    both = ends.unionByName(asked)
-    # At most one row per probe and per gap between probes in each partition.
-    order = Window.partitionBy("series").orderBy("_g", F.col("probe").isNotNull())
-    back = order.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
-    return both.select("probe", "series", "x", F.last("_last", True).over(back).alias("_low"),
-                       F.first("_first", True).over(ahead).alias("_high")).where(F.col("probe").isNotNull())
+    # A probe stands at the end of its own gap: before it lies x < probe.  One
+    # row per place asked about, so a window holds a gap and a probe per bound.
+    asked = probes.select("series", F.col("x").cast("double").alias("x")).distinct().select(
+        "series", _gap_of(bounds, "left")("x").alias("_g"), none.alias("_first"), none.alias("_last"), "x")
+    found = _both_sides(ends.unionByName(asked), ["series"], ["_g", F.col("x").isNotNull()], "_last", "_first")
+    places = found.where(F.col("x").isNotNull()).select("series", "x", "_low", "_high")
+    return probes.join(small_side(places), ["series", "x"])
+
+
+def _both_sides(rows: DataFrame, keys: list[str], order: list, low: str, high: str) -> DataFrame:
+    """Nearest non-null ``low`` at or before each row and ``high`` at or after it.
+
+    Looking ahead is looking back along the turned order: a frame that runs to
+    the end of the partition would be walked again for every row.
+    """
+    along = [F.col(o) if isinstance(o, str) else o for o in order]
+    ahead = Window.partitionBy(*keys).orderBy(*[o.desc() for o in along])
+    back = Window.partitionBy(*keys).orderBy(*along)
+    so_far = lambda window: window.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"_low": F.last(low, True).over(so_far(back)), "_high": F.last(high, True).over(so_far(ahead))})
 
 
 def _sides_in_order(probes: DataFrame, samples: DataFrame) -> DataFrame:
@@ -172,18 +181,21 @@ def _sides_in_order(probes: DataFrame, samples: DataFrame) -> DataFrame:
     blocks = _ordered_blocks(asked.unionByName(held), ["series", "_x", "_kind", "pos", "probe"])
     sample = F.when(F.col("_kind") == 1, F.struct("pos", F.col("_x").alias("x"), F.col("_v").alias("v")))
     marked = blocks.withColumn("_s", sample)
-    order = Window.partitionBy("series", "_block").orderBy("_row")
-    inside = marked.withColumns({
-        "_low": F.last("_s", True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "_high": F.first("_s", True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-    }).where(F.col("_kind") == 0)
+    inside = _both_sides(marked, ["series", "_block"], ["_row"], "_s", "_s").where(F.col("_kind") == 0)
     at = F.when(F.col("_kind") == 1, F.col("_row"))
-    outer = marked.groupBy("series", "_block").agg(F.min_by("_s", at).alias("_f"), F.max_by("_s", at).alias("_l"))
+    # Column by column: a struct in an aggregate's buffer would have Spark sort every row for it.
+    ends = {"_f": F.min_by, "_l": F.max_by}
+    outer = marked.groupBy("series", "_block").agg(*[
+        pick(name, at).alias(f"{end}_{name}") for end, pick in ends.items() for name in ("pos", "_x", "_v")])
+    outer = outer.select("series", "_block", *[
+        F.when(F.col(f"{end}_pos").isNotNull(), F.struct(
+            F.col(f"{end}_pos").alias("pos"), F.col(f"{end}__x").alias("x"), F.col(f"{end}__v").alias("v"))).alias(end)
+        for end in ends])
     # One row per series and block it touches.
-    along = Window.partitionBy("series").orderBy("_block")
-    before = F.last("_l", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("_f", True).over(along.rowsBetween(1, Window.unboundedFollowing))
-    carried = small_side(outer.select("series", "_block", before.alias("_before"), after.alias("_after")))
+    before = F.lag("_low").over(Window.partitionBy("series").orderBy("_block"))
+    after = F.lead("_high").over(Window.partitionBy("series").orderBy("_block"))
+    sides = _both_sides(outer, ["series"], ["_block"], "_l", "_f")
+    carried = small_side(sides.select("series", "_block", before.alias("_before"), after.alias("_after")))
     joined = inside.join(carried, ["series", "_block"])
     return joined.select("probe", "series", F.col("_x").alias("x"),
                          F.coalesce("_low", "_before").alias("_low"), F.coalesce("_high", "_after").alias("_high"))

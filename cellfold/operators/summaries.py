@@ -29,25 +29,28 @@ def _finite() -> Column:
     return F.when(is_finite("v"), F.col("v"))
 
 
-def _values(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min(_finite()).alias("lo"), F.max(_finite()).alias("hi"))
+def _values(rows: DataFrame, keys: list[str], spread: dict[str, Column]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.min(_finite()).alias("lo"), F.max(_finite()).alias("hi"), F.min("pos").alias("start"),
+        *[e.alias(n) for n, e in spread.items()])
 
 
 def _by_hash(rows: DataFrame, values: DataFrame, keys: list[str], spread: dict[str, Column],
-             carry: list[str]) -> DataFrame:
-    """Earliest position of each extreme; ``values`` is marked for broadcast."""
-    seen = rows.join(values, keys)
+             carry: list[str], constant: list[str]) -> DataFrame:
+    """Earliest position of each extreme; ``values`` is marked for broadcast.
+
+    Only the rows that hold an extreme pass the join, and one of a bucket that
+    holds nothing finite.
+    """
     low, high = F.col("v") == F.col("lo"), F.col("v") == F.col("hi")
+    seen = rows.join(values, keys).where(low | high | (F.col("lo").isNull() & (F.col("pos") == F.col("start"))))
     at_low, at_high = F.when(low, F.col("pos")), F.when(high, F.col("pos"))
     more = []
     for name in carry:
         more.append(F.min_by(F.when(low, F.col(name)), at_low).alias(f"lo_{name}"))
         more.append(F.min_by(F.when(high, F.col(name)), at_high).alias(f"hi_{name}"))
-    return seen.groupBy(*keys).agg(
-        F.max("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.min(at_low).alias("lo_at"), F.min(at_high).alias("hi_at"),
-        F.min("pos").alias("start"), *more, *[e.alias(n) for n, e in spread.items()],
-    )
+    same = [F.max(name).alias(name) for name in ("lo", "hi", "start", *spread, *constant)]
+    return seen.groupBy(*keys).agg(*same, F.min(at_low).alias("lo_at"), F.min(at_high).alias("hi_at"), *more)
 
 
 def _by_pair(rows: DataFrame, keys: list[str], spread: dict[str, Column], carry: list[str]) -> DataFrame:
@@ -65,23 +68,25 @@ def _by_pair(rows: DataFrame, keys: list[str], spread: dict[str, Column], carry:
 
 
 def fold_extremes(rows: DataFrame, keys: list[str], spread: dict[str, Column] | None = None,
-                  groups: int | None = None, carry: list[str] | None = None) -> DataFrame:
+                  groups: int | None = None, carry: list[str] | None = None,
+                  constant: list[str] | None = None) -> DataFrame:
     """[*keys, lo, hi, lo_at, hi_at, start] of rows with ``pos`` and ``v``.
 
     ``groups`` is a proven bound on the number of different keys, when there is
     one; without it the buckets are counted before they are broadcast.
+    ``constant`` columns have one value throughout and are handed on.
     """
-    spread, carry = spread or {}, carry or []
+    spread, carry, constant = spread or {}, carry or [], constant or []
     if groups is not None and groups > BROADCAST_ROWS:
-        return _by_pair(rows, keys, spread, carry)
-    values = _values(rows, keys)
+        return _by_pair(rows, [*keys, *constant], spread, carry)
+    values = _values(rows, keys, spread)
     if groups is not None:
-        return _by_hash(rows, F.broadcast(values), keys, spread, carry)
+        return _by_hash(rows, F.broadcast(values), keys, spread, carry, constant)
     head = values.limit(BROADCAST_ROWS + 1).toArrow()
     if head.num_rows > BROADCAST_ROWS:
-        return _by_pair(rows, keys, spread, carry)
+        return _by_pair(rows, [*keys, *constant], spread, carry)
     counted = F.broadcast(rows.sparkSession.createDataFrame(head, values.schema))
-    return _by_hash(rows, counted, keys, spread, carry)
+    return _by_hash(rows, counted, keys, spread, carry, constant)
 
 
 def _pairs(folded: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
@@ -154,7 +159,9 @@ def extremes(lines: DataFrame, buckets: int | None = None, bucket: int | None =
     """
     rows = _bucketed(lines, buckets, bucket, length)
     rows = rows.withColumn("bucket", F.call_function("div", F.col("pos"), F.col("_w")))
-    spread = {"width": F.max("_w"), "only": F.max("v")}
+    spread = {}
+    if buckets is not None and length is None:
+        spread = {"width": F.max("_w"), "only": F.max("v")}
     if seam:
         spread |= _seam_columns(F.col("pos") % F.col("_w") == 0, (F.col("pos") + 1) % F.col("_w") == 0)
     groups = None
@@ -163,10 +170,19 @@ def extremes(lines: DataFrame, buckets: int | None = None, bucket: int | None =
             groups = series_count * buckets
         elif length is not None:
             groups = series_count * -(-length // bucket)
-    folded = fold_extremes(rows, ["series", "bucket"], spread, groups)
+    folded = _fold_series(rows, "bucket", spread, groups, series_count)
     return _joined(folded) if seam else folded
 
 
+def _fold_series(rows: DataFrame, by: str, spread: dict[str, Column], groups: int | None, series_count: int | None,
+                 carry: list[str] | None = None) -> DataFrame:
+    """fold_extremes per series and bucket.  A single line is keyed by the bucket
+    alone, a plain BIGINT, which Spark groups and joins much faster."""
+    if series_count == 1:
+        return fold_extremes(rows, [by], spread, groups, carry, ["series"])
+    return fold_extremes(rows, ["series", by], spread, groups, carry)
+
+
 def envelope(lines: DataFrame, buckets: int | None = None, bucket: int | None = None,
              length: int | None = None, seam: bool = False, series_count: int | None = None) -> DataFrame:
     """[series, bucket, slot, pos, v]: the finite extremes of every bucket.
@@ -194,59 +210,60 @@ def coarsen(summary: DataFrame, factor: int) -> DataFrame:
     return _pairs(_by_pair(rows, ["series", "bucket"], {}, []), ["series", "bucket"])
 
 
-def _doubled(level: DataFrame, factor: int) -> DataFrame:
-    """A level folded out of a finer one, extremes by extremes."""
+def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of extremes folded to one per key, extremes by extremes."""
     low = F.min(F.when(F.col("lo").isNotNull(), F.struct("lo", "lo_at")))
     high = F.max(F.when(F.col("hi").isNotNull(), F.struct("hi", (-F.col("hi_at")).alias("back"))))
-    coarse = level.groupBy("series", int_div(F.col("bucket"), factor).alias("bucket")).agg(
-        low.alias("_lo"), high.alias("_hi"), F.min("start").alias("start"))
-    return coarse.select("series", "bucket", F.col("_lo.lo").alias("lo"), F.col("_hi.hi").alias("hi"),
+    coarse = rows.groupBy(*keys).agg(low.alias("_lo"), high.alias("_hi"), F.min("start").alias("start"))
+    return coarse.select(*keys, F.col("_lo.lo").alias("lo"), F.col("_hi.hi").alias("hi"),
                          F.col("_lo.lo_at").alias("lo_at"), (-F.col("_hi.back")).alias("hi_at"), "start")
 
 
-def pyramid(lines: DataFrame, base_bucket: int, length: int, small: int = BROADCAST_ROWS) -> DataFrame:
+def pyramid(lines: DataFrame, base_bucket: int, length: int, series_count: int | None = None,
+            small: int = BROADCAST_ROWS) -> DataFrame:
     """[series, width, bucket, slot, pos, v]: the envelope at ``base_bucket`` and
     at every doubling above it, up to one bucket for the whole line.
 
-    The line is read once.  Each level is folded out of the one below; a level
-    is written out while it is long, and the short ones on top are all folded
-    from the last one written.
+    The line is read once.  Each level is folded out of the one below and written
+    out while it is long; once it has no more than ``small`` rows, all the levels
+    above it come out of one aggregate over it.
     """
     if base_bucket < 1:
         raise ArgumentError("a bucket holds at least one sample")
-    keys = ["series", "bucket"]
+    keys, facts = ["series", "width", "bucket"], ["lo", "hi", "lo_at", "hi_at", "start"]
     if base_bucket == 1:
+        place = F.when(is_finite("v"), F.col("pos"))
         level = lines.select("series", F.col("pos").alias("bucket"), _finite().alias("lo"), _finite().alias("hi"),
-                             F.when(is_finite("v"), F.col("pos")).alias("lo_at"),
-                             F.when(is_finite("v"), F.col("pos")).alias("hi_at"), F.col("pos").alias("start"))
+                             place.alias("lo_at"), place.alias("hi_at"), F.col("pos").alias("start"))
     else:
-        level = extremes(lines, bucket=base_bucket, length=length).select(
-            *keys, "lo", "hi", "lo_at", "hi_at", "start")
-    level = written(level, "level")
-    width, out = base_bucket, None
-
-    def put(frame: DataFrame, at: int) -> None:
-        nonlocal out
-        shown = _pairs(frame, keys)
-        if at == 1:
-            samples = lines.select("series", F.col("pos").alias("bucket"), F.lit(0).alias("slot"), "pos", "v")
-            shown = samples
-        shown = shown.select("series", F.lit(at).cast("bigint").alias("width"), "bucket", "slot", "pos", "v")
-        out = shown if out is None else out.unionByName(shown)
-
-    put(level, width)
-    below, below_width = level, width
-    while width < length:
+        level = extremes(lines, bucket=base_bucket, length=length, series_count=series_count)
+    width = base_bucket
+    level = written(level.select("series", F.lit(width).cast("bigint").alias("width"), "bucket", *facts), "level")
+    levels = [level]
+    while width < length and level.count() > small:
         width *= 2
-        level = _doubled(below, width // below_width)
-        if below.count() > small:
-            below, below_width = written(level, "level"), width
-            level = below
-        put(level, width)
+        halved = level.withColumns({"width": F.lit(width).cast("bigint"), "bucket": int_div(F.col("bucket"), 2)})
+        level = written(_merged(halved, keys), "level")
+        levels.append(level)
+    above = 0
+    while (width << above) < length:
+        above += 1
+    if above:
+        step = F.explode(F.array(*[F.lit(1 << k).cast("bigint") for k in range(1, above + 1)])).alias("_f")
+        spread = level.select("series", "width", "bucket", *facts, step)
+        rows = spread.withColumns({"width": F.col("width") * F.col("_f"),
+                                   "bucket": F.call_function("div", F.col("bucket"), F.col("_f"))})
+        levels.append(_merged(rows, keys))
+    samples = lines.select("series", F.lit(1).cast("bigint").alias("width"), F.col("pos").alias("bucket"),
+                           F.lit(0).alias("slot"), "pos", "v")
+    shown = [samples if k == 0 and base_bucket == 1 else _pairs(each, keys) for k, each in enumerate(levels)]
+    out = shown[0]
+    for each in shown[1:]:
+        out = out.unionByName(each)
     return out
 
 
-def closer_look(lines: DataFrame, first: int, span: int, bucket: int) -> DataFrame:
+def closer_look(lines: DataFrame, first: int, span: int, bucket: int, series_count: int | None = None) -> DataFrame:
     """Envelope of one run, with one sample past it for the last bucket's seam."""
     if bucket < 1 or span < 1:
         raise ArgumentError("a run and its buckets hold at least one sample")
@@ -263,11 +280,12 @@ def closer_look(lines: DataFrame, first: int, span: int, bucket: int) -> DataFra
     if bucket == 1:
         return rows.where(~past).select("series", "bucket", F.lit(0).alias("slot"), "pos", "v")
     spread = _seam_columns((at % bucket == 0) | past, ((at + 1) % bucket == 0) | (at == span - 1))
-    folded = _joined(fold_extremes(rows, ["series", "bucket"], spread))
+    groups = None if series_count is None else series_count * (last + 1)
+    folded = _joined(_fold_series(rows, "bucket", spread, groups, series_count))
     return _pairs(folded.where(F.col("bucket") < last), ["series", "bucket"])
 
 
-def log_columns(points: DataFrame, lo: float, hi: float, columns: int) -> DataFrame:
+def log_columns(points: DataFrame, lo: float, hi: float, columns: int, series_count: int | None = None) -> DataFrame:
     """[series, column, slot, pos, x, v]: one pair per column of equal width in log x.
 
     ``points`` is a line with its x.  Samples at x <= 0 or outside [lo, hi] are
@@ -281,7 +299,8 @@ def log_columns(points: DataFrame, lo: float, hi: float, columns: int) -> DataFr
     inside = points.where((F.col("x") > 0) & (F.col("x") >= lo) & (F.col("x") <= hi))
     at = F.floor((F.ln("x") - F.lit(math.log(lo))) / F.lit(wide) * F.lit(float(columns)))
     rows = inside.withColumn("column", F.least(F.greatest(at, F.lit(0)), F.lit(columns - 1)).cast("bigint"))
-    folded = fold_extremes(rows, ["series", "column"], carry=["x"])
+    groups = None if series_count is None else series_count * columns
+    folded = _fold_series(rows, "column", {}, groups, series_count, ["x"])
     return _pairs(folded, ["series", "column"], ["x"])
 
 

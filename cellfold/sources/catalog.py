@@ -93,11 +93,11 @@ def resolve_links(nodes: DataFrame, hops: int = LINK_HOPS) -> DataFrame:
     goal = F.when(F.col("target").startswith("/"), F.col("target")).otherwise(
         F.concat_ws("/", F.col("parent"), F.col("target")))
     links = soft.select("path", F.concat(F.lit("/"), F.array_join(parts_of(goal), "/")).alias("goal"),
-                        F.lit(1).alias("used"))
+                        F.lit(1).alias("used"), F.lit(True).alias("open"))
     taken = 1
     while taken <= hops:
         # The topmost part of a goal that is a link itself is what gets replaced.
-        opened = links.where(F.col("used") <= hops).select(
+        opened = links.where(F.col("open") & (F.col("used") <= hops)).select(
             "path", F.posexplode(ancestors("goal", own=True)).alias("_depth", "_part")).where(F.col("_depth") > 0)
         table = links.select(F.col("path").alias("_part"), F.col("goal").alias("_goal"), F.col("used").alias("_used"))
         onward = opened.join(table, "_part").groupBy("path").agg(
@@ -106,8 +106,11 @@ def resolve_links(nodes: DataFrame, hops: int = LINK_HOPS) -> DataFrame:
         moved = links.join(onward, "path", "left").select(
             "path",
             F.when(F.col("_s").isNull(), F.col("goal")).otherwise(F.concat(F.col("_s._goal"), rest)).alias("goal"),
-            (F.col("used") + F.coalesce("_s._used", F.lit(0))).alias("used"))
+            (F.col("used") + F.coalesce("_s._used", F.lit(0))).alias("used"),
+            F.col("_s").isNotNull().alias("open"))
         links = written(moved, "links")
+        if links.where("open").isEmpty():
+            break
         taken *= 2
     objects = nodes.where(F.col("link") == "hard").select(F.col("path").alias("goal"), F.col("kind").alias("_kind"))
     found = links.where(F.col("used") <= hops).join(objects, "goal").select("path", F.col("goal").alias("_goal"), "_kind")
