@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.sources.catalog import DATASET, GROUP, ancestors
+from cellfold.sources.catalog import DATASET, GROUP, with_ancestors
 
 # Hits listed before the caller is told there are more.
 HIT_LIMIT = 200
@@ -114,7 +114,7 @@ def branches(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     Every hit names each group above it once; the names are combined per task
     before the shuffle.
     """
-    above = hits.select(F.explode(ancestors("path")).alias("path"), F.lit(0).alias("_hit"))
+    above = with_ancestors(hits.select("path"), "path", "_above").select(F.col("_above").alias("path"), F.lit(0).alias("_hit"))
     own = hits.select("path", F.lit(1).alias("_hit"))
     marks = above.unionByName(own).groupBy("path").agg(F.max("_hit").alias("_hit"))
     mark = F.when(F.col("_hit") == 1, F.lit("hit")).when(F.col("_hit") == 0, F.lit("above"))
@@ -123,7 +123,7 @@ def branches(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def top_hits(hits: DataFrame, limit: int = HIT_LIMIT) -> DataFrame:
     """Hits with no hit above them, in order of path: ``limit`` and one more."""
-    above = hits.select("path", F.explode(ancestors("path")).alias("_above"))
+    above = with_ancestors(hits.select("path"), "path", "_above").select("path", "_above")
     covered = above.join(hits.select(F.col("path").alias("_above")), "_above", "left_semi").select("path").distinct()
     return hits.join(covered, "path", "left_anti").orderBy("path").limit(limit + 1)
 

@@ -14,56 +14,68 @@ GROUP, DATASET, UNRESOLVED = "Group", "Dataset", "Unresolved"
 LINK_HOPS = 16
 
 
-def parts_of(path: str | Column) -> Column:
-    """Names along a path, without the empty ones; the root has none."""
+def normalised(path: str | Column) -> Column:
+    """A path with one separator between names and none at its end."""
     column = F.col(path) if isinstance(path, str) else path
-    return F.filter(F.split(column, "/"), lambda name: name != "")
+    return F.concat(F.lit("/"), F.trim(F.regexp_replace(column, "/+", "/"), F.lit("/")))
 
 
-def ancestors(path: str | Column, own: bool = False) -> Column:
-    """Paths of the groups above a path, root first; with ``own``, itself last."""
-    parts = parts_of(path)
-    last = F.size(parts) - (0 if own else 1)
-    upto = lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))
-    return F.when(last < 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), upto))
+def depth_of(path: str | Column) -> Column:
+    """Names along a normalised path; the root has none."""
+    column = F.col(path) if isinstance(path, str) else path
+    slashes = F.length(column) - F.length(F.replace(column, F.lit("/"), F.lit("")))
+    return F.when(column == "/", 0).otherwise(slashes)
 
 
 def name_of(path: str | Column) -> Column:
-    parts = parts_of(path)
-    return F.when(F.size(parts) == 0, F.lit("/")).otherwise(F.get(parts, F.size(parts) - 1))
+    column = F.col(path) if isinstance(path, str) else path
+    return F.when(column == "/", F.lit("/")).otherwise(F.substring_index(column, "/", -1))
 
 
 def parent_of(path: str | Column) -> Column:
-    parts = parts_of(path)
-    above = F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
-    return F.when(F.size(parts) > 0, above)
+    column = F.col(path) if isinstance(path, str) else path
+    above = F.substring_index(column, "/", -1)
+    cut = F.left(column, F.greatest(F.length(column) - F.length(above) - 1, F.lit(1)))
+    return F.when(column != "/", cut)
+
 
+def with_ancestors(df: DataFrame, path: str, name: str, own: bool = False) -> DataFrame:
+    """One row per group above ``path``, its path in ``name`` and its depth in
+    ``_depth``; with ``own``, the path itself too.
 
-def build_nodes(paths: DataFrame, kind: str | None = None) -> DataFrame:
+    Prefixes are cut with string functions, which stay in generated code.
+    """
+    last = depth_of(path) - (0 if own else 1)
+    opened = df.where(last >= 0).withColumn("_depth", F.explode(F.sequence(F.lit(0), last)))
+    prefix = F.expr(f"CASE WHEN _depth = 0 THEN '/' ELSE substring_index({path}, '/', _depth + 1) END")
+    return opened.withColumn(name, prefix)
+
+
+def build_nodes(paths: DataFrame, kind: str = DATASET) -> DataFrame:
     """Node table of a path listing: every path and every group above it.
 
-    ``paths`` has ``path`` and, where known, ``kind``, ``link`` and ``target``
-    columns.  A path with others below it is a group.  The groups above are
-    combined per task before the shuffle, so a root above everything costs one
-    row a task.
+    ``paths`` has ``path`` and, where links or kinds are known, ``kind``,
+    ``link`` and ``target``.  A path with others below it is a group.  The
+    groups above are combined per task before the shuffle, so a root above
+    everything costs one row a task.
     """
-    listed = paths.select(
-        F.concat(F.lit("/"), F.array_join(parts_of("path"), "/")).alias("path"),
-        (F.col("kind") if "kind" in paths.columns else F.lit(kind or DATASET)).alias("kind"),
-        (F.col("link") if "link" in paths.columns else F.lit("hard")).alias("link"),
-        (F.col("target") if "target" in paths.columns else F.lit(None).cast("string")).alias("target"),
-    )
-    above = listed.select(F.explode(ancestors("path")).alias("path"))
-    implied = above.select("path", F.lit(GROUP).alias("kind"), F.lit("hard").alias("link"),
-                           F.lit(None).cast("string").alias("target"), F.lit(1).alias("_implied"))
-    every = listed.withColumn("_implied", F.lit(0)).unionByName(implied)
-    merged = every.groupBy("path").agg(
-        F.max("_implied").alias("_above"),
-        F.max(F.when(F.col("_implied") == 0, F.col("kind"))).alias("kind"),
-        F.max("link").alias("link"), F.max("target").alias("target"))
-    return merged.select(
-        "path", name_of("path").alias("name"), parent_of("path").alias("parent"),
-        F.when(F.col("_above") == 1, F.lit(GROUP)).otherwise(F.col("kind")).alias("kind"), "link", "target")
+    listed = paths.withColumn("path", normalised("path"))
+    above = with_ancestors(listed.select("path"), "path", "_above").select(F.col("_above").alias("path"))
+    facts = [c for c in ("kind", "link", "target") if c in paths.columns]
+    hard, nothing = F.lit("hard"), F.lit(None).cast("string")
+    if not facts:
+        every = listed.select("path", F.lit(0).alias("_g")).unionByName(above.withColumn("_g", F.lit(1)))
+        nodes = every.groupBy("path").agg(F.max("_g").alias("_g")).withColumns({"link": hard, "target": nothing})
+        said = F.lit(kind)
+    else:
+        known = listed.select("path", *facts).distinct()
+        nodes = known.join(above.distinct().withColumn("_g", F.lit(1)), "path", "full")
+        nodes = nodes.withColumns({
+            "link": F.coalesce("link", hard) if "link" in facts else hard,
+            "target": F.col("target") if "target" in facts else nothing})
+        said = F.coalesce("kind", F.lit(kind)) if "kind" in facts else F.lit(kind)
+    return nodes.select("path", name_of("path").alias("name"), parent_of("path").alias("parent"),
+                        F.when(F.col("_g") == 1, F.lit(GROUP)).otherwise(said).alias("kind"), "link", "target")
 
 
 def children(nodes: DataFrame, path: str) -> DataFrame:
@@ -89,16 +101,15 @@ def resolve_links(nodes: DataFrame, hops: int = LINK_HOPS) -> DataFrame:
     joins the table of links with itself as it stands, so a chain is followed in
     steps of 1, 2, 4, … links.
     """
-    soft = nodes.where(F.col("link") == "soft").select("path", "parent", "target")
-    goal = F.when(F.col("target").startswith("/"), F.col("target")).otherwise(
-        F.concat_ws("/", F.col("parent"), F.col("target")))
-    links = soft.select("path", F.concat(F.lit("/"), F.array_join(parts_of(goal), "/")).alias("goal"),
-                        F.lit(1).alias("used"), F.lit(True).alias("open"))
+    nodes = written(nodes.select("path", "name", "parent", "kind", "link", "target"), "nodes")
+    soft = nodes.where(F.col("link") == "soft")
+    goal = F.when(F.col("target").startswith("/"), F.col("target")).otherwise(F.concat_ws("/", "parent", "target"))
+    links = soft.select("path", normalised(goal).alias("goal"), F.lit(1).alias("used"), F.lit(True).alias("open"))
     taken = 1
     while taken <= hops:
         # The topmost part of a goal that is a link itself is what gets replaced.
-        opened = links.where(F.col("open") & (F.col("used") <= hops)).select(
-            "path", F.posexplode(ancestors("goal", own=True)).alias("_depth", "_part")).where(F.col("_depth") > 0)
+        opened = with_ancestors(links.where(F.col("open") & (F.col("used") <= hops)), "goal", "_part", own=True)
+        opened = opened.where(F.col("_depth") > 0).select("path", "_depth", "_part")
         table = links.select(F.col("path").alias("_part"), F.col("goal").alias("_goal"), F.col("used").alias("_used"))
         onward = opened.join(table, "_part").groupBy("path").agg(
             F.min(F.struct("_depth", "_part", "_goal", "_used")).alias("_s"))
