@@ -65,11 +65,19 @@ def int_div(value: Column, by: int | Column) -> Column:
     return F.call_function("div", value.cast("bigint"), by)
 
 
+# Whole numbers up to here are exact as doubles.
+EXACT = 1 << 53
+
+
 @dataclass(frozen=True)
 class Cells:
+    """``integer`` says every element is a whole number; ``limit`` is then the
+    largest magnitude one can have, when the driver can prove one."""
+
     df: DataFrame
     shape: tuple[int, ...]
     integer: bool = False
+    limit: float | None = None
 
     @property
     def rank(self) -> int:
@@ -83,10 +91,21 @@ class Cells:
     def axes(self) -> list[str]:
         return [axis_name(a) for a in range(self.rank)]
 
-    def mapped(self, value: Column, integer: bool) -> "Cells":
+    def mapped(self, value: Column, integer: bool, limit: float | None = None) -> "Cells":
         """The same cells with another value; a projection, never a shuffle."""
-        return Cells(self.df.select(*self.axes, value.alias("v")), self.shape,
-                     self.integer and integer)
+        return self.of(self.df.select(*self.axes, value.alias("v")), self.shape, integer, limit)
+
+    def of(self, df: DataFrame, shape, integer: bool = True, limit: float | None = None) -> "Cells":
+        """Cells made out of these; whole numbers stay whole where ``integer`` is kept."""
+        stays = self.integer and integer
+        return Cells(df, tuple(shape), stays, limit if stays else None)
+
+    def at_most(self, growth) -> float | None:
+        """The limit after ``growth`` of it, unknown once it is beyond exactness."""
+        if self.limit is None:
+            return None
+        grown = growth(self.limit)
+        return grown if grown <= EXACT else None
 
 
 def cells_of(df: DataFrame, axes: list[str], value: str, shape, integer: bool = False) -> Cells:
@@ -98,4 +117,7 @@ def cells_of(df: DataFrame, axes: list[str], value: str, shape, integer: bool =
         raise ArgumentError(f"{len(axes)} axes for a shape of rank {len(shape)}")
     columns = [F.col(a).cast("bigint").alias(axis_name(k)) for k, a in enumerate(axes)]
     number = F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v")
-    return Cells(df.select(*columns, number), tuple(shape), integer)
+    # The magnitudes of the smaller integer types.
+    limits = {"tinyint": 1 << 7, "smallint": 1 << 15, "int": 1 << 31}
+    limit = limits.get(dict(df.dtypes).get(value)) if integer else None
+    return Cells(df.select(*columns, number), tuple(shape), integer, limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import builtins
 import math
 
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ def whole(value) -> bool:
 
 
 def abs(cells: Cells) -> Cells:  # noqa: A001 - the operator's own name
-    return cells.mapped(F.abs("v"), True)
+    return cells.mapped(F.abs("v"), True, cells.limit)
 
 
 def sqrt(cells: Cells) -> Cells:
@@ -43,15 +44,19 @@ def pow(cells: Cells, exponent: float) -> Cells:  # noqa: A001
         value = F.when(F.abs("v") == 1.0, F.lit(1.0)).otherwise(value)
     elif math.isnan(e):
         value = F.when(F.col("v") == 1.0, F.lit(1.0)).otherwise(value)
-    return cells.mapped(value, whole(e) and e >= 0)
+    kept = whole(e) and e >= 0
+    limit = cells.at_most(lambda most: math.inf if math.log2(max(most, 1)) * e > 53 else max(most, 1) ** e) if kept else None
+    return cells.mapped(value, kept, limit)
 
 
 def add(cells: Cells, value: float) -> Cells:
-    return cells.mapped(F.col("v") + F.lit(_number(value, "value")), whole(value))
+    term = _number(value, "value")
+    return cells.mapped(F.col("v") + F.lit(term), whole(term), cells.at_most(lambda most: most + math.fabs(term)))
 
 
 def multiply(cells: Cells, factor: float) -> Cells:
-    return cells.mapped(F.col("v") * F.lit(_number(factor, "factor")), whole(factor))
+    by = _number(factor, "factor")
+    return cells.mapped(F.col("v") * F.lit(by), whole(by), cells.at_most(lambda most: most * math.fabs(by)))
 
 
 def clip(cells: Cells, min: float | None = None, max: float | None = None) -> Cells:  # noqa: A002
@@ -70,7 +75,9 @@ def clip(cells: Cells, min: float | None = None, max: float | None = None) -> Ce
     elif high is not None:
         value = F.when(v < high, v).otherwise(F.lit(high))
     kept = F.when(F.isnan(v), v).otherwise(value)
-    return cells.mapped(kept, whole(low) and whole(high))
+    ends = [math.fabs(b) for b in (low, high) if b is not None]
+    limit = cells.at_most(lambda most: builtins.max(most, *ends) if ends else most)
+    return cells.mapped(kept, whole(low) and whole(high), limit)
 
 
 def normalize(cells: Cells, min: float = 0.0, max: float = 1.0) -> Cells:  # noqa: A002

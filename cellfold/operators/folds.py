@@ -45,7 +45,7 @@ def folded_shape(shape, axis, identity: bool) -> tuple[int, ...]:
     return tuple(n for a, n in enumerate(shape) if a not in axes)
 
 
-def _fold(cells: Cells, axis, value: Column, empty: float | None, integer: bool) -> Cells:
+def _fold(cells: Cells, axis, value: Column, empty: float | None, integer: bool, limit: float | None = None) -> Cells:
     shape = folded_shape(cells.shape, axis, empty is not None)
     gone = fold_axes(axis, cells.rank)
     kept = [axis_name(a) for a in range(cells.rank) if a not in gone]
@@ -53,25 +53,26 @@ def _fold(cells: Cells, axis, value: Column, empty: float | None, integer: bool)
         # Nothing to group: every cell of the result is the fold's start value.
         spots = cells.df.sparkSession.range(element_count(shape))
         axes = [c.alias(axis_name(k)) for k, c in enumerate(unravelled(F.col("id"), shape))]
-        return Cells(spots.select(*axes, F.lit(float(empty)).alias("v")), shape, cells.integer and integer)
+        return cells.of(spots.select(*axes, F.lit(float(empty)).alias("v")), shape, integer)
     folded = cells.df.groupBy(*kept).agg(value.alias("v"))
     axes = [F.col(name).alias(axis_name(k)) for k, name in enumerate(kept)]
-    return Cells(folded.select(*axes, "v"), shape, cells.integer and integer)
+    return cells.of(folded.select(*axes, "v"), shape, integer, limit)
 
 
 def min(cells: Cells, axis=None) -> Cells:  # noqa: A001 - the operator's own name
     """NaN anywhere wins.  Spark's min skips NaN, its max does not."""
     value = F.when(F.isnan(F.max("v")), nan()).otherwise(F.min("v"))
-    return _fold(cells, axis, value, None, True)
+    return _fold(cells, axis, value, None, True, cells.limit)
 
 
 def max(cells: Cells, axis=None) -> Cells:  # noqa: A001
-    return _fold(cells, axis, F.max("v"), None, True)
+    return _fold(cells, axis, F.max("v"), None, True, cells.limit)
 
 
 def sum(cells: Cells, axis=None, initial: float = 0.0) -> Cells:  # noqa: A001
     value = F.sum("v") if initial == 0 else F.sum("v") + F.lit(float(initial))
-    return _fold(cells, axis, value, initial, whole(initial))
+    limit = cells.at_most(lambda most: most * cells.size + abs(initial))
+    return _fold(cells, axis, value, initial, whole(initial), limit)
 
 
 def product_of(v: Column) -> Column:

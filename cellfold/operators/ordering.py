@@ -68,19 +68,21 @@ def count_below(base: DataFrame, edges: DataFrame, inclusive: bool = False) -> D
         spark = base.sparkSession
         return edges.join(F.broadcast(spark.createDataFrame(table, "x double, before bigint")), "x", "left")
     # Too many edges to hand out: sort both together and count along the order.
-    # At equal values an edge comes after the values it counts.
+    # One row per value, so a value that fills the base is one row too.  At equal
+    # values an edge comes after the values it counts.
     edge_first = 0 if not inclusive else 1
-    both = values.select(F.col("v").alias("x"), F.lit(1 - edge_first).alias("_kind"), F.lit(True).alias("_value")).unionByName(
-        edges.select("x").where(F.col("x").isNotNull()).distinct().select(
-            "x", F.lit(edge_first).alias("_kind"), F.lit(False).alias("_value")))
+    counted = values.groupBy(F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("_n"))
+    asked = edges.select("x").where(F.col("x").isNotNull()).distinct()
+    both = counted.select("x", F.lit(1 - edge_first).alias("_kind"), "_n").unionByName(
+        asked.select("x", F.lit(edge_first).alias("_kind"), F.lit(None).cast("bigint").alias("_n")))
     blocks = _ordered_blocks(both, ["x", "_kind"])
     inside = Window.partitionBy("_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.sum(F.when(F.col("_value"), 1).otherwise(0))
-    sizes = blocks.groupBy("_block").agg(here.alias("_n"))
+    sizes = blocks.groupBy("_block").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = small_side(sizes.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")))
-    ranked = blocks.withColumn("_in", here.over(inside)).where(~F.col("_value")).join(starts, "_block")
-    return edges.join(ranked.select("x", (F.col("_start") + F.col("_in")).cast("bigint").alias("before")), "x", "left")
+    ranked = blocks.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).where(F.col("_n").isNull())
+    placed = ranked.join(starts, "_block").select("x", (F.col("_start") + F.col("_in")).cast("bigint").alias("before"))
+    return edges.join(placed, "x", "left")
 
 
 def time_edges(base: DataFrame, edges: DataFrame) -> DataFrame:

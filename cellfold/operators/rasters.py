@@ -25,13 +25,21 @@ def raster(grid: DataFrame, rows: int, cols: int, max_rows: int = 1024, max_cols
     return grid.where((F.col("row") % row_stride == 0) & (F.col("col") % col_stride == 0))
 
 
-def _place(value: Column, low: Column, high: Column, invert: bool) -> Column:
-    """0 … 1 along the range; half way when the range is flat."""
+def _places(df: DataFrame, values: dict[str, Column], low: Column, high: Column, inverted: set[str] = frozenset()) -> DataFrame:
+    """``df`` with, for each name, how far along the range a value lies: 0 … 1, and
+    half way when the range is flat.
+
+    One projection per step: a step that names another several times would be
+    written out several times if they were one expression.
+    """
     span = high - low
-    quotient = (value - low) / F.when(span > 0, span)
-    at = F.when(F.isnan(quotient) | (quotient < 0), F.lit(0.0)).when(quotient > 1, F.lit(1.0)).otherwise(quotient)
-    at = F.lit(1.0) - at if invert else at
-    return F.when(span > 0, at).otherwise(F.lit(0.5))
+    wide = span > 0
+    df = df.withColumns({f"_q_{n}": (v - low) / F.when(wide, span) for n, v in values.items()})
+    df = df.withColumns({
+        f"_t_{n}": F.when(F.isnan(f"_q_{n}") | (F.col(f"_q_{n}") < 0), F.lit(0.0)).when(F.col(f"_q_{n}") > 1, F.lit(1.0))
+        .otherwise(F.col(f"_q_{n}")) for n in values})
+    turned = {n: F.lit(1.0) - F.col(f"_t_{n}") if n in inverted else F.col(f"_t_{n}") for n in values}
+    return df.withColumns({n: F.when(wide, t).otherwise(F.lit(0.5)) for n, t in turned.items()})
 
 
 def _ordered(low: float, high: float) -> tuple[Column, Column]:
@@ -45,31 +53,29 @@ def _band(at: Column, begin: float, end: float) -> Column:
 def grey(raster: DataFrame, low: float, high: float, invert: bool = False, begin: float = 0.0,
          end: float = 1.0) -> DataFrame:
     """[row, col, shade] 0 … 255; what is not finite is null."""
-    lo, hi = _ordered(low, high)
-    at = _band(_place(F.col("v"), lo, hi, invert), begin, end)
-    shade = F.when(is_finite("v"), round_away(at * 255.0).cast("int"))
-    return raster.select("row", "col", shade.alias("shade"))
+    placed = _places(raster, {"_at": F.col("v")}, *_ordered(low, high), {"_at"} if invert else frozenset())
+    placed = placed.withColumn("_level", _band(F.col("_at"), begin, end) * 255.0)
+    shade = F.when(is_finite("v"), round_away(F.col("_level")).cast("int"))
+    return placed.select("row", "col", shade.alias("shade"))
 
 
 def ramp(raster: DataFrame, stops: list[tuple[int, int, int]], low: float, high: float, begin: float = 0.0,
          end: float = 1.0, invert: bool = False) -> DataFrame:
     """[row, col, red, green, blue], linear in RGB between the stops."""
-    lo, hi = _ordered(low, high)
-    at = _band(_place(F.col("v"), lo, hi, invert), begin, end)
-    last = len(stops) - 1
-    cut = F.when(at >= 0, F.least(at, F.lit(1.0))).otherwise(F.lit(0.0)) * F.lit(float(max(last, 0)))
-    placed = raster.select("row", "col", "v", cut.alias("_cut")).withColumn("_at", F.floor("_cut").cast("int"))
-    channels = []
-    for channel, name in enumerate(("red", "green", "blue")):
-        if not stops:
-            value = F.lit(0)
-        else:
-            table = F.array(*[F.lit(int(stop[channel])) for stop in stops])
-            a = F.get(table, F.col("_at"))
-            b = F.get(table, F.least(F.col("_at") + 1, F.lit(last)))
-            value = round_away(a + (b - a) * (F.col("_cut") - F.col("_at"))).cast("int")
-        channels.append(F.when(is_finite("v"), value).alias(name))
-    return placed.select("row", "col", *channels)
+    names, last = ("red", "green", "blue"), max(len(stops) - 1, 0)
+    stops = stops or [(0, 0, 0)]
+    placed = _places(raster, {"_at": F.col("v")}, *_ordered(low, high), {"_at"} if invert else frozenset())
+    at = _band(F.col("_at"), begin, end)
+    placed = placed.withColumn("_cut", F.greatest(F.least(at, F.lit(1.0)), F.lit(0.0)) * F.lit(float(last)))
+    placed = placed.withColumn("_stop", F.floor("_cut").cast("int"))
+    mixed = {}
+    for channel, name in enumerate(names):
+        table = F.array(*[F.lit(int(stop[channel])) for stop in stops])
+        a, b = F.get(table, F.col("_stop")), F.get(table, F.least(F.col("_stop") + 1, F.lit(last)))
+        mixed[f"_{name}"] = a + (b - a) * (F.col("_cut") - F.col("_stop"))
+    placed = placed.withColumns(mixed)
+    return placed.select("row", "col", *[
+        F.when(is_finite("v"), round_away(F.col(f"_{name}")).cast("int")).alias(name) for name in names])
 
 
 def compose_rgb(cells: Cells, channel_axis: int, r: int, g: int, b: int, a: int | None = None,
@@ -101,16 +107,18 @@ def compose_rgb(cells: Cells, channel_axis: int, r: int, g: int, b: int, a: int
     for name in picked:
         one = F.coalesce(is_finite(name), F.lit(False))
         complete = one if complete is None else complete & one
+    pixels = pixels.withColumn("_complete", complete)
+    inverted = {f"_{n}" for n in picked if n != "alpha"} if invert else frozenset()
+    placed = _places(pixels, {f"_{n}": F.col(n) for n in picked}, lo, hi, inverted)
+    placed = placed.withColumns({f"_l_{n}": F.col(f"_{n}") * 255.0 for n in picked})
     shades = []
     for name in ("red", "green", "blue", "alpha"):
-        if name not in picked:
-            value = F.lit(255)
-        else:
+        value = F.lit(255)
+        if name in picked:
             flat = F.lit(255 if name == "alpha" else 128)
-            place = _place(F.col(name), lo, hi, invert and name != "alpha")
-            value = F.when(hi > lo, round_away(place * 255.0).cast("int")).otherwise(flat)
-        shades.append(F.when(complete, value).alias(name))
-    return pixels.select("row", "col", *shades)
+            value = F.when(hi > lo, round_away(F.col(f"_l_{name}")).cast("int")).otherwise(flat)
+        shades.append(F.when(F.col("_complete"), value).alias(name))
+    return placed.select("row", "col", *shades)
 
 
 def type_span(width: Column, signed: Column) -> tuple[Column, Column]:

@@ -26,7 +26,7 @@ def permutation(axes, rank: int) -> list[int]:
 def transpose(cells: Cells, axes=None) -> Cells:
     order = permutation(axes, cells.rank)
     moved = [F.col(axis_name(old)).alias(axis_name(new)) for new, old in enumerate(order)]
-    return Cells(cells.df.select(*moved, "v"), tuple(cells.shape[a] for a in order), cells.integer)
+    return cells.of(cells.df.select(*moved, "v"), (cells.shape[a] for a in order), limit=cells.limit)
 
 
 def reshaped(size: int, shape) -> tuple[int, ...]:
@@ -52,4 +52,4 @@ def reshape(cells: Cells, shape) -> Cells:
     target = reshaped(cells.size, shape)
     flat = flat_position(list(range(cells.rank)), cells.shape)
     axes = [c.alias(axis_name(k)) for k, c in enumerate(unravelled(F.col("_flat"), target))]
-    return Cells(cells.df.select(flat.alias("_flat"), "v").select(*axes, "v"), target, cells.integer)
+    return cells.of(cells.df.select(flat.alias("_flat"), "v").select(*axes, "v"), target, limit=cells.limit)

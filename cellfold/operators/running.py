@@ -36,7 +36,7 @@ def scanned_shape(shape, axis) -> tuple[int, ...]:
 
 def _flattened(cells: Cells) -> Cells:
     flat = flat_position(list(range(cells.rank)), cells.shape).alias("i0")
-    return Cells(cells.df.select(flat, "v"), (cells.size,), cells.integer)
+    return cells.of(cells.df.select(flat, "v"), (cells.size,), limit=cells.limit)
 
 
 def _window(keys: list[str], by: str):
@@ -75,7 +75,7 @@ def cumsum(cells: Cells, axis=None, block: int = BLOCK) -> Cells:
     extent = cells.shape[at]
     groups = element_count(cells.shape) // extent if extent else 0
     df = running_sum(cells.df, others, axis_name(at), "v", extent, groups, block)
-    return Cells(df.select(*cells.axes, "v"), shape, cells.integer)
+    return cells.of(df.select(*cells.axes, "v"), shape, limit=cells.at_most(lambda most: most * extent))
 
 
 # --- running product ----------------------------------------------------------
@@ -128,7 +128,7 @@ def cumprod(cells: Cells, axis=None, block: int = BLOCK) -> Cells:
     by, extent = axis_name(at), cells.shape[at]
     if extent <= block:
         df = cells.df.withColumn("v", F.product("v").over(_window(others, by)))
-        return Cells(df.select(*cells.axes, "v"), shape, cells.integer)
+        return cells.of(df.select(*cells.axes, "v"), shape)
     groups = element_count(cells.shape) // extent
     ran = _running_product(_split(cells.df, "v", F.lit(0)), others, by, extent, groups)
     plain = is_finite("v") & (F.col("v") != 0)
@@ -155,7 +155,7 @@ def cumprod(cells: Cells, axis=None, block: int = BLOCK) -> Cells:
         .when(~plain, F.col("v"))
         .otherwise(value)
     )
-    return Cells(ran.select(*cells.axes, value.alias("v")), shape, cells.integer)
+    return cells.of(ran.select(*cells.axes, value.alias("v")), shape)
 
 
 # --- differences --------------------------------------------------------------
@@ -197,7 +197,7 @@ def diff(cells: Cells, n: int = 1, axis: int = -1, block: int = BLOCK) -> Cells:
     by = axis_name(at)
     others = [a for a in cells.axes if a != by]
     if element_count(shape) == 0:
-        return Cells(cells.df.where(F.lit(False)), shape, cells.integer)
+        return cells.of(cells.df.where(F.lit(False)), shape, limit=cells.limit)
     extent = cells.shape[at]
     block = max(block, n)
     if extent <= block:
@@ -210,4 +210,4 @@ def diff(cells: Cells, n: int = 1, axis: int = -1, block: int = BLOCK) -> Cells:
     if extent > block:
         df = df.where(int_div(F.col(by), block) == F.col("_b"))
     df = df.where(F.col(by) < extent - n)
-    return Cells(df.select(*cells.axes, "v"), shape, cells.integer)
+    return cells.of(df.select(*cells.axes, "v"), shape, limit=cells.at_most(lambda most: most * 2**n))

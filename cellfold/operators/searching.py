@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellfold.runtime import small_side
 from cellfold.sources.catalog import DATASET, GROUP, with_ancestors
 
 # Hits listed before the caller is told there are more.
@@ -124,7 +125,10 @@ def branches(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 def top_hits(hits: DataFrame, limit: int = HIT_LIMIT) -> DataFrame:
     """Hits with no hit above them, in order of path: ``limit`` and one more."""
     above = with_ancestors(hits.select("path"), "path", "_above").select("path", "_above")
-    covered = above.join(hits.select(F.col("path").alias("_above")), "_above", "left_semi").select("path").distinct()
+    # The hits that have hits below are few beside the hits themselves; each
+    # ancestor is combined per task before it is looked up.
+    covering = above.select("_above").distinct().join(hits.select(F.col("path").alias("_above")), "_above", "left_semi")
+    covered = above.join(small_side(covering), "_above", "left_semi").select("path").distinct()
     return hits.join(covered, "path", "left_anti").orderBy("path").limit(limit + 1)
 
 

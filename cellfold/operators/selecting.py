@@ -118,7 +118,7 @@ def take(cells: Cells, axis: int, indices: list) -> Cells:
         *[F.col("_new").alias(a) if a == name else F.col(a) for a in cells.axes], "v"
     )
     shape = tuple(count if a == at else n for a, n in enumerate(cells.shape))
-    return Cells(df, shape, cells.integer)
+    return cells.of(df, shape, limit=cells.limit)
 
 
 def slice(cells: Cells, *subs) -> Cells:  # noqa: A001 - the operator's own name
@@ -149,7 +149,7 @@ def slice(cells: Cells, *subs) -> Cells:  # noqa: A001 - the operator's own name
         else:
             df = df.where(position == _whole(sub, extent))
     columns = [c.cast("bigint").alias(axis_name(k)) for k, (c, _) in enumerate(kept)]
-    return Cells(df.select(*columns, "v"), tuple(n for _, n in kept), cells.integer)
+    return cells.of(df.select(*columns, "v"), (n for _, n in kept), limit=cells.limit)
 
 
 def pin(cells: Cells, axis: int, index: int) -> Cells:

@@ -13,11 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.model import ArgumentError, Cells
+from cellfold.model import EXACT, ArgumentError, Cells
 from cellfold.operators import elementwise, folds, rearranging, running, selecting
 
-EXACT = float(1 << 53)
-
 OPERATIONS: dict[str, Callable[..., Cells]] = {
     "slice": selecting.slice,
     "transpose": rearranging.transpose,
@@ -50,14 +48,18 @@ class Ran:
     def frame(self) -> DataFrame:
         """The result as a table; whole numbers that stayed whole come back BIGINT.
 
-        A column holding anything a BIGINT cannot say exactly stays DOUBLE.
+        No job runs while the steps provably stay within what a double holds
+        exactly.  Otherwise the values are looked at once, and a column with one
+        that a BIGINT could not say exactly stays DOUBLE.
         """
         cells = self.cells
         if not cells.integer:
             return cells.df
-        fits = F.max(F.when(F.abs("v") <= EXACT, 0).otherwise(1))
-        off = cells.df.agg(F.coalesce(fits, F.lit(0)).alias("off")).first().off
-        return cells.df if off else cells.df.withColumn("v", F.col("v").cast("bigint"))
+        if cells.limit is None or cells.limit > EXACT:
+            beyond = F.max(F.when(F.abs("v") <= EXACT, 0).otherwise(1))
+            if cells.df.agg(F.coalesce(beyond, F.lit(0)).alias("off")).first().off:
+                return cells.df
+        return cells.df.withColumn("v", F.col("v").try_cast("bigint"))
 
 
 def _apply(cells: Cells, step) -> Cells:

@@ -31,11 +31,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: evaluated once, re-read from then on.
 
     Used where a value must not change when a task is run again (partition
-    numbers) and to cut the lineage of iterated joins.
+    numbers) and to cut the lineage of iterated joins.  Everything one
+    application writes lies under one folder, which can go when it has ended.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cellfold-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

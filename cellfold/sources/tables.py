@@ -44,9 +44,13 @@ def element_positions(df: DataFrame, order_by: list[str], name: str = "pos") ->
     """Row-major element position of every row of an ordered table.
 
     Needs no global window: the position is the row's place in its range block
-    plus the rows of the blocks before.  ``order_by`` should be unique.
+    plus the rows of the blocks before.  Rows the keys do not tell apart come in
+    the order of a hash of the whole row, so that a key many rows share is cut
+    into several blocks as well.
     """
-    blocks = _ordered_blocks(df, order_by)
+    rest = [c for c in df.columns if c not in order_by]
+    ties = [F.xxhash64(*rest)] if rest else []
+    blocks = _ordered_blocks(df, [*order_by, *ties])
     # One row per shuffle partition: the window below holds a few thousand rows.
     sizes = blocks.groupBy("_block").agg((F.max("_row") + 1).alias("_n"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

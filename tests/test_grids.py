@@ -11,6 +11,7 @@ from cellfold import ArgumentError
 from cellfold.functions import text
 from cellfold.operators import grids, members, rasters, rendering
 from cellfold.plans.pipeline import pipeline, pipeline_line
+from cellfold.model import cells_of
 from cellfold.sources import tables
 from conftest import cells_from, to_numpy
 
@@ -193,6 +194,19 @@ def test_whole_numbers_past_two_to_the_53_stay_doubles(spark):
     assert dict(pipeline(cells_from(spark, [3.0, np.nan], integer=True), ["slice"]).frame().dtypes)["v"] == "double"
 
 
+def test_provable_limits_need_no_job(spark):
+    sizes = spark.createDataFrame([(0, 3), (1, None), (2, -2)], "k bigint, v int")
+    cells = cells_of(sizes, ["k"], "v", (3,), integer=True)
+    assert cells.limit == 1 << 31
+    safe = pipeline(cells, ["slice", ("multiply", 8), ("add", -5), "diff", "abs", ("clip", 0, 1e9), "cumsum"])
+    assert safe.cells.limit == 2e0 * max((8.0 * (1 << 31) + 5) * 2, 1e9)
+    far = pipeline(cells, ["slice", ("pow", 2), ("pow", 3)])
+    assert far.cells.integer and far.cells.limit is None
+    plain = pipeline(cells, ["slice", ("multiply", 2)]).frame()
+    assert {r.i0: r.v for r in plain.collect()} == {0: 6, 1: None, 2: -4}
+    assert dict(pipeline(cells, ["slice", ("pow", 30)]).frame().dtypes)["v"] == "double"
+
+
 def test_a_refusal_stops_the_pipeline_and_keeps_what_ran(spark):
     cells = cells_from(spark, np.arange(6.0))
     ran = pipeline(cells, ["slice", ("reshape", (2, 3)), ("reshape", (4, 4)), "sqrt"])
