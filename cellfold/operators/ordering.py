@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +38,21 @@ def sort_order(base: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.withColumn("direction", direction)
 
 
-def _gap_of(edges: np.ndarray, side: str):
-    """How many of the sorted edges lie before x, by binary search per Arrow batch."""
+def _with_gap(df: DataFrame, x: str, bounds: np.ndarray, name: str, inclusive: bool = True) -> DataFrame:
+    """``df`` with how many of the sorted bounds are <= x (or < x).
 
-    @F.pandas_udf("int")
-    def gap(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, x.to_numpy(), side=side).astype("int32"))
-
-    return gap
+    A binary search written as one projection per step, so that it stays in
+    generated code; the bounds are a scalar every row refers to.
+    """
+    table = pa.table({"b": pa.array([bounds.astype("float64")], pa.list_(pa.float64()))})
+    df = df.withColumns({"_bounds": df.sparkSession.createDataFrame(table).scalar(), name: F.lit(0)})
+    step = 1 << max(len(bounds).bit_length() - 1, 0)
+    while step:
+        bound = F.get("_bounds", F.col(name) + (step - 1))
+        before = bound <= F.col(x) if inclusive else bound < F.col(x)
+        df = df.withColumn(name, F.col(name) + F.when(before, step).otherwise(0))
+        step //= 2
+    return df.drop("_bounds")
 
 
 def _edges(df: DataFrame, column: str) -> np.ndarray | None:
@@ -60,8 +68,8 @@ def count_below(base: DataFrame, edges: DataFrame, inclusive: bool = False) -> D
     if bounds is not None:
         # A value in gap g is before exactly the edges from g on; the table of
         # gaps has one row per edge at most.
-        gap = _gap_of(bounds, "left" if inclusive else "right")
-        counts = values.groupBy(gap("v").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+        gapped = _with_gap(values, "v", bounds, "_g", inclusive=not inclusive)
+        counts = gapped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
         per_gap = {r._g: r._n for r in counts.collect()}
         running = np.cumsum([per_gap.get(g, 0) for g in range(len(bounds))], dtype="int64")
         table = pd.DataFrame({"x": bounds.astype("float64"), "before": running})
@@ -142,8 +150,7 @@ def nearest_sample(probes: DataFrame, lines: DataFrame, log_x: bool = False, log
 def _sides_in_gaps(probes: DataFrame, samples: DataFrame, bounds: np.ndarray) -> DataFrame:
     """Nearest sample on each side, for few probes: the line is folded to the two
     outermost samples between neighbouring probes and is never sorted."""
-    gap = _gap_of(bounds, "right")
-    rows = samples.select("series", gap("_x").alias("_g"), "pos", F.col("_x").alias("v"), "_v")
+    rows = _with_gap(samples, "_x", bounds, "_g").select("series", "_g", "pos", F.col("_x").alias("v"), "_v")
     folded = fold_extremes(rows, ["series", "_g"], carry=["_v"])
     low = F.struct(F.col("lo_at").alias("pos"), F.col("lo").alias("x"), F.col("lo__v").alias("v"))
     high = F.struct(F.col("hi_at").alias("pos"), F.col("hi").alias("x"), F.col("hi__v").alias("v"))
@@ -151,8 +158,9 @@ def _sides_in_gaps(probes: DataFrame, samples: DataFrame, bounds: np.ndarray) ->
     none = F.lit(None).cast(dict(ends.dtypes)["_first"])
     # A probe stands at the end of its own gap: before it lies x < probe.  One
     # row per place asked about, so a window holds a gap and a probe per bound.
-    asked = probes.select("series", F.col("x").cast("double").alias("x")).distinct().select(
-        "series", _gap_of(bounds, "left")("x").alias("_g"), none.alias("_first"), none.alias("_last"), "x")
+    asked = probes.select("series", F.col("x").cast("double").alias("x")).distinct()
+    asked = _with_gap(asked, "x", bounds, "_g", inclusive=False).select(
+        "series", "_g", none.alias("_first"), none.alias("_last"), "x")
     found = _both_sides(ends.unionByName(asked), ["series"], ["_g", F.col("x").isNotNull()], "_last", "_first")
     places = found.where(F.col("x").isNotNull()).select("series", "x", "_low", "_high")
     return probes.join(small_side(places), ["series", "x"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -22,9 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="cellfold-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _temporary(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _temporary(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"cellfold-{application}-")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -85,6 +85,20 @@ def test_shared_folder_is_the_clusters(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+class Session:
+    """A session in which no shared folder is named."""
+
+    def __init__(self, master):
+        self.conf = type("Conf", (), {"get": lambda self, key, default=None: default})()
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})()
+
+
+def test_a_cluster_has_to_name_its_folder():
+    assert shared_folder(Session("local[4]")) == shared_folder(Session("local[4]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session("yarn"))
+
+
 def test_sort_order_in_blocks(spark, data):
     text = plan(ordering.sort_order(inputs.event_base(spark, data), block=100))
     assert exchanges(text)[-1] == "hashpartitioning"
