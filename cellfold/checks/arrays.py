@@ -145,7 +145,7 @@ WITH s AS (SELECT ceil(count(*) / 2048.0)::BIGINT AS stride FROM events)
 SELECT 'events' AS series, event_id AS pos, value AS v FROM events, s WHERE event_id % stride = 0""")
 def _(spark, d):
     cells = events(spark, d)
-    return selecting.thin(selecting.line(cells, series="events"), cells.size, 2048)
+    return selecting.thin(selecting.line(cells, series="events"), 2048, cells.size)
 
 
 @check("run_of", """

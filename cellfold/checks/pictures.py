@@ -15,7 +15,7 @@ STOPS = [(0, 0, 96), (32, 160, 144), (250, 230, 20)]
 
 def _picture(spark, d, cells=None):
     cells = embeddings(spark, d) if cells is None else cells
-    return rasters.raster(grids.grid(cells), *grids.grid_extents(cells), max_rows=200, max_cols=32)
+    return rasters.raster(grids.grid(cells), 200, 32, grids.grid_extents(cells))
 
 
 PIXELS = """s AS (SELECT greatest(1, ceil(count(*) / 200.0)::BIGINT) AS s FROM embeddings),
@@ -30,7 +30,7 @@ def _(spark, d):
 @check("raster_whole", f"WITH {CUBE} SELECT i0 * 10 + i1 AS row, i2 AS col, v FROM cube")
 def _(spark, d):
     cells = cube(spark, d)
-    return rasters.raster(grids.grid(cells), *grids.grid_extents(cells), max_rows=1 << 40)
+    return rasters.raster(grids.grid(cells), max_rows=1 << 40)
 
 
 PLACED = f"""{SPOILT}, {PIXELS.format(source='spoilt')},

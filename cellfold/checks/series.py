@@ -400,7 +400,7 @@ s AS (SELECT greatest(1, ceil((max(row) + 1) / 256.0)::BIGINT) AS s FROM g)
 SELECT min(v) AS lo, max(v) AS hi, count(*) AS points FROM g, s WHERE row % s = 0""")
 def _(spark, d):
     cells = cube(spark, d)
-    return folds.sampled_extent(grid(cells), cells.shape[0] * 10, 4)
+    return folds.sampled_extent(grid(cells), extents=(cells.shape[0] * 10, 4))
 
 
 @check("axis_length", """

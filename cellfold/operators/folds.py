@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cellfold.functions.numbers import is_finite, nan
 from cellfold.model import ArgumentError, Cells, axis_name, element_count, unravelled
 from cellfold.operators.elementwise import whole
+from cellfold.operators.grids import extents_of
 
 # Below this many binary orders of magnitude no order of multiplying overflows.
 SAFE_EXPONENT = 1020.0
@@ -172,9 +173,9 @@ def time_extents(bases: DataFrame) -> DataFrame:
     )
 
 
-def sampled_extent(grid: DataFrame, rows: int, columns: int, n: int = 256) -> DataFrame:
+def sampled_extent(grid: DataFrame, n: int = 256, extents: tuple[int, int] | None = None) -> DataFrame:
     """Extent from at most n x n strided cells of a grid."""
-    row_stride, column_stride = (builtins.max(1, -(-extent // n)) for extent in (rows, columns))
+    row_stride, column_stride = (builtins.max(1, -(-extent // n)) for extent in extents or extents_of(grid))
     picked = grid.where((F.col("row") % row_stride == 0) & (F.col("col") % column_stride == 0))
     return picked.agg(F.min(_finite()).alias("lo"), F.max(_finite()).alias("hi"),
                       F.count(_finite()).alias("points"))

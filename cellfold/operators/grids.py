@@ -38,6 +38,12 @@ def grid(cells: Cells, x_axes=None, y_axes=None) -> DataFrame:
     return cells.df.select(row, col, "v")
 
 
+def extents_of(table: DataFrame) -> tuple[int, int]:
+    """Rows and columns of a grid whose shape is not at hand: one aggregate."""
+    found = table.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    return (0, 0) if found.r is None else (found.r + 1, found.c + 1)
+
+
 def grid_block(table: DataFrame, row0: int, col0: int, rows: int = 64, cols: int = 64) -> DataFrame:
     """One block as wide rows [row, c<col0>, …]; the filter reaches the scan."""
     block = table.where((F.col("row") >= row0) & (F.col("row") < row0 + rows)

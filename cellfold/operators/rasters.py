@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellfold.functions.numbers import is_finite, round_away
 from cellfold.model import ArgumentError, Cells
+from cellfold.operators.grids import extents_of
 
 # The classes and orders an image attribute can name.
 SUBCLASSES = {
@@ -17,10 +18,12 @@ SUBCLASSES = {
 }
 
 
-def raster(grid: DataFrame, rows: int, cols: int, max_rows: int = 1024, max_cols: int = 1024) -> DataFrame:
-    """Every stride-th row and column, so the picture stays under the cap."""
+def raster(grid: DataFrame, max_rows: int = 1024, max_cols: int = 1024, extents: tuple[int, int] | None = None) -> DataFrame:
+    """Every stride-th row and column, so the picture stays under the cap; whole
+    when it fits.  ``extents`` of the grid are looked up when not given."""
     if max_rows < 1 or max_cols < 1:
         raise ArgumentError("a picture has at least one row and one column")
+    rows, cols = extents or extents_of(grid)
     row_stride, col_stride = (max(1, -(-n // most)) for n, most in ((rows, max_rows), (cols, max_cols)))
     return grid.where((F.col("row") % row_stride == 0) & (F.col("col") % col_stride == 0))
 

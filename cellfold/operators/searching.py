@@ -112,12 +112,12 @@ def search(nodes: DataFrame, text: str) -> DataFrame:
 def branches(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``mark``: ``hit``, ``above`` (a hit lies below it) or null.
 
-    Every hit names each group above it once; the names are combined per task
-    before the shuffle.
+    Every hit names itself and each group above it once; the names are combined
+    per task before the shuffle.
     """
-    above = with_ancestors(hits.select("path"), "path", "_above").select(F.col("_above").alias("path"), F.lit(0).alias("_hit"))
-    own = hits.select("path", F.lit(1).alias("_hit"))
-    marks = above.unionByName(own).groupBy("path").agg(F.max("_hit").alias("_hit"))
+    named = with_ancestors(hits.select("path"), "path", "_node", own=True)
+    hit = F.max(F.when(F.col("_node") == F.col("path"), 1).otherwise(0)).alias("_hit")
+    marks = named.groupBy("_node").agg(hit).withColumnRenamed("_node", "path")
     mark = F.when(F.col("_hit") == 1, F.lit("hit")).when(F.col("_hit") == 0, F.lit("above"))
     return nodes.join(marks, "path", "left").withColumn("mark", mark).drop("_hit")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellfold.model import ArgumentError, Cells, axis_name, element_count, flat_position, int_div
-from cellfold.runtime import BROADCAST_ROWS, bounded
+from cellfold.runtime import BROADCAST_ROWS, small_side
 from cellfold.sources.tables import element_positions
 
 CROWDED_LINES = 64
@@ -187,10 +187,16 @@ def lengths(lines: DataFrame) -> DataFrame:
     return lines.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thin(lines: DataFrame, length: int, max_points: int) -> DataFrame:
-    """Every stride-th sample, the stride being enough to stay under the cap."""
-    stride = -(-length // max_points) if max_points > 0 else 1
-    return lines.where(F.col("pos") % stride == 0) if stride > 1 else lines
+def thin(lines: DataFrame, max_points: int, length: int | None = None) -> DataFrame:
+    """Every stride-th sample of a line, the stride being enough to stay under the
+    cap.  Without a known ``length`` every series is thinned by its own."""
+    if max_points <= 0:
+        return lines
+    if length is not None:
+        stride = -(-length // max_points)
+        return lines.where(F.col("pos") % stride == 0) if stride > 1 else lines
+    strides = lengths(lines).select("series", int_div(F.col("n") + (max_points - 1), max_points).alias("_stride"))
+    return lines.join(small_side(strides), "series").where(F.col("pos") % F.col("_stride") == 0).drop("_stride")
 
 
 def run_of(lines: DataFrame, first: int, span: int) -> DataFrame:

@@ -219,7 +219,7 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
                          F.col("_lo.lo_at").alias("lo_at"), (-F.col("_hi.back")).alias("hi_at"), "start")
 
 
-def pyramid(lines: DataFrame, base_bucket: int, length: int, series_count: int | None = None,
+def pyramid(lines: DataFrame, base_bucket: int, length: int | None = None, series_count: int | None = None,
             small: int = BROADCAST_ROWS) -> DataFrame:
     """[series, width, bucket, slot, pos, v]: the envelope at ``base_bucket`` and
     at every doubling above it, up to one bucket for the whole line.
@@ -230,6 +230,8 @@ def pyramid(lines: DataFrame, base_bucket: int, length: int, series_count: int |
     """
     if base_bucket < 1:
         raise ArgumentError("a bucket holds at least one sample")
+    if length is None:
+        length = lengths(lines).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
     keys, facts = ["series", "width", "bucket"], ["lo", "hi", "lo_at", "hi_at", "start"]
     if base_bucket == 1:
         place = F.when(is_finite("v"), F.col("pos"))

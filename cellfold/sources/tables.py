@@ -73,11 +73,15 @@ def series_positions(df: DataFrame, series: str, order_by: list[str]) -> DataFra
     )
 
 
-def array_cells(df: DataFrame, keys: list[str], array_col: str, shape) -> Cells:
+def array_cells(df: DataFrame, keys: list[str], array_col: str, shape=None) -> Cells:
     """Fixed-length array elements become one more axis after ``keys``.
 
-    ``shape`` holds the extents of the keys and, last, the array's length.
+    ``shape`` holds the extents of the keys and, last, the array's length; when
+    it is not given it is looked up in one aggregate.
     """
+    if shape is None:
+        tops = [F.coalesce(F.max(k) + 1, F.lit(0)).alias(f"n{a}") for a, k in enumerate(keys)]
+        shape = (*df.agg(*tops).first(), array_length(df, array_col)) if keys else (array_length(df, array_col),)
     if len(shape) != len(keys) + 1:
         raise ArgumentError(f"{len(keys)} keys and an array are rank {len(keys) + 1}")
     axes = [F.col(k).cast("bigint").alias(axis_name(a)) for a, k in enumerate(keys)]

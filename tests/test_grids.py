@@ -37,6 +37,16 @@ def test_positions(spark):
         assert [p for p, _ in sorted(rows)] == list(range(len(rows))) and sorted(rows) == sorted(rows, key=lambda e: e[1])
 
 
+def test_arrays_without_a_known_shape(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3]), (1, [4, None, 6])], "k int, a array<int>")
+    cells = tables.array_cells(df, ["k"], "a")
+    assert cells.shape == (2, 3)
+    np.testing.assert_array_equal(to_numpy(cells), [[1, 2, 3], [4, np.nan, 6]])
+    ragged = spark.createDataFrame([(0, [1]), (1, [4, 5])], "k int, a array<int>")
+    with pytest.raises(ArgumentError, match="lists of 1 to 2"):
+        tables.array_cells(ragged, ["k"], "a")
+
+
 def structs(spark):
     rows = [Row(k=k, s=Row(id=k, pos=Row(x=k / 2, name=f"n{k}"), grid=[[k, 1, 2], [3, 4, 5]], tags=list(range(k)))) for k in range(4)]
     return spark.createDataFrame(
@@ -109,8 +119,9 @@ def test_compose(spark):
 
 def test_raster_strides(spark):
     grid = grids.grid(cells_from(spark, np.zeros((100, 7))))
-    assert rasters.raster(grid, 100, 7, 30, 7).select("row").distinct().count() == 25
-    assert rasters.raster(grid, 100, 7).count() == 700
+    assert rasters.raster(grid, 30, 7, (100, 7)).select("row").distinct().count() == 25
+    assert rasters.raster(grid, 30, 7).select("row").distinct().count() == 25
+    assert rasters.raster(grid).count() == 700
 
 
 def test_images(spark):

@@ -94,7 +94,7 @@ def test_coarsen_equals_folding_the_samples(spark, factor):
 def test_pyramid(spark, base, small):
     values = bumpy()
     found = {}
-    for row in summaries.pyramid(lines_from(spark, a=values), base, len(values), small=small).collect():
+    for row in summaries.pyramid(lines_from(spark, a=values), base, len(values) if base == 1 else None, small=small).collect():
         found.setdefault(row.width, []).append((row.bucket, row.slot, row.pos, "nan" if math.isnan(row.v) else row.v))
     widths = [base << k for k in range(20) if base << k < 2 * len(values)]
     assert sorted(found) == widths
@@ -166,8 +166,11 @@ def test_lines(spark):
 
 def test_thin_and_runs(spark):
     lines = lines_from(spark, a=range(10_000))
-    thinned = selecting.thin(lines, 10_000, 2048)
-    assert thinned.count() == 2000 and thinned.where("pos % 5 <> 0").count() == 0
+    for thinned in (selecting.thin(lines, 2048, 10_000), selecting.thin(lines, 2048)):
+        assert thinned.count() == 2000 and thinned.where("pos % 5 <> 0").count() == 0
+    two = selecting.thin(lines_from(spark, a=range(10), b=range(4)), 5)
+    assert sorted((r.series, r.pos) for r in two.collect()) == [("a", 0), ("a", 2), ("a", 4), ("a", 6), ("a", 8),
+                                                                ("b", 0), ("b", 1), ("b", 2), ("b", 3)]
     assert selecting.run_of(lines, 9_990, 50).count() == 10
     assert selecting.run_of(lines, -5, 10).count() == 5
     assert selecting.run_of(lines, 20_000, 10).count() == 0
