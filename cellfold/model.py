@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class ArgumentError(ValueError):
@@ -108,6 +109,12 @@ class Cells:
         return grown if grown <= EXACT else None
 
 
+def require_number(kind: T.DataType, name: str) -> None:
+    """Only integers and floats are numbers: no text, time, flag or struct."""
+    if not isinstance(kind, T.NumericType):
+        raise ArgumentError(f"{name} holds {kind.simpleString()}, not numbers")
+
+
 def cells_of(df: DataFrame, axes: list[str], value: str, shape, integer: bool = False) -> Cells:
     """Cells from a table whose columns ``axes`` already hold axis positions.
 
@@ -115,6 +122,7 @@ def cells_of(df: DataFrame, axes: list[str], value: str, shape, integer: bool =
     """
     if len(axes) != len(shape):
         raise ArgumentError(f"{len(axes)} axes for a shape of rank {len(shape)}")
+    require_number(df.schema[value].dataType, value)
     columns = [F.col(a).cast("bigint").alias(axis_name(k)) for k, a in enumerate(axes)]
     number = F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v")
     # The magnitudes of the smaller integer types.

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellfold.model import EXACT, ArgumentError, Cells
 from cellfold.operators import elementwise, folds, rearranging, running, selecting
@@ -80,8 +81,10 @@ def pipeline(cells: Cells | DataFrame, steps: list, up_to: int | None = None) ->
     everything.  Every operator checks its arguments against the shape and only
     adds to the lazy plan, so the whole pipeline is one job.
     """
-    if not isinstance(cells, Cells):
-        return Ran(None, 0, "a pipeline works on numbers, and this is not a numeric dataset")
+    kind = cells.df.schema["v"].dataType if isinstance(cells, Cells) else None
+    if not isinstance(kind, T.NumericType):
+        held = "no dataset" if kind is None else kind.simpleString()
+        return Ran(None, 0, f"a pipeline works on numbers, and this holds {held}")
     steps = list(steps)
     if up_to is not None:
         steps = steps[:up_to]

@@ -114,13 +114,15 @@ def resolve_links(nodes: DataFrame, hops: int = LINK_HOPS) -> DataFrame:
         onward = opened.join(table, "_part").groupBy("path").agg(
             F.min(F.struct("_depth", "_part", "_goal", "_used")).alias("_s"))
         rest = F.expr("substring(goal, length(_s._part) + 1)")
+        # A goal that runs through the link itself will never end.
+        loops = F.coalesce(F.col("_s._part") == F.col("path"), F.lit(False))
         moved = links.join(onward, "path", "left").select(
             "path",
             F.when(F.col("_s").isNull(), F.col("goal")).otherwise(F.concat(F.col("_s._goal"), rest)).alias("goal"),
-            (F.col("used") + F.coalesce("_s._used", F.lit(0))).alias("used"),
-            F.col("_s").isNotNull().alias("open"))
+            F.when(loops, hops + 1).otherwise(F.col("used") + F.coalesce("_s._used", F.lit(0))).alias("used"),
+            (F.col("_s").isNotNull() & ~loops).alias("open"))
         links = written(moved, "links")
-        if links.where("open").isEmpty():
+        if links.where(F.col("open") & (F.col("used") <= hops)).isEmpty():
             break
         taken *= 2
     objects = nodes.where(F.col("link") == "hard").select(F.col("path").alias("goal"), F.col("kind").alias("_kind"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellfold.model import ArgumentError, Cells, axis_name
+from cellfold.model import ArgumentError, Cells, axis_name, require_number
 from cellfold.runtime import small_side, written
 
 
@@ -79,6 +79,7 @@ def array_cells(df: DataFrame, keys: list[str], array_col: str, shape=None) -> C
     ``shape`` holds the extents of the keys and, last, the array's length; when
     it is not given it is looked up in one aggregate.
     """
+    require_number(df.schema[array_col].dataType.elementType, array_col)
     if shape is None:
         tops = [F.coalesce(F.max(k) + 1, F.lit(0)).alias(f"n{a}") for a, k in enumerate(keys)]
         shape = (*df.agg(*tops).first(), array_length(df, array_col)) if keys else (array_length(df, array_col),)

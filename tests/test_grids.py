@@ -47,6 +47,18 @@ def test_arrays_without_a_known_shape(spark):
         tables.array_cells(ragged, ["k"], "a")
 
 
+def test_only_numbers_are_cells(spark):
+    df = spark.sql("SELECT 0L AS k, 'a' AS text, true AS flag, timestamp'2020-01-01' AS at, 1.5BD AS money, array('x') AS words")
+    for column in ("text", "flag", "at"):
+        with pytest.raises(ArgumentError, match="not numbers"):
+            cells_of(df, ["k"], column, (1,))
+    with pytest.raises(ArgumentError, match="not numbers"):
+        tables.array_cells(df, ["k"], "words", (1, 1))
+    assert to_numpy(cells_of(df, ["k"], "money", (1,)))[0] == 1.5
+    named = members.select_member(structs(spark), "s.pos.name", ["k"], (4,))
+    assert "holds string" in pipeline(named, ["slice"]).error
+
+
 def structs(spark):
     rows = [Row(k=k, s=Row(id=k, pos=Row(x=k / 2, name=f"n{k}"), grid=[[k, 1, 2], [3, 4, 5]], tags=list(range(k)))) for k in range(4)]
     return spark.createDataFrame(
