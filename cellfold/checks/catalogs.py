@@ -292,12 +292,12 @@ views AS (
   UNION ALL SELECT n_name || ' suppliers', s_name, '/suppliers/' || s_name, 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT n_name, 'base', nation, 0 FROM customers)"""
 
-PROBLEM = """CASE WHEN f.kind IS NULL THEN 'there is nothing at this path'
-  WHEN f.kind = 'Unresolved' THEN 'this link does not resolve to an object'
-  WHEN f.kind <> 'Dataset' THEN 'this is a ' || lower(f.kind) || ', and only a dataset holds values'
-  WHEN rank IS NULL THEN 'this dataset holds no elements'
-  WHEN NOT num THEN 'this dataset holds ' || type || ', and only numbers can be plotted'
-  WHEN rank = 0 THEN 'this dataset is a single value, and a line needs several' END"""
+PROBLEM = """CASE WHEN f.kind IS NULL THEN 'missing'
+  WHEN f.kind = 'Unresolved' THEN 'link without an object'
+  WHEN f.kind <> 'Dataset' THEN 'no dataset: ' || lower(f.kind)
+  WHEN rank IS NULL THEN 'no elements'
+  WHEN NOT num THEN 'not numeric: ' || type
+  WHEN rank = 0 THEN 'single value' END"""
 
 
 def view_facts(spark, d):
@@ -347,8 +347,8 @@ ISSUES = f"""{FACTS},
 issues AS (
   SELECT v.view, v.line, v.path, coalesce({PROBLEM},
     CASE WHEN held_axes > rank THEN held_axes || ' subscripts for ' || rank || ' axes'
-         WHEN held_axes = rank THEN 'this names one element, not a line'
-         WHEN rank - held_axes > 1 THEN 'this leaves ' || (rank - held_axes) || ' axes, and an entry is one line' END) AS reason
+         WHEN held_axes = rank THEN 'not one line: one element'
+         WHEN rank - held_axes > 1 THEN 'not one line: ' || (rank - held_axes) || ' axes left' END) AS reason
   FROM views v LEFT JOIN facts f ON f.path = v.path)"""
 
 

@@ -15,7 +15,7 @@ from cellfold.runtime import small_side
 
 def _number(value, name: str) -> float:
     if isinstance(value, bool) or not isinstance(value, (int, float)):
-        raise ArgumentError(f"enter a number for {name}")
+        raise ArgumentError(f"{name} has to be a number")
     return float(value)
 
 

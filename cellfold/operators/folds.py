@@ -34,7 +34,7 @@ def fold_axes(axis, rank: int) -> list[int]:
             raise ArgumentError(f"axis {a} is out of bounds for rank {rank}")
         out.append(at)
     if len(set(out)) != len(out):
-        raise ArgumentError("the same axis is named twice")
+        raise ArgumentError("an axis is repeated")
     return out
 
 

@@ -37,7 +37,7 @@ def select_member(df: DataFrame, path: str, keys: list[str], shape: tuple[int, .
         if not isinstance(kind, T.ArrayType) or not dims:
             raise ArgumentError(f"{path} is {kind.simpleString()}, which has no axis to index")
         if not -dims[0] <= sub < dims[0]:
-            raise ArgumentError(f"{sub} is past the end of an axis of {dims[0]}")
+            raise ArgumentError(f"index {sub} is outside an axis of {dims[0]}")
         value, kind, dims = F.get(value, F.lit(sub % dims[0])), kind.elementType, dims[1:]
     out = df.select(*keyed, value.alias("v"))
     rank = len(keys)

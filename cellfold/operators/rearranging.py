@@ -17,9 +17,9 @@ def permutation(axes, rank: int) -> list[int]:
             raise ArgumentError(f"axis {a} is out of bounds for rank {rank}")
         out.append(at)
     if len(out) != rank:
-        raise ArgumentError(f"{len(out)} axes for rank {rank}; name every axis or none")
+        raise ArgumentError(f"a transpose takes all {rank} axes, not {len(out)}")
     if len(set(out)) != rank:
-        raise ArgumentError("the same axis is named twice")
+        raise ArgumentError("an axis is repeated")
     return out
 
 
@@ -33,18 +33,18 @@ def reshaped(size: int, shape) -> tuple[int, ...]:
     """The shape asked for, with one -1 worked out from the element count."""
     shape = [shape] if isinstance(shape, int) else list(shape)
     if not shape:
-        raise ArgumentError("enter a shape")
+        raise ArgumentError("a shape is missing")
     if any(n < -1 for n in shape):
-        raise ArgumentError("only -1 stands for an extent to work out")
+        raise ArgumentError("no extent but -1 is negative")
     if shape.count(-1) > 1:
-        raise ArgumentError("only one extent can be -1")
+        raise ArgumentError("-1 appears at most once")
     known = element_count([n for n in shape if n != -1])
     if -1 in shape:
         if known == 0 or size % known:
-            raise ArgumentError(f"{size} elements do not divide evenly by {known}")
+            raise ArgumentError(f"{size} elements leave no whole extent over {known}")
         shape[shape.index(-1)] = size // known
     elif known != size:
-        raise ArgumentError(f"{size} elements cannot be reshaped into {known}")
+        raise ArgumentError(f"a shape of {known} elements for {size}")
     return tuple(shape)
 
 

@@ -165,7 +165,7 @@ def diff_axis(n: int, axis: int, rank: int) -> int:
     if n < 0:
         raise ArgumentError(f"the order of a difference is not negative, and this is {n}")
     if rank == 0:
-        raise ArgumentError("a difference needs an axis to run along")
+        raise ArgumentError("a single value has no difference")
     at = axis + rank if axis < 0 else axis
     if not 0 <= at < rank:
         raise ArgumentError(f"axis {axis} is out of bounds for rank {rank}")

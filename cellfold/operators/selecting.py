@@ -17,13 +17,13 @@ CROWDED_LINES = 64
 def _whole(index: int, extent: int) -> int:
     at = index + extent if index < 0 else index
     if not 0 <= at < extent:
-        raise ArgumentError(f"{index} is past the end of an axis of {extent}")
+        raise ArgumentError(f"index {index} is outside an axis of {extent}")
     return at
 
 
 def _run(term: builtins.slice, extent: int) -> range:
     if term.step == 0:
-        raise ArgumentError("a step of zero selects nothing")
+        raise ArgumentError("the step of a slice cannot be 0")
     return range(*term.indices(extent))
 
 
@@ -32,7 +32,7 @@ def _filled(subs, rank: int) -> list:
     subs = list(subs)
     gaps = [k for k, sub in enumerate(subs) if sub is Ellipsis]
     if len(gaps) > 1:
-        raise ArgumentError("only one ... can stand for the axes left")
+        raise ArgumentError("a subscript holds ... at most once")
     stated = len(subs) - len(gaps)
     if stated > rank:
         raise ArgumentError(f"{stated} subscripts for {rank} axes")
@@ -67,7 +67,7 @@ def sliced_shape(shape, subs) -> tuple[int, ...]:
     out = []
     for extent, sub in zip(shape, _filled(subs, len(shape))):
         if extent == 0:
-            raise ArgumentError("this axis is empty")
+            raise ArgumentError("an axis of extent 0 has nothing to select")
         if isinstance(sub, builtins.slice):
             count = len(_run(sub, extent))
         elif isinstance(sub, (list, tuple)):
@@ -163,7 +163,7 @@ def line(cells: Cells, *subs, series="line") -> DataFrame:
     shape = sliced_shape(cells.shape, subs)
     if len(shape) != 1:
         what = "one element" if not shape else " x ".join(map(str, shape))
-        raise ArgumentError(f"this selects {what}, and a line has one axis")
+        raise ArgumentError(f"a line has one axis, not {what}")
     return slice(cells, *subs).df.select(F.lit(series).alias("series"), F.col("i0").alias("pos"), "v")
 
 

@@ -20,14 +20,14 @@ STATES = ("full", "partial", "none")
 def _problem() -> Column:
     """Why a path cannot be drawn; null when it can."""
     return (
-        F.when(F.col("kind").isNull(), F.lit("there is nothing at this path"))
-        .when(F.col("kind") == UNRESOLVED, F.lit("this link does not resolve to an object"))
+        F.when(F.col("kind").isNull(), F.lit("missing"))
+        .when(F.col("kind") == UNRESOLVED, F.lit("link without an object"))
         .when(F.col("kind") != DATASET,
-              F.concat(F.lit("this is a "), F.lower("kind"), F.lit(", and only a dataset holds values")))
-        .when(F.col("rank").isNull(), F.lit("this dataset holds no elements"))
+              F.concat(F.lit("no dataset: "), F.lower("kind")))
+        .when(F.col("rank").isNull(), F.lit("no elements"))
         .when(~F.col("numeric"),
-              F.concat(F.lit("this dataset holds "), F.col("type"), F.lit(", and only numbers can be plotted")))
-        .when(F.col("rank") == 0, F.lit("this dataset is a single value, and a line needs several"))
+              F.concat(F.lit("not numeric: "), F.col("type")))
+        .when(F.col("rank") == 0, F.lit("single value"))
     )
 
 
@@ -57,8 +57,8 @@ def view_issues(views: DataFrame, nodes: DataFrame) -> DataFrame:
     shape = (
         F.when(F.col("held_axes") > F.col("rank"), F.concat(F.col("held_axes").cast("string"), F.lit(" subscripts for "),
                                                             F.col("rank").cast("string"), F.lit(" axes")))
-        .when(left == 0, F.lit("this names one element, not a line"))
-        .when(left > 1, F.concat(F.lit("this leaves "), left.cast("string"), F.lit(" axes, and an entry is one line")))
+        .when(left == 0, F.lit("not one line: one element"))
+        .when(left > 1, F.concat(F.lit("not one line: "), left.cast("string"), F.lit(" axes left")))
     )
     checked = views.join(facts, "path", "left").withColumn("reason", F.coalesce(_problem(), shape))
     return checked.where(F.col("reason").isNotNull()).select("view", "line", "path", "reason")

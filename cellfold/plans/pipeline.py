@@ -84,7 +84,7 @@ def pipeline(cells: Cells | DataFrame, steps: list, up_to: int | None = None) ->
     kind = cells.df.schema["v"].dataType if isinstance(cells, Cells) else None
     if not isinstance(kind, T.NumericType):
         held = "no dataset" if kind is None else kind.simpleString()
-        return Ran(None, 0, f"a pipeline works on numbers, and this holds {held}")
+        return Ran(None, 0, f"not numeric: {held}")
     steps = list(steps)
     if up_to is not None:
         steps = steps[:up_to]

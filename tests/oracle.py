@@ -42,7 +42,7 @@ def _rows(table):
 
 def compare(spark, db, query, sql, folder):
     ours = query(spark, folder).toArrow()
-    theirs = db.execute(sql).to_arrow_table() if hasattr(db.execute("SELECT 1"), "to_arrow_table") else db.execute(sql).arrow()
+    theirs = db.sql(sql).to_arrow_table()
     names, got = _rows(ours)
     other, want = _rows(theirs)
     if names != other:

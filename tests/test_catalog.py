@@ -147,14 +147,14 @@ def test_views(spark):
     assert [r.view for r in views.rank_views(matched).collect()] == ["Both", "over", "half", "blank", "none"]
     issues = views.view_issues(saved, nodes)
     assert {(r.view, r.line): r.reason for r in issues.collect()} == {
-        ("half", "c"): "this leaves 2 axes, and an entry is one line",
-        ("half", "d"): "there is nothing at this path",
-        ("half", "e"): "this dataset holds string, and only numbers can be plotted",
-        ("none", "f"): "this is a group, and only a dataset holds values",
-        ("none", "g"): "this link does not resolve to an object",
-        ("none", "h"): "this dataset holds no elements",
-        ("none", "i"): "this dataset is a single value, and a line needs several",
+        ("half", "c"): "not one line: 2 axes left",
+        ("half", "d"): "missing",
+        ("half", "e"): "not numeric: string",
+        ("none", "f"): "no dataset: group",
+        ("none", "g"): "link without an object",
+        ("none", "h"): "no elements",
+        ("none", "i"): "single value",
         ("over", "j"): "3 subscripts for 2 axes",
-        ("over", "k"): "this names one element, not a line",
+        ("over", "k"): "not one line: one element",
     }
     assert views.issue_counts(issues).where("view = 'none'").count() == 4

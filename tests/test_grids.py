@@ -56,7 +56,7 @@ def test_only_numbers_are_cells(spark):
         tables.array_cells(df, ["k"], "words", (1, 1))
     assert to_numpy(cells_of(df, ["k"], "money", (1,)))[0] == 1.5
     named = members.select_member(structs(spark), "s.pos.name", ["k"], (4,))
-    assert "holds string" in pipeline(named, ["slice"]).error
+    assert "not numeric: string" in pipeline(named, ["slice"]).error
 
 
 def structs(spark):
@@ -233,11 +233,11 @@ def test_provable_limits_need_no_job(spark):
 def test_a_refusal_stops_the_pipeline_and_keeps_what_ran(spark):
     cells = cells_from(spark, np.arange(6.0))
     ran = pipeline(cells, ["slice", ("reshape", (2, 3)), ("reshape", (4, 4)), "sqrt"])
-    assert ran.ran == 2 and ran.cells.shape == (2, 3) and "cannot be reshaped" in ran.error
+    assert ran.ran == 2 and ran.cells.shape == (2, 3) and "16 elements for 6" in ran.error
     assert "no operation" in pipeline(cells, ["slice", "fold"]).error
     assert pipeline(cells, ["slice", ("sqrt", 2)]).ran == 1
     assert pipeline(cells, [("slice", 99)]).ran == 0
-    assert pipeline(spark.range(3), ["slice"]).error.startswith("a pipeline works on numbers")
+    assert pipeline(spark.range(3), ["slice"]).error.startswith("not numeric")
     assert pipeline(cells_from(spark, 4.0), ["slice", "sqrt"]).ran == 2
     with pytest.raises(ArgumentError):
         pipeline_line(cells, ["slice", ("reshape", (2, 3))])
