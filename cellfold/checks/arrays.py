@@ -363,7 +363,7 @@ def _(spark, d):
 # --- pipelines ----------------------------------------------------------------
 
 
-@check("pipeline", f"""
+@check("array_pipeline", f"""
 WITH {CELLS}, picked AS (SELECT i0 // 2 AS i0, i1, v FROM cells WHERE i0 % 2 = 0),
 moved AS (SELECT i1 AS i0, i0 AS i1, abs(v) * 100 AS v FROM picked),
 ran AS (SELECT i0, i1, sum(v) OVER (PARTITION BY i0 ORDER BY i1) AS v FROM moved)

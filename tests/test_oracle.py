@@ -1,11 +1,12 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every query of the array and catalog operators against its SQL, on the smallest tables."""
 
 import pytest
 
 import oracle
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cellfold import checks
 
-SQL = oracle_sql()
+QUERIES, SQL = checks.load()
 
 
 @pytest.fixture(scope="module")
@@ -13,9 +14,9 @@ def db(data):
     return oracle.connection(data)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, data, db, name):
-    assert oracle.compare(spark, db, queries()[name], SQL[name], data) is None
+    assert oracle.compare(spark, db, QUERIES[name], SQL[name], data) is None
 
 
 def test_entry(spark):
