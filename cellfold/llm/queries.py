@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm import encoding, langid, simhash
+from cellfold.llm import encoding, langid, lines, simhash
 from cellfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,38 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, folder, "documents", "doc_id", "text"))
     return groups.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+LINES_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words
+    FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents)
+), firsts AS (
+    SELECT words, min((doc_id, no)) AS first FROM lines WHERE len(words) >= 3 GROUP BY words
+), forms AS (
+    SELECT words, first, 0 AS place, array_to_string(words, ' ') AS form FROM firsts WHERE len(words) >= 10
+    UNION ALL
+    SELECT words, first, k, array_to_string(list_concat(words[1:k - 1], words[k + 1:]), ' ')
+    FROM (SELECT words, first, unnest(range(1, len(words) + 1)) AS k FROM firsts WHERE len(words) >= 10)
+    WHERE k = 1 OR words[k] <> words[k - 1]
+), met AS (
+    SELECT words FROM (
+        SELECT words, first, place, min(first) OVER (PARTITION BY form, place) AS same,
+            min(first) FILTER (place = 0) OVER (PARTITION BY form) AS whole,
+            min(first) FILTER (place > 0) OVER (PARTITION BY form) AS part
+        FROM forms)
+    WHERE (place > 0 AND (same < first OR whole < first)) OR (place = 0 AND part < first)
+    GROUP BY words
+), kept AS (
+    SELECT l.doc_id, l.no, l.line FROM lines l
+    WHERE len(words) < 3 OR ((doc_id, no) IN (SELECT first FROM firsts) AND words NOT IN (SELECT words FROM met))
+)
+SELECT d.doc_id, coalesce(any_value(len(string_split(d.text, chr(10)))), 0)::BIGINT AS n_lines, count(k.no)::BIGINT AS n_kept,
+    coalesce(string_agg(k.line, chr(10) ORDER BY k.no), '') AS text
+FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
