@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm import encoding, langid, lines, simhash
+from cellfold.llm import encoding, langid, lines, mixing, simhash
 from cellfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id
 @query("op2_line_dedup", LINES_SQL)
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
+
+
+@query("op1_mixing")
+def mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(table(spark, folder, "documents", "doc_id", "text", "source"))
