@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm import encoding, langid, lines, mixing, simhash, toxicity
+from cellfold.llm import encoding, ivfpq, langid, lines, mixing, simhash, toxicity
 from cellfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     model = toxicity.fit(docs, table(spark, folder, "labels", "doc_id", "toxic"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_near_vectors")
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ivfpq.near_vectors(table(spark, folder, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector"))
