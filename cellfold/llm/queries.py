@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm import encoding, ivfpq, langid, lines, mixing, simhash, toxicity
+from cellfold.llm import encoding, ivfpq, langid, lines, mixing, mtree, simhash, toxicity
 from cellfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,21 @@ def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_near_vectors")
 def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return ivfpq.near_vectors(table(spark, folder, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector"))
+
+
+TOP_SQL = """
+WITH v AS (
+    SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+    FROM v q, v x WHERE q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20
+"""
+
+
+@query("op8_top_products", TOP_SQL)
+def top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.top_products(table(spark, folder, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector"))
