@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm import encoding, ivfpq, langid, lines, mixing, mtree, simhash, toxicity
+from cellfold.llm import encoding, extraction, ivfpq, langid, lines, mixing, mtree, simhash, toxicity
 from cellfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ FROM pairs QUALIFY rank <= 20
 @query("op8_top_products", TOP_SQL)
 def top_products(spark: SparkSession, folder: str) -> DataFrame:
     return mtree.top_products(table(spark, folder, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector"))
+
+
+@query("op5_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(table(spark, folder, "pages", "page_id", "url", "html"))
