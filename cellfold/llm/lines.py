@@ -44,14 +44,14 @@ def signed(value: int) -> int:
 
 def halves(words: list[bytes]) -> list[int]:
     """Hashes of the first and the last half, as a line of its own length and as one of a
-    word less.  Even hashes are of first halves, odd ones of last halves."""
-    found = []
-    for length in (len(words), len(words) - 1):
+    word less; two of the four are always the same words.  Even hashes are of first
+    halves, odd ones of last halves."""
+    n, found = len(words), set()
+    for length in (n, n - 1):
         cut = length // 2
-        first = xxhash.xxh64_intdigest(b" ".join(words[:cut]), length) & ~1
-        last = xxhash.xxh64_intdigest(b" ".join(words[len(words) - length + cut:]), length) | 1
-        found += [signed(first), signed(last)]
-    return found
+        found.add(xxhash.xxh64_intdigest(b" ".join(words[:cut])) & ~1)
+        found.add(xxhash.xxh64_intdigest(b" ".join(words[n - length + cut:])) | 1)
+    return [signed(h) for h in found]
 
 
 def line_hash(words: list[bytes]) -> tuple[int, int]:
