@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm import encoding, extraction, ivfpq, langid, lines, mixing, mtree, simhash, toxicity
+from cellfold.llm import encoding, extraction, ivfpq, langid, lines, mixing, mtree, simhash, surrogates, toxicity
 from cellfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def top_products(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_main_text")
 def main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query("op4_surrogates")
+def private_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace(table(spark, folder, "documents", "doc_id", "text"))
