@@ -200,7 +200,8 @@ def taken_spans(docs: DataFrame, mix: Mixture) -> DataFrame:
     pieces = over.select(
         "source_no", "block", "doc_id", "h", (F.greatest(F.col("start"), F.col("block") * size) - F.col("start")).alias("first"),
         (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size) - F.col("start")).alias("past"))
-    return draw_slots(docs.sparkSession, mix).join(pieces, ["source_no", "block"])
+    # What a task of draws makes is not in its size, so the planner must not take it for small.
+    return draw_slots(docs.sparkSession, mix).hint("merge").join(pieces, ["source_no", "block"])
 
 
 def sized(docs: DataFrame) -> DataFrame:
