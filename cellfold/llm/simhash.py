@@ -13,7 +13,6 @@ is dealt into chunks and every two chunks meet in a task of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from cellfold.llm.cells import each_cell
 from cellfold.llm.common import components
 from cellfold.runtime import written
 
@@ -90,33 +90,15 @@ def linked(prints: np.ndarray, tables: np.ndarray, bits: int) -> np.ndarray:
     return root
 
 
-def links_of_cells(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by cell -> a spanning star for each component of each cell."""
-    rest = None
-    def work(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        cells = frame[["key", "low", "high"]].to_numpy()
-        cuts = np.nonzero((cells[1:] != cells[:-1]).any(axis=1))[0] + 1
-        prints = frame["fp"].to_numpy(np.int64)
-        tables = np.frombuffer(b"".join(frame["table"]), np.int8).reshape(len(frame), -1).astype(np.int16)
-        a, b = [], []
-        for start, end in zip([0, *cuts], [*cuts, len(frame)]):
-            if end - start > 1:
-                here = prints[start:end]
-                root = here[linked(here.view(np.uint64), tables[start:end], bits)]
-                a.append(here[root != here])
-                b.append(root[root != here])
-        if a:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        last = frame[["key", "low", "high"]].to_numpy()
-        open_ = len(frame) - int((last == last[-1]).all(axis=1).sum()) if len(frame) else 0
-        rest = frame.iloc[open_:]
-        if open_:
-            yield from work(frame.iloc[:open_])
-    if rest is not None and len(rest):
-        yield from work(rest)
+def links_of_cell(cell: pd.DataFrame, bits: int) -> pd.DataFrame | None:
+    """A spanning star for each component of a cell."""
+    if len(cell) < 2:
+        return None
+    prints = cell["fp"].to_numpy(np.int64)
+    tables = np.frombuffer(b"".join(cell["table"]), np.int8).reshape(len(cell), -1).astype(np.int16)
+    root = prints[linked(prints.view(np.uint64), tables, bits)]
+    away = root != prints
+    return pd.DataFrame({"a": prints[away], "b": root[away]})
 
 
 def near_links(prints: DataFrame, bits: int = 3, pivots: int = PIVOTS) -> DataFrame:
@@ -125,29 +107,52 @@ def near_links(prints: DataFrame, bits: int = 3, pivots: int = PIVOTS) -> DataFr
     keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), bits)).alias("key"))
     counts = written(keyed.groupBy("key").count().where("count > 1"), "keys")
     chunks = F.ceil(F.col("count") / CHUNK)
-    met = keyed.join(counts, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+    met = keyed.hint("merge").join(counts, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     table = F.concat(*[F.unhex(F.lpad(F.hex(F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(r))))), 2, "0")) for r in references(pivots)])
     cells = met.withColumn("other", other).select(
         "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp").withColumn("table", table)
-    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return cells.mapInPandas(lambda frames: links_of_cells(frames, bits), "a long, b long").distinct()
+    keys = ["key", "low", "high"]
+    cells = cells.repartition(*keys).sortWithinPartitions(*keys)
+    found = cells.mapInPandas(lambda frames: each_cell(frames, keys, lambda cell: links_of_cell(cell, bits)), "a long, b long")
+    return found.distinct()
 
 
 def simhash_groups(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row of ``docs`` (``doc_id, text``).
+    """``docs`` (``doc_id, text`` and any others) with ``fp, component_id`` for ``text``.
 
     Component: everything reachable over fingerprints at most ``bits`` bits apart; its id
     is the smallest doc_id.  Null and empty texts have fingerprint zero and link like any
     other.  Repeated rows stay; a null doc_id is linked but never names a component.
+    Columns called ``fp`` or ``component_id`` are replaced.
     """
-    marked = written(docs.select("doc_id", fingerprint("text").alias("fp")), "prints")
-    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
+    kept = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
+    marked = written(docs.select(*kept, fingerprint("text").alias("fp")), "prints")
+    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")), "values")
     found = components(near_links(prints, bits)).withColumnRenamed("node", "fp")
-    named = written(prints.join(found, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "groups")
-    first = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "firsts")
+    named = written(prints.join(found, "fp", "left").select("fp", "_first", F.coalesce("label", "fp").alias("label")), "groups")
+    first = written(named.groupBy("label").agg(F.min("_first").alias("component_id")), "firsts")
     of = written(named.join(first, "label").select("fp", "component_id"), "members")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(of, "fp").select(*kept, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, bits: int = 3) -> DataFrame:
+    """One row of each group of ``docs``: that of the smallest doc_id.
+
+    A group whose documents all have no id keeps its smallest text hash.  Rows that repeat
+    the kept id and text are one.
+    """
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    groups = simhash_groups(marked, bits)
+    able = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = able.where("doc_id IS NOT NULL").groupBy("doc_id", "component_id", "fp").agg(F.min("_h").alias("_of")).select("doc_id", "_of")
+    alone = able.where("doc_id IS NULL").groupBy("doc_id").agg(F.min("_h").alias("_of"))
+    kept = written(named.unionByName(alone).withColumnRenamed("doc_id", "_doc"), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_of"))
+    left = docs.join(kept, same, "left_semi")
+    # Only where an id and text are repeated is there anything to collapse.
+    repeated = groups.select("doc_id", "_h").join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_of"))).count() > kept.count()
+    return left.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h") if repeated else left
 
 
 def hex16(value: str) -> Column:
