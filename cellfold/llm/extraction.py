@@ -35,7 +35,7 @@ LONG, EVERY = 24, 16
 #: Distinct pages, and share of the host's distinct pages, that make a substring furniture.
 PAGES, SHARE = 5, 0.2
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
