@@ -19,6 +19,7 @@ and only lines that share one emit deletions, and only in the other half.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,11 @@ def read_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
+@functools.lru_cache(maxsize=64)
+def powers(base: int, count: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(count - 1, base, np.uint64)]))
+
+
 def neighbourhood(words: list[bytes], first: bool, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of the whole line (place -1) and of it without each word, and the places.
 
@@ -94,9 +100,7 @@ def neighbourhood(words: list[bytes], first: bool, last: bool) -> tuple[np.ndarr
     places = starts[keep]
     hashes = []
     for base, salt in zip(BASES, (0, 0xA5A5A5A5)):
-        powers = np.array([1], np.uint64)
-        powers = np.cumprod(np.concatenate([powers, np.full(n - 1, base, np.uint64)]))
-        terms = (own ^ np.uint64(salt)) * powers
+        terms = (own ^ np.uint64(salt)) * powers(base, 1 << (n - 1).bit_length())[:n]
         before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
         total = before[-1]
         without = before[places] + (total - before[places + 1]) * np.uint64(pow(base, -1, mask + 1))
@@ -105,6 +109,12 @@ def neighbourhood(words: list[bytes], first: bool, last: bool) -> tuple[np.ndarr
 
 
 def read_neighbourhoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def joined(parts):
+        v, w, place, *one = zip(*parts)
+        lengths = list(map(len, v))
+        doc, no, a = (pd.Series(x, dtype="Int64").repeat(lengths).array for x in one)
+        return pd.DataFrame({"v": np.concatenate(v), "w": np.concatenate(w), "place": np.concatenate(place), "doc_id": doc, "no": no, "a": a})
+
     for frame in frames:
         parts, count = [], 0
         for doc, text, firsts, lasts in zip(frame["doc_id"], frame["text"], frame["firsts"], frame["lasts"]):
@@ -116,14 +126,13 @@ def read_neighbourhoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
                 a = line_hash(words)[0]
                 if (a in firsts or a in lasts) and a not in seen:
                     seen.add(a)
-                    v, w, place = neighbourhood(words, a in firsts, a in lasts)
-                    parts.append(pd.DataFrame({"v": v, "w": w, "place": place, "no": np.int32(no), "a": a}).assign(doc_id=doc))
-                    count += len(v)
+                    parts.append((*neighbourhood(words, a in firsts, a in lasts), None if pd.isna(doc) else int(doc), no, a))
+                    count += len(words) + 1
             if count >= ROWS:
-                yield pd.concat(parts)[["v", "w", "place", "doc_id", "no", "a"]].astype({"doc_id": "Int64"})
+                yield joined(parts)
                 parts, count = [], 0
         if parts:
-            yield pd.concat(parts)[["v", "w", "place", "doc_id", "no", "a"]].astype({"doc_id": "Int64"})
+            yield joined(parts)
 
 
 @F.pandas_udf(StringType())
@@ -164,7 +173,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = written(marked.where("text IS NOT NULL").select("doc_id", "h", "text").mapInPandas(
         read_lines, "doc_id long, h long, no int, a long, b long, keys array<long>"), "lines")
     at = F.struct("doc_id", "no")
-    firsts = written(lines.groupBy("a", "b").agg(F.min(at).alias("first")), "firsts")
+    firsts = written(lines.groupBy("a", "b").agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
 
     halves_ = lines.select("doc_id", "a", F.explode("keys").alias("key"))
     multi = written(halves_.groupBy("key").agg(F.min("a").alias("p"), F.max("a").alias("q")).where("p <> q").select("key"), "halves")
@@ -179,7 +188,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     forms = written(forms.mapInPandas(read_neighbourhoods, "v long, w long, place int, doc_id long, no int, a long"), "forms")
 
     gone = earliest_met(forms).withColumn("gone", F.lit(True))
-    state = written(firsts.join(gone, "a", "left"), "state")
+    # A line that stands once and meets no earlier one stays, whatever it is.
+    state = written(firsts.join(gone, "a", "left").where("n > 1 OR gone").drop("n"), "state")
     dropped = lines.select("doc_id", "h", "no", "a", "b").join(state, ["a", "b"]).where(
         F.col("gone") | (F.struct("doc_id", "no") != F.col("first")))
     dropped = dropped.groupBy(F.col("doc_id").alias("_of"), F.col("h").alias("_h")).agg(F.collect_set("no").alias("_gone"))
