@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,7 +85,7 @@ def json_text(value: Column, kind: T.DataType) -> Column:
     number for, are the words "nan", "inf" and "-inf".
     """
     if isinstance(kind, T.StructType):
-        parts = [F.concat(F.lit(f'"{f.name}": '), json_text(value[f.name], f.dataType)) for f in kind]
+        parts = [F.concat(F.lit(f"{json.dumps(f.name, ensure_ascii=False)}: "), json_text(value[f.name], f.dataType)) for f in kind]
         inner = F.concat_ws(", ", *parts) if parts else F.lit("")
         return F.coalesce(F.concat(F.lit("{"), inner, F.lit("}")), F.lit("null"))
     if isinstance(kind, T.ArrayType):

@@ -10,16 +10,16 @@ from cellfold.model import ArgumentError
 from cellfold.operators.ordering import sort_order
 from cellfold.operators.selecting import lengths
 from cellfold.operators.summaries import log_columns
-from cellfold.runtime import small_side
+from cellfold.runtime import bounded, same_keys, small_side
 
 
 def against_time_base(lines: DataFrame, base: DataFrame) -> DataFrame:
     """[series, pos, x, v]: sample i at x = base[i]; what has no partner is not drawn."""
-    return lines.join(base.select("pos", F.col("v").alias("x")), "pos").select("series", "pos", "x", "v")
+    return lines.join(small_side(base.select("pos", F.col("v").alias("x"))), "pos").select("series", "pos", "x", "v")
 
 
 def _spread(lines: DataFrame, axis_length: int) -> DataFrame:
-    counted = lines.join(small_side(lengths(lines)), "series")
+    counted = same_keys(lines, small_side(lengths(lines)), ["series"])
     at = F.col("pos") * F.lit(axis_length - 1) / F.nullif(F.col("n") - 1, F.lit(0))
     return counted.withColumn("at", F.when(F.col("n") > 1, at).otherwise(F.col("pos").cast("double")))
 
@@ -35,7 +35,9 @@ def stretch_against(lines: DataFrame, base: DataFrame, axis_length: int | None =
     """Stretched over a base, then x is the base at the nearest position."""
     n = base.count() if axis_length is None else axis_length
     near = stretch(lines, max(n, 1)).withColumn("_k", round_away(F.col("at")))
-    joined = near.join(base.select(F.col("pos").alias("_k"), F.col("v").alias("x")), "_k")
+    # Many short lines ask for few places: a base that is small is not shuffled against them.
+    places = base.select(F.col("pos").alias("_k"), F.col("v").alias("x"))
+    joined = near.join(bounded(places, n) if axis_length is None else small_side(places), "_k")
     return joined.select("series", "pos", "at", "x", "v")
 
 
@@ -56,12 +58,12 @@ def own_time_bases(lines: DataFrame, assign: DataFrame, bases: DataFrame, defaul
         placed = chosen.withColumn("_k", F.col("pos"))
     else:
         counts = small_side(lengths(lines))
-        counted = chosen.join(counts, "series")
+        counted = same_keys(chosen, counts, ["series"])
         at = F.col("pos") * F.lit(stretch_to - 1) / F.nullif(F.col("n") - 1, F.lit(0))
         placed = counted.withColumn(
             "_k", F.when(F.col("_is_own") | (F.col("n") <= 1), F.col("pos")).otherwise(round_away(at)))
     x = bases.select("base", F.col("pos").alias("_k"), F.col("v").alias("x"))
-    return placed.join(x, ["base", "_k"]).select("series", "base", "pos", "x", "v")
+    return placed.join(small_side(x), ["base", "_k"]).select("series", "base", "pos", "x", "v")
 
 
 def log_columns_against(lines: DataFrame, base: DataFrame, lo: float, hi: float, columns: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellfold.model import ArgumentError, Cells, axis_name
+from cellfold.sources.tables import places
 
 
 def field_type(df: DataFrame, path: str) -> T.DataType:
@@ -45,8 +46,10 @@ def select_member(df: DataFrame, path: str, keys: list[str], shape: tuple[int, .
         if not isinstance(kind, T.ArrayType):
             raise ArgumentError(f"{path} has fewer dims than {dims}")
         axes = [axis_name(a) for a in range(rank)]
-        out = out.select(*axes, F.posexplode("v").alias(axis_name(rank), "v"))
-        out = out.withColumn(axis_name(rank), F.col(axis_name(rank)).cast("bigint"))
+        # Every place is opened, also of a null or short array.
+        at = axis_name(rank)
+        out = out.select(*axes, F.explode(places(extent)).alias(at), F.col("v").alias("_a"))
+        out = out.select(*axes, at, F.get("_a", F.col(at).cast("int")).alias("v"))
         shape, kind, rank = (*shape, extent), kind.elementType, rank + 1
     integer = isinstance(kind, T.IntegralType)
     if isinstance(kind, T.NumericType):

@@ -130,21 +130,27 @@ def nearest_sample(probes: DataFrame, lines: DataFrame, log_x: bool = False, log
 
     ``lines`` is [series, pos, x, v].  A sample is drawable when it is finite and
     above zero on a logarithmic axis; of two as near, the earlier one.  The
-    answer [probe, series, x, pos, sample_x, v] is null where there is none.
+    answer [probe, series, x, pos, sample_x, v] is null where there is none, and for
+    a probe without a series or with an x that is null or not finite.
     """
     drawable = is_finite("x") & is_finite("v")
     drawable = drawable & (F.col("x") > 0) if log_x else drawable
     drawable = drawable & (F.col("v") > 0) if log_y else drawable
     samples = lines.where(drawable).select("series", "pos", F.col("x").alias("_x"), F.col("v").alias("_v"))
+    # What can't be looked up keeps its row, on either way and whatever the number of probes.
+    able = F.coalesce(is_finite("x") & F.col("series").isNotNull(), F.lit(False))
+    unable, probes = probes.where(~able), probes.where(able)
     bounds = _edges(probes, "x")
     sides = _sides_in_gaps(probes, samples, bounds) if bounds is not None else _sides_in_order(probes, samples)
     away = lambda side: F.abs(F.col(f"{side}.x") - F.col("x"))
     take_low = F.col("_high").isNull() | (away("_low") < away("_high")) | (
         (away("_low") == away("_high")) & (F.col("_low.pos") < F.col("_high.pos")))
     best = F.when(F.col("_low").isNotNull() & take_low, F.col("_low")).otherwise(F.col("_high"))
-    return sides.withColumn("_best", best).select(
+    found = sides.withColumn("_best", best).select(
         "probe", "series", "x", F.col("_best.pos").alias("pos"), F.col("_best.x").alias("sample_x"),
         F.col("_best.v").alias("v"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in found.dtypes[3:]]
+    return found.unionByName(unable.select("probe", "series", F.col("x").cast(dict(found.dtypes)["x"]).alias("x"), *none))
 
 
 def _sides_in_gaps(probes: DataFrame, samples: DataFrame, bounds: np.ndarray) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import builtins
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellfold.model import ArgumentError, Cells, axis_name, element_count, flat_position, int_div
-from cellfold.runtime import BROADCAST_ROWS, small_side
+from cellfold.runtime import BROADCAST_ROWS, same_keys, small_side
 from cellfold.sources.tables import element_positions
 
 CROWDED_LINES = 64
@@ -54,12 +55,28 @@ def _terms(sub: list, extent: int) -> list[range]:
     return out
 
 
+def _common(left: range, right: range) -> range:
+    """The indices that two runs share, again a run."""
+    left, right = (t if t.step > 0 else t[::-1] for t in (left, right))
+    shared = math.gcd(left.step, right.step)
+    if (right.start - left.start) % shared:
+        return range(0)
+    step = left.step // shared * right.step
+    turns = (right.start - left.start) // shared * pow(left.step // shared, -1, right.step // shared) if right.step > shared else 0
+    first = left.start + turns * left.step
+    low = builtins.max(left.start, right.start)
+    return range(first + -(-(low - first) // step) * step, builtins.min(left.stop, right.stop), step)
+
+
 def _list_count(terms: list[range]) -> int:
-    """How many different indices the terms name; short lists only are listed."""
-    named = builtins.sum(len(t) for t in terms)
-    if len(terms) == 1:
-        return named
-    return len(set().union(*terms)) if named <= BROADCAST_ROWS else -1
+    """How many different indices the terms name, by arithmetic alone."""
+    single = {t[0] for t in terms if len(t) == 1}
+    runs = [t for t in terms if len(t) > 1]
+    found = builtins.sum(1 for i in single if not builtins.any(i in t for t in runs))
+    for k, term in enumerate(runs):
+        over = [c for c in (_common(term, earlier) for earlier in runs[:k]) if len(c)]
+        found += len(term) - (_list_count(over) if over else 0)
+    return found
 
 
 def sliced_shape(shape, subs) -> tuple[int, ...]:
@@ -102,7 +119,7 @@ def _pairs(spark, terms: list[range]) -> tuple[DataFrame, int]:
         offset += len(term)
     first = listed.groupBy("_old").agg(F.min("_rank").alias("_rank"))
     pairs = element_positions(first, ["_rank"], "_new").select("_old", "_new")
-    return pairs, pairs.count()
+    return pairs, _list_count(terms)
 
 
 def take(cells: Cells, axis: int, indices: list) -> Cells:
@@ -196,7 +213,8 @@ def thin(lines: DataFrame, max_points: int, length: int | None = None) -> DataFr
         stride = -(-length // max_points)
         return lines.where(F.col("pos") % stride == 0) if stride > 1 else lines
     strides = lengths(lines).select("series", int_div(F.col("n") + (max_points - 1), max_points).alias("_stride"))
-    return lines.join(small_side(strides), "series").where(F.col("pos") % F.col("_stride") == 0).drop("_stride")
+    joined = same_keys(lines, small_side(strides), ["series"])
+    return joined.where(F.col("pos") % F.col("_stride") == 0).select(*lines.columns)
 
 
 def run_of(lines: DataFrame, first: int, span: int) -> DataFrame:

@@ -50,6 +50,15 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` where the keys are the same, null being a key like any other."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(renamed, match, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a table of unknown size after counting it up to the limit.
 

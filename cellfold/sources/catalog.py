@@ -9,9 +9,9 @@ from cellfold.runtime import written
 
 GROUP, DATASET, UNRESOLVED = "Group", "Dataset", "Unresolved"
 
-# Fixed value: most soft links followed one after the other before a path is
-# given up as leading nowhere.
-LINK_HOPS = 16
+# A path that has passed as many links as there are, so many times over, leads in a
+# circle (a link below a link may be passed more than once).
+TURNS = 8
 
 
 def normalised(path: str | Column) -> Column:
@@ -91,20 +91,22 @@ def member_counts(nodes: DataFrame) -> DataFrame:
     return groups.join(counts, "path", "left").select("path", F.coalesce("members", F.lit(0)).alias("members"))
 
 
-def resolve_links(nodes: DataFrame, hops: int = LINK_HOPS) -> DataFrame:
+def resolve_links(nodes: DataFrame, hops: int | None = None) -> DataFrame:
     """``nodes`` with ``resolved``, the path of the object each one stands for.
 
     A soft link is followed to its object, through other soft links where its
     target is one or lies below one; a relative target starts at the link's own
-    group.  More than ``hops`` links in a row, a loop, or a target that is not
-    there resolve to nothing, and the node's kind is Unresolved.  Each round
-    joins the table of links with itself as it stands, so a chain is followed in
-    steps of 1, 2, 4, … links.
+    group.  A loop or a target that is not there resolve to nothing, and the node's
+    kind is Unresolved; so do more than ``hops`` links in a row where that is given.
+    Each round joins the links that are still open with the table of links as it
+    stands, so a chain is followed in steps of 1, 2, 4, … links and its length has
+    no bound.  What has passed the links there are ``TURNS`` times over is a loop.
     """
     nodes = written(nodes.select("path", "name", "parent", "kind", "link", "target"), "nodes")
     soft = nodes.where(F.col("link") == "soft")
     goal = F.when(F.col("target").startswith("/"), F.col("target")).otherwise(F.concat_ws("/", "parent", "target"))
-    links = soft.select("path", normalised(goal).alias("goal"), F.lit(1).alias("used"), F.lit(True).alias("open"))
+    links = written(soft.select("path", normalised(goal).alias("goal"), F.lit(1).cast("long").alias("used"), F.lit(True).alias("open")), "links")
+    hops = TURNS * (links.count() + 1) if hops is None else hops
     taken = 1
     while taken <= hops:
         # The topmost part of a goal that is a link itself is what gets replaced.

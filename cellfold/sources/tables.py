@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellfold.model import ArgumentError, Cells, axis_name, require_number
-from cellfold.runtime import small_side, written
+from cellfold.runtime import same_keys, small_side, written
 
 
 def scan(spark: SparkSession, folder: str, table: str, columns: list[str]) -> DataFrame:
@@ -68,7 +69,7 @@ def series_positions(df: DataFrame, series: str, order_by: list[str]) -> DataFra
     """
     ordered = element_positions(df, [series, *order_by], "_flat")
     starts = small_side(ordered.groupBy(series).agg(F.min("_flat").alias("_first")))
-    return ordered.join(starts, series).select(
+    return same_keys(ordered, starts, [series]).select(
         *df.columns, (F.col("_flat") - F.col("_first")).alias("pos")
     )
 
@@ -87,12 +88,16 @@ def array_cells(df: DataFrame, keys: list[str], array_col: str, shape=None) -> C
         raise ArgumentError(f"{len(keys)} keys and an array are rank {len(keys) + 1}")
     axes = [F.col(k).cast("bigint").alias(axis_name(a)) for a, k in enumerate(keys)]
     last = axis_name(len(keys))
-    opened = df.select(*axes, F.posexplode(array_col).alias(last, "v"))
-    number = F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v")
-    return Cells(
-        opened.select(*[axis_name(a) for a in range(len(keys))], F.col(last).cast("bigint"), number),
-        tuple(shape),
-    )
+    # Every place of the axis is opened, also where a row's array is null or short.
+    opened = df.select(*axes, F.explode(places(shape[-1])).alias(last), F.col(array_col).alias("_a"))
+    number = F.coalesce(F.get("_a", F.col(last).cast("int")).cast("double"), F.lit(float("nan"))).alias("v")
+    whole = isinstance(df.schema[array_col].dataType.elementType, T.IntegralType)
+    return Cells(opened.select(*[axis_name(a) for a in range(len(keys))], last, number), tuple(shape), whole)
+
+
+def places(extent: int) -> Column:
+    """The positions 0 ... extent-1 as an array."""
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(extent - 1).cast("bigint")) if extent else F.array().cast("array<bigint>")
 
 
 def array_length(df: DataFrame, array_col: str) -> int:

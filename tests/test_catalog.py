@@ -36,10 +36,11 @@ def test_members_and_children(spark):
 
 
 def test_resolve_links(spark):
-    chain = [soft(f"/chain/{k}", f"/chain/{k + 1}") for k in range(20)] + ["/chain/20"]
+    chain = [soft(f"/chain/{k}", f"/chain/{k + 1}") for k in range(40)] + ["/chain/40"]
     nodes = tree(spark, "/data/m", *chain, soft("/l/data", "/data/m"), soft("/l/group", "/data"),
                  soft("/l/through", "/l/group/m"), soft("/l/relative", "through"), soft("/l/self", "/l/self"),
-                 soft("/l/deeper", "/l/deeper/x"), soft("/l/a", "/l/b"), soft("/l/b", "/l/a"), soft("/l/nothing", "/nope"))
+                 soft("/l/deeper", "/l/deeper/x"), soft("/l/a", "/l/b"), soft("/l/b", "/l/a"), soft("/l/nothing", "/nope"),
+                 soft("/l/r1", "/l/r2"), soft("/l/r2", "/l/r3"), soft("/l/r3", "/l/r1"), soft("/l/into", "/l/r2/x"))
     rows = {r.path: (r.kind, r.resolved) for r in catalog.resolve_links(nodes).collect()}
     assert rows["/l/data"] == ("Dataset", "/data/m")
     assert rows["/l/group"] == ("Group", "/data")
@@ -47,10 +48,13 @@ def test_resolve_links(spark):
     assert rows["/l/relative"] == ("Dataset", "/data/m")
     for lost in ("self", "deeper", "a", "b", "nothing"):
         assert rows[f"/l/{lost}"] == ("Unresolved", None)
-    # Sixteen links in a row are followed, a seventeenth is one too many.
-    assert rows["/chain/4"] == ("Dataset", "/chain/20")
-    assert rows["/chain/3"] == ("Unresolved", None)
+    assert all(rows[f"/chain/{k}"] == ("Dataset", "/chain/40") for k in range(40))
+    for lost in ("r1", "r2", "r3", "into"):
+        assert rows[f"/l/{lost}"] == ("Unresolved", None)
     assert rows["/data/m"] == ("Dataset", "/data/m")
+    # With a number of links that may follow each other, one more is too many.
+    few = {r.path: r.kind for r in catalog.resolve_links(nodes, hops=16).collect()}
+    assert (few["/chain/24"], few["/chain/23"]) == ("Dataset", "Unresolved")
 
 
 def test_walk_tree(spark):

@@ -6,7 +6,7 @@ import pytest
 from cellfold import ArgumentError
 from cellfold.operators import elementwise as ew
 from cellfold.operators import folds, rearranging, running, selecting
-from conftest import cells_from, collect_cases
+from conftest import cells_from, collect_cases, to_numpy
 
 SHAPES = [(), (1,), (5,), (0,), (4, 3), (0, 3), (3, 0), (2, 3, 4), (2, 1, 3, 2)]
 
@@ -239,3 +239,34 @@ def test_long_list_is_written_by_executors(spark, monkeypatch):
     got = selecting.slice(cells_from(spark, array), [S(10, 0, -2), S(0, 12), 19])
     want = list(dict.fromkeys([*range(10, 0, -2), *range(12), 19]))
     np.testing.assert_array_equal(collect_cases({"x": got})["x"], array[want])
+
+
+def test_lists_are_counted():
+    """What a list of spans names is counted without listing it."""
+    import random
+
+    from cellfold.operators import selecting
+
+    rng = random.Random(1)
+    for _ in range(300):
+        extent = rng.randint(1, 40)
+        subs = [rng.choice([rng.randrange(extent), slice(rng.randrange(extent), None, rng.choice([1, 2, 3, 5])),
+                            slice(None, rng.randint(0, extent), rng.choice([1, 2, 4])), slice(None, None, -rng.randint(1, 4))])
+                for _ in range(rng.randint(1, 5))]
+        want = {i for s in subs for i in (range(extent)[s] if isinstance(s, slice) else [s])}
+        if want:
+            assert selecting.sliced_shape((extent,), [subs]) == (len(want),)
+    big = 10**12
+    assert selecting.sliced_shape((big,), [[slice(0, big, 2), slice(0, big, 3), slice(5, 6)]]) == (big // 2 + -(-big // 3) - -(-big // 6) + 1,)
+
+
+def test_short_and_null_arrays(spark):
+    """Every place of the axis is a cell, missing where a row's array does not reach."""
+    from cellfold.sources.tables import array_cells
+
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [5.0])], "k long, a array<double>")
+    cells = array_cells(df, ["k"], "a", (3, 2))
+    nan = float("nan")
+    assert np.array_equal(to_numpy(cells), [[1, 2], [nan, nan], [5, nan]], equal_nan=True)
+    whole = array_cells(spark.createDataFrame([(0, [1, 2])], "k long, a array<int>"), ["k"], "a", (1, 2))
+    assert whole.integer

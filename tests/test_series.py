@@ -5,6 +5,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cellfold import ArgumentError
 from cellfold.operators import aligning, elementwise, folds, ordering, selecting, summaries
 from conftest import cells_from, lines_from, to_numpy
@@ -291,3 +293,24 @@ def test_slice_of_a_slice(spark):
     array = np.arange(40.0).reshape(8, 5)
     twice = selecting.slice(selecting.slice(cells_from(spark, array), slice(1, None, 2)), slice(None, None, -1), [0, 3])
     np.testing.assert_array_equal(to_numpy(twice), array[1::2][::-1][:, [0, 3]])
+
+
+def test_one_answer_at_every_size(spark, monkeypatch):
+    """Probes and buckets have the same answer on both ways, null and odd keys included."""
+    nan, inf = float("nan"), float("inf")
+    lines = spark.createDataFrame([("a", k, float(k % 7), float(k)) for k in range(30)] + [(None, k, float(k), 1.0 * k) for k in range(5)],
+                                  "series string, pos long, x double, v double")
+    probes = spark.createDataFrame([(k, s, x) for k, (s, x) in enumerate(
+        [("a", 2.4), ("a", 2.4), ("a", None), ("a", nan), ("a", inf), ("a", -inf), (None, 1.0), ("b", 1.0), ("a", 99.0), (None, None)])],
+        "probe long, series string, x double")
+    answers = []
+    for few in (10_000, 1):
+        monkeypatch.setattr(ordering, "FEW", few)
+        rows = sorted(map(str, ordering.nearest_sample(probes, lines).collect()))
+        assert len(rows) == 10 and sum("pos=None" in r for r in rows) == 7
+        answers.append(rows)
+    assert answers[0] == answers[1]
+    rows = lines.select("series", F.col("pos").alias("bucket"), "pos", "v").withColumn("bucket", F.col("bucket") % 3)
+    names = ["series", "bucket", "lo", "hi", "lo_at", "hi_at", "start"]
+    ways = [sorted(map(str, summaries.fold_extremes(rows, ["series", "bucket"], groups=g).select(names).collect())) for g in (10, 10**9)]
+    assert ways[0] == ways[1] and len(ways[0]) == 6
