@@ -8,11 +8,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -97,19 +99,50 @@ def pieces(text: str, most: int = PIECE) -> Iterator[tuple[int, str]]:
         yield start, text[start:]
 
 
-def encoded(made: Tokenizer, text: str, offsets: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, and the first and the past-the-last character of each one's text."""
-    ids, places = [], []
-    for start, piece in pieces(text):
-        if offsets:
-            (found,) = made.encode_batch([piece], add_special_tokens=False)
-            places.append(np.array(found.offsets, np.int64).reshape(-1, 2) + start)
-        else:
-            (found,) = made.encode_batch_fast([piece], add_special_tokens=False)
-        ids.append(np.array(found.ids, np.int32))
-    join = lambda parts, empty: np.concatenate(parts) if parts else empty
-    places = join(places, np.zeros((0, 2), np.int64))
-    return join(ids, np.zeros(0, np.int32)), places[:, 0], places[:, 1]
+class Encoder:
+    """Encodes texts match by match: a match is encoded once and then looked up.
+
+    What is kept is bounded: about ``most`` matches, none longer than ``LONGEST``; it starts
+    anew when full.
+    """
+
+    LONGEST = 48
+
+    def __init__(self, made: Tokenizer, pattern: str, offsets: bool, most: int = 250_000):
+        self.made, self.offsets, self.most = made, offsets, most
+        self.find = regex.compile(pattern).findall
+        self.ids: dict[str, tuple[int, ...]] = {}
+        self.places: dict[str, list[tuple[int, int]]] = {}
+
+    def _learn(self, matches: list[str]) -> None:
+        encode = self.made.encode_batch if self.offsets else self.made.encode_batch_fast
+        for match, found in zip(matches, encode(matches, add_special_tokens=False)):
+            self.ids[match] = tuple(found.ids)
+            if self.offsets:
+                self.places[match] = found.offsets
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the first and the past-the-last character of each one's text."""
+        ids, places = [], []
+        for start, piece in pieces(text):
+            if len(self.ids) > self.most:
+                self.ids, self.places = {}, {}
+            matches = self.find(piece)
+            unknown = [m for m in set(matches) if m not in self.ids]
+            if unknown:
+                self._learn(unknown)
+            ids.append(np.array(list(chain.from_iterable(map(self.ids.__getitem__, matches))), np.int32))
+            if self.offsets:
+                begins = start + np.cumsum([0, *map(len, matches)])[:-1]
+                own = np.array(list(chain.from_iterable(map(self.places.__getitem__, matches))), np.int64).reshape(-1, 2)
+                places.append(own + np.repeat(begins, [len(self.ids[m]) for m in matches])[:, None])
+            for match in unknown:
+                if len(match) > self.LONGEST:
+                    del self.ids[match]
+                    self.places.pop(match, None)
+        join = lambda parts, empty: np.concatenate(parts) if parts else empty
+        places = join(places, np.zeros((0, 2), np.int64))
+        return join(ids, np.zeros(0, np.int32)), places[:, 0], places[:, 1]
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -129,17 +162,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, offsets: bool = False) -> Da
     """
     names = ["ids", "starts", "ends"] if offsets else ["ids"]
     kept = [c for c in docs.columns if c not in (*names, "text")]
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_text(vocabulary))
+    sent, pattern = docs.sparkSession.sparkContext.broadcast(tokenizer_text(vocabulary)), vocabulary.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        made = tokenizer(sent.value)
+        encoded = Encoder(tokenizer(sent.value), pattern, offsets)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS)
-                found = [encoded(made, t or "", offsets) for t in rows.column("text").to_pylist()]
+                found = [encoded(t or "") for t in rows.column("text").to_pylist()]
                 lists = [_lists([f[k] for f in found], (pa.int32(), pa.int64(), pa.int64())[k]) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *lists], [*kept, *names])
 
@@ -156,7 +189,8 @@ def decode(ids: str | Column, spark, vocabulary: Vocabulary) -> Column:
     @F.pandas_udf("binary")
     def joined(lists: pd.Series) -> pd.Series:
         table = byte_table(sent.value)
-        return lists.map(lambda x: None if x is None else b"".join([table[k] for k in x]))
+        # Plain numbers are looked up several times faster than array elements.
+        return lists.map(lambda x: None if x is None else b"".join(map(table.__getitem__, x.tolist())))
 
     return joined(ids)
 
