@@ -32,6 +32,14 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(marks.cast("long"), F.lit(0).cast("long"))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables ``written`` has made, once all that was read from them is written too."""
+    for table in tables:
+        folder = table.inputFiles()[0].rsplit("/", 1)[0]
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` of every node that has a link: label is the smallest node reachable.
 

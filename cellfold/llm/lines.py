@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cellfold.llm.common import discard
 from cellfold.runtime import small_side, written
 
 #: Lines of fewer words are never dropped; lines of fewer than LONG only as exact repeats.
@@ -85,19 +86,12 @@ def neighbourhood(words: list[bytes], first: bool, last: bool) -> tuple[np.ndarr
     """Two hashes of the whole line (place -1) and of it without each word, and the places.
 
     ``first`` and ``last`` say which half is shared with another line: the word to delete
-    is in the other.  Of equal neighbouring words only the first stands for all.
+    is in the other.
     """
     n, mask = len(words), (1 << 64) - 1
     own = np.array([xxhash.xxh64_intdigest(w, 9) for w in words], np.uint64)
-    starts = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
-    ends = np.concatenate([starts[1:], [n]]) - 1
-    low, high = (n - 1) // 2, n // 2
-    keep = np.zeros(len(starts), bool)
-    if first:
-        keep |= ends >= low
-    if last:
-        keep |= starts <= high
-    places = starts[keep]
+    places = np.arange(n)
+    places = places[((places >= (n - 1) // 2) & first) | ((places <= n // 2) & last)]
     hashes = []
     for base, salt in zip(BASES, (0, 0xA5A5A5A5)):
         terms = (own ^ np.uint64(salt)) * powers(base, 1 << (n - 1).bit_length())[:n]
@@ -183,13 +177,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                         F.collect_set(F.when(side == 0, F.col("a"))).alias("firsts"),
                         F.collect_set(F.when(side == 1, F.col("a"))).alias("lasts")), "asked")
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    asked = small_side(asked)
-    forms = texts.join(asked.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).drop("_of")
+    forms = texts.join(small_side(asked).withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).drop("_of")
     forms = written(forms.mapInPandas(read_neighbourhoods, "v long, w long, place int, doc_id long, no int, a long"), "forms")
 
     gone = earliest_met(forms).withColumn("gone", F.lit(True))
     # A line that stands once and meets no earlier one stays, whatever it is.
     state = written(firsts.join(gone, "a", "left").where("n > 1 OR gone").drop("n"), "state")
+    discard(firsts, multi, asked, forms)
     dropped = lines.select("doc_id", "h", "no", "a", "b").join(state, ["a", "b"]).where(
         F.col("gone") | (F.struct("doc_id", "no") != F.col("first")))
     dropped = dropped.groupBy(F.col("doc_id").alias("_of"), F.col("h").alias("_h")).agg(F.collect_set("no").alias("_gone"))

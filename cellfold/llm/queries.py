@@ -53,7 +53,6 @@ WITH lines AS (
     UNION ALL
     SELECT words, first, k, array_to_string(list_concat(words[1:k - 1], words[k + 1:]), ' ')
     FROM (SELECT words, first, unnest(range(1, len(words) + 1)) AS k FROM firsts WHERE len(words) >= 10)
-    WHERE k = 1 OR words[k] <> words[k - 1]
 ), met AS (
     SELECT words FROM (
         SELECT words, first, place, min(first) OVER (PARTITION BY form, place) AS same,
