@@ -371,3 +371,68 @@ def _(spark, d):
     keyed = ranked.withColumn("_k", F.when(F.col("state") == "full", 0).when(F.col("state") == "partial", 1).otherwise(2))
     keyed = keyed.withColumn("_l", F.lower("view"))
     return element_positions(keyed, ["_k", "_l", "view"], "place").select("view", "state", "place")
+
+
+@check("outline_links", """
+SELECT '/region/' || r_regionkey AS path, 'Dataset' AS kind, 0 AS rank, CAST(1 AS BIGINT) AS elements, 'scalar' AS readout FROM region
+UNION ALL SELECT '/nation/' || n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'Unresolved' ELSE 'Dataset' END, NULL, NULL,
+  CASE WHEN n_nationkey % 3 = 0 THEN '→ /none/' || n_regionkey || '  (missing)' ELSE '→ /region/' || n_regionkey END FROM nation
+UNION ALL SELECT '/part/' || p_size, 'NamedType', NULL, NULL, 'type ' || p_size FROM (SELECT DISTINCT p_size FROM part)
+UNION ALL SELECT '/loop/' || s_nationkey, 'Group', NULL, NULL, 'cycle' FROM (SELECT DISTINCT s_nationkey FROM supplier)""")
+def _(spark, d):
+    at = lambda head, key: F.concat(F.lit(head), F.col(key).cast("string"))
+    text = lambda value, name: F.lit(value).cast("string").alias(name)
+    one = lambda df, path, kind, link="hard", target=None, of=None, cyclic=False: df.select(
+        path.alias("path"), path.alias("name"), F.lit("/").alias("parent"), F.lit(kind).alias("kind"), F.lit(link).alias("link"),
+        (text(None, "target") if target is None else target.alias("target")), (text(None, "type") if of is None else of.alias("type")),
+        F.lit(cyclic).alias("cyclic"))
+    regions = one(scan(spark, d, "region", ["r_regionkey"]), at("/region/", "r_regionkey"), "Dataset")
+    goal = F.when(F.col("n_nationkey") % 3 == 0, at("/none/", "n_regionkey")).otherwise(at("/region/", "n_regionkey"))
+    nations = one(scan(spark, d, "nation", ["n_nationkey", "n_regionkey"]), at("/nation/", "n_nationkey"), "Dataset", "soft", goal)
+    types = one(scan(spark, d, "part", ["p_size"]).distinct(), at("/part/", "p_size"), "NamedType", of=at("type ", "p_size"))
+    loops = one(scan(spark, d, "supplier", ["s_nationkey"]).distinct(), at("/loop/", "s_nationkey"), "Group", cyclic=True)
+    nodes = regions.unionByName(nations).unionByName(types).unionByName(loops)
+    kinds = catalog.resolve_links(nodes).select("path", F.col("kind").alias("_kind"))
+    nodes = nodes.join(kinds, "path").withColumn("kind", F.col("_kind")).drop("_kind")
+    shapes = regions.select("path", F.array().cast("array<bigint>").alias("shape"))
+    return catalog.outline(nodes, shapes)
+
+
+MEMBERS = """
+WITH views AS (
+  SELECT 'view ' || n_regionkey AS "view", n_name AS line, CASE WHEN n_nationkey % 2 = 0 THEN '/customers' ELSE '/events' END AS path,
+    CASE n_nationkey % 6 WHEN 0 THEN 'c_acctbal' WHEN 2 THEN 'c_name' WHEN 4 THEN '' WHEN 1 THEN 'value' WHEN 3 THEN '' ELSE NULL END AS member,
+    CAST(n_nationkey % 5 // 4 AS INT) AS held_axes FROM nation)"""
+
+
+def member_views(spark, d):
+    n = F.col("n_nationkey")
+    rest = n % 6
+    member = F.when(rest == 0, "c_acctbal").when(rest == 2, "c_name").when(rest.isin(4, 3), "").when(rest == 1, "value")
+    return scan(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"]).select(
+        F.concat(F.lit("view "), F.col("n_regionkey").cast("string")).alias("view"), F.col("n_name").alias("line"),
+        F.when(n % 2 == 0, "/customers").otherwise("/events").alias("path"), member.alias("member"), F.expr("n_nationkey % 5 div 4").cast("int").alias("held_axes"))
+
+
+def member_facts(spark, d):
+    customers = scan(spark, d, "customer", ["c_acctbal", "c_name"])
+    kinds = {f.name: (f.dataType.simpleString(), f.name == "c_acctbal", 0) for f in customers.schema}
+    rows = [("/customers", "Dataset", "struct", False, 1, kinds), ("/events", "Dataset", "double", True, 1, None)]
+    return spark.createDataFrame(rows, "path string, kind string, type string, numeric boolean, rank int, "
+                                       "members map<string, struct<type: string, numeric: boolean, rank: int>>")
+
+
+@check("view_match_members", f"""{MEMBERS}
+SELECT "view", count(DISTINCT path) AS named, count(DISTINCT path) AS here, 'full' AS state FROM views GROUP BY 1""")
+def _(spark, d):
+    return views.view_match(member_views(spark, d), member_facts(spark, d))
+
+
+@check("view_issues_members", f"""{MEMBERS}
+SELECT * FROM (SELECT "view", line, path, CASE
+  WHEN path = '/customers' AND member = 'c_name' THEN 'not numeric: string'
+  WHEN path = '/customers' AND member = '' THEN 'a struct without a member'
+  WHEN path = '/events' AND member = 'value' THEN 'no struct: double'
+  WHEN held_axes = 1 THEN 'not one line: one element' END AS reason FROM views) WHERE reason IS NOT NULL""")
+def _(spark, d):
+    return views.view_issues(member_views(spark, d), member_facts(spark, d))

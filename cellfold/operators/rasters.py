@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellfold.functions.numbers import is_finite, round_away
 from cellfold.model import ArgumentError, Cells
 from cellfold.operators.grids import extents_of
+from cellfold.runtime import small_side
 
 # The classes and orders an image attribute can name.
 SUBCLASSES = {
@@ -141,11 +142,14 @@ def value_range(datasets: DataFrame, images: DataFrame, cells: DataFrame) -> Dat
     ``cells`` [path, v].
     """
     finite = F.when(is_finite("v"), F.col("v"))
-    extent = cells.groupBy("path").agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
     stated = images.select("path", "minimum", "maximum", F.lit(True).alias("_image"))
     low, high = type_span(F.col("int_width"), F.col("signed"))
-    facts = datasets.join(stated, "path", "left").join(extent, "path", "left").withColumns({"_tl": low, "_th": high})
+    known = datasets.join(stated, "path", "left").withColumns({"_tl": low, "_th": high})
     by_file, by_type = F.col("minimum").isNotNull(), F.col("_image") & F.col("_tl").isNotNull()
+    # Only the cells of datasets that nothing else answers for are looked at.
+    asked = known.where(~(by_file | F.coalesce(by_type, F.lit(False)))).select("path")
+    extent = cells.join(small_side(asked), "path", "left_semi").groupBy("path").agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    facts = known.join(extent, "path", "left")
     pick = lambda said, span, found: (
         F.when(by_file, F.col(said)).when(by_type, F.col(span)).otherwise(F.col(found)))
     rule = F.when(by_file, F.lit("stated")).when(by_type, F.lit("type")).otherwise(F.lit("extent"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellfold.runtime import written
 
-GROUP, DATASET, UNRESOLVED = "Group", "Dataset", "Unresolved"
+GROUP, DATASET, NAMED_TYPE, UNRESOLVED = "Group", "Dataset", "NamedType", "Unresolved"
 
 # A path that has passed as many links as there are, so many times over, leads in a
 # circle (a link below a link may be passed more than once).
@@ -174,16 +174,25 @@ def outline(nodes: DataFrame, shapes: DataFrame) -> DataFrame:
     """[path, kind, rank, elements, readout] of every node.
 
     ``shapes`` is [path, shape ARRAY<BIGINT>]: an empty shape is a scalar, a null
-    one a dataset without elements.
+    one a dataset without elements.  Nodes may carry ``link, target, link_file`` (a
+    link says where it points and whether anything is there), ``cyclic`` (a group
+    that is one of its own ancestors says so) and ``type`` (what a named type is of).
     """
     members = member_counts(nodes)
-    facts = nodes.select("path", "kind").join(members, "path", "left").join(
+    more = {"link": "string", "target": "string", "link_file": "string", "cyclic": "boolean", "type": "string"}
+    said = [F.col(c) if c in nodes.columns else F.lit(None).cast(kind).alias(c) for c, kind in more.items()]
+    facts = nodes.select("path", "kind", *said).join(members, "path", "left").join(
         shapes.withColumn("_known", F.lit(True)), "path", "left")
     rank = F.size("shape")
     elements = F.when(F.col("shape").isNull(), F.lit(0)).otherwise(
         F.aggregate("shape", F.lit(1).cast("bigint"), lambda total, n: total * n))
+    points = F.concat(F.lit("→ "), F.coalesce(F.concat("link_file", F.lit(":")), F.lit("")), F.coalesce("target", F.lit("")),
+                      F.when(F.col("kind") == UNRESOLVED, F.lit("  (missing)")).otherwise(F.lit("")))
     text = (
-        F.when(F.col("kind") == GROUP, F.concat(F.col("members").cast("string"),
+        F.when(F.col("link") != "hard", points)
+        .when(F.col("cyclic"), F.lit("cycle"))
+        .when(F.col("kind") == NAMED_TYPE, F.coalesce("type", F.lit("")))
+        .when(F.col("kind") == GROUP, F.concat(F.col("members").cast("string"),
                                                 F.when(F.col("members") == 1, F.lit(" item")).otherwise(F.lit(" items"))))
         .when((F.col("kind") == DATASET) & F.col("_known") & F.col("shape").isNull(), F.lit("null"))
         .when((F.col("kind") == DATASET) & (rank == 0), F.lit("scalar"))
@@ -191,7 +200,7 @@ def outline(nodes: DataFrame, shapes: DataFrame) -> DataFrame:
               F.concat(F.lit("("), F.array_join(F.transform("shape", lambda n: n.cast("string")), " × "), F.lit(")")))
         .otherwise(F.lower("kind"))
     )
-    data = (F.col("kind") == DATASET) & F.col("_known")
+    data = (F.col("kind") == DATASET) & F.col("_known") & F.coalesce(F.col("link") == "hard", F.lit(True))
     return facts.select("path", "kind",
                         F.when(data, F.when(F.col("shape").isNull(), 0).otherwise(rank)).alias("rank"),
                         F.when(data, elements).alias("elements"), text.alias("readout"))
