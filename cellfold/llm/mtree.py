@@ -33,7 +33,7 @@ from cellfold.llm.common import uniform
 from cellfold.runtime import written
 
 #: Vectors of a part, entries of a page, queries that search a part in one task.
-PART, PAGE, ASKING = 4096, 128, 256
+PART, PAGE, ASKING = 8192, 512, 256
 #: Routing objects at most, drawn from at most twice so many vectors.
 MOST_ROUTES = 2048
 #: Distances are computed in doubles from whole numbers; bounds are taken this much wider.
@@ -88,6 +88,10 @@ class Best:
         self.scores, self.ids = np.zeros(0), np.zeros(0, np.int64)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        reached = scores >= self.least()
+        if not reached.any():
+            return
+        scores, ids = scores[reached], ids[reached]
         self.scores, self.ids = np.append(self.scores, scores), np.append(self.ids, ids)
         order = np.lexsort((self.ids, -self.scores))[:self.k]
         self.scores, self.ids = self.scores[order], self.ids[order]
@@ -99,29 +103,48 @@ class Best:
 
 def search(query: np.ndarray, own: int, floor: float, k: int, square: int, tree: dict, above: float, counted: list) -> Best:
     """Best-first over the pages of one part.  ``above``: distance to the part's routing object."""
-    best, length2 = Best(k, floor), float((query**2).sum())
-    reach = lambda: np.sqrt(max(0.0, length2 + square - 2 * best.least())) + SLACK if best.least() > -np.inf else np.inf
+    best, length2 = Best(k, floor), float(query @ query)
+
+    def reach() -> float:
+        """The distance within which a vector still matters."""
+        least = best.least()
+        return np.sqrt(max(0.0, length2 + square - 2 * least)) + SLACK if least > -np.inf else np.inf
+
     # Without any distance to a page: |d(q, parent) - d(page, parent)| - radius.
-    queue = [(max(0.0, abs(above - p) - r), 0, n) for n, (p, r) in enumerate(zip(tree["parent"], tree["radius"]))]
+    bounds = np.maximum(0, np.abs(above - tree["parent"]) - tree["radius"])
+    queue = [(bound, -1.0, n) for n, bound in enumerate(bounds.tolist())]
     heapq.heapify(queue)
     while queue and queue[0][0] <= reach():
-        bound, known, n = heapq.heappop(queue)
-        if not known:  # now with the page's own distance
-            to = float(np.linalg.norm(query - tree["route"][n]))
+        bound, to, n = heapq.heappop(queue)
+        if to < 0:  # now with the page's own distance
+            route = tree["route"][n]
+            to = float(np.sqrt(max(0.0, length2 + tree["route2"][n] - 2 * (route @ query))))
             counted[0] += 1
-            heapq.heappush(queue, (max(bound, to - tree["radius"][n], 0.0), to + 1, n))
+            heapq.heappush(queue, (max(bound, to - tree["radius"][n] - SLACK), to, n))
             continue
-        to = known - 1
-        may = (np.abs(to - tree["away"][n]) <= reach()) & (tree["ids"][n] != own)
-        if may.any():
-            entries = tree["entries"][n][may]
-            counted[0] += len(entries)
-            best.add(np.rint(entries[:, :-1] @ query[:-1]), tree["ids"][n][may])
-    keep = best.scores >= floor
+        may = np.abs(to - tree["away"][n]) <= reach() + SLACK
+        some = int(np.count_nonzero(may))
+        if some:
+            counted[0] += some
+            entries, ids = tree["entries"][n], tree["ids"][n]
+            if 2 * some < len(ids):
+                entries, ids = entries[may], ids[may]
+            scores = np.rint(entries @ query)
+            scores[ids == own] = -np.inf
+            best.add(scores, ids)
+    keep = (best.scores >= floor) & (best.scores > -np.inf)
     best.scores, best.ids = best.scores[keep], best.ids[keep]
     return best
 
 
+def tree_of(nodes: pd.DataFrame, width: int) -> dict:
+    """The pages of one part, ready to be searched."""
+    routes = [np.frombuffer(x) for x in nodes["object"]]
+    return {"route": routes, "route2": [float(r @ r) for r in routes], "radius": nodes["radius"].to_numpy(), "parent": nodes["parent"].to_numpy(),
+            "ids": [np.frombuffer(x, np.int64) for x in nodes["ids"]], "away": [np.frombuffer(x) for x in nodes["away"]],
+            "entries": [np.frombuffer(x).reshape(-1, width) for x in nodes["entries"]]}
+
+
 def fit(rows: DataFrame, most: int = MOST_ROUTES, part: int = PART) -> Space | None:
     """Largest length over all rows, and routing objects from a sample by hash of the id."""
     known = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
@@ -187,6 +210,8 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
     page = "route long, part long, radius double, parent double, object binary, ids binary, entries binary, away binary"
     index = written(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda f: each_cell(f, keys, build), page), "pages")
 
+    names = ["route", "part", "above", "query_id", "floor", "v"]
+
     def asks(home: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             space = sent.value
@@ -194,32 +219,34 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
                 points = np.stack(frame["v"])
                 away = distances(asked(points), space.routes)
                 floor = frame["floor"].to_numpy(float)
+                found = []
                 for n, (d, query) in enumerate(zip(away, frame["vec_id"])):
                     order = sorted(radius, key=lambda r: (d[r], r))
                     first = order[0], int(query) % radius[order[0]][0]
                     if home:
                         chosen = [first]
                     else:
-                        reach = np.sqrt(max(0.0, (points[n]**2).sum() + space.square - 2 * floor[n])) + SLACK if floor[n] > -np.inf else np.inf
+                        far = points[n] @ points[n] + space.square - 2 * floor[n]
+                        reach = np.sqrt(max(0.0, far)) + SLACK if floor[n] > -np.inf else np.inf
                         chosen = [(r, p) for r in order if d[r] - radius[r][1] <= reach for p in range(radius[r][0]) if (r, p) != first]
-                    if chosen:
-                        yield pd.DataFrame({"route": [r for r, _ in chosen], "part": [p for _, p in chosen], "above": [d[r] for r, _ in chosen],
-                                            "query_id": query, "floor": floor[n], "v": [points[n]] * len(chosen)})
+                    found += [(r, p, d[r], query, floor[n], points[n]) for r, p in chosen]
+                    if len(found) > 5000:
+                        yield pd.DataFrame(found, columns=names)
+                        found = []
+                if found:
+                    yield pd.DataFrame(found, columns=names)
         return run
 
     def answer(cell: pd.DataFrame) -> pd.DataFrame | None:
         nodes, queries = cell[cell["query_id"].isna()], cell[cell["query_id"].notna()]
         if not len(nodes) or not len(queries):
             return None
-        width = len(queries["v"].iloc[0]) + 1
-        tree = {"route": [np.frombuffer(x) for x in nodes["object"]], "radius": nodes["radius"].to_numpy(), "parent": nodes["parent"].to_numpy(),
-                "ids": [np.frombuffer(x, np.int64) for x in nodes["ids"]], "away": [np.frombuffer(x) for x in nodes["away"]],
-                "entries": [np.frombuffer(x).reshape(-1, width) for x in nodes["entries"]]}
-        found = []
+        tree, found = tree_of(nodes, len(queries["v"].iloc[0]) + 1), []
         for query, floor, above, v in zip(queries["query_id"], queries["floor"], queries["above"], queries["v"]):
             best = search(np.append(v, 0.0), int(query), float(floor), k, sent.value.square, tree, float(above), [0])
-            found.append(pd.DataFrame({"query_id": int(query), "vec_id": best.ids, "score": best.scores.astype(np.int64)}))
-        return pd.concat(found)
+            found.append((np.full(len(best.ids), int(query)), best.ids, best.scores.astype(np.int64)))
+        query, vec, score = map(np.concatenate, zip(*found))
+        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
     queries = rows.where(F.col("vec_id") % every == 0)
     schema = "route long, part long, above double, query_id long, floor double, v array<double>"

@@ -92,7 +92,8 @@ def test_bounds_save_distances():
     lifted, ids = space.lifted(points), np.arange(2000)
     made = mtree.pages_of(lifted, ids, 32)
     route = lifted[:1]
-    tree = made | {"parent": np.linalg.norm(np.stack(made["route"]) - route, axis=1), "radius": np.array(made["radius"])}
+    tree = made | {"parent": np.linalg.norm(np.stack(made["route"]) - route, axis=1), "radius": np.array(made["radius"]),
+                   "route2": [r @ r for r in made["route"]]}
     query, counted = np.append(points[7], 0.0), [0]
     best = mtree.search(query, 7, -np.inf, 10, space.square, tree, float(np.linalg.norm(query - route)), counted)
     want = sorted((-int(points[7] @ points[k]), k) for k in range(2000) if k != 7)[:10]
