@@ -31,11 +31,11 @@ from cellfold.llm.common import components, uniform
 from cellfold.runtime import written
 
 #: Vectors the index is fitted on, vectors of a list the lists aim at, most lists.
-SAMPLE, PER_LIST, MOST_LISTS = 8192, 2000, 4096
+SAMPLE, PER_LIST, MOST_LISTS = 8192, 500, 4096
 #: Members and probing vectors of one cell.
 SIDE = 1024
 SUBSPACES, CODES = 8, 256
-SURE = 4.0
+SURE = 3.0
 
 
 @dataclass
@@ -124,15 +124,17 @@ def compare(cell: pd.DataFrame, index: Index, threshold: float) -> pd.DataFrame
     q_id, x_id = q["vec_id"].to_numpy(), x["vec_id"].to_numpy()
     q_n, x_n, own = q["copies"].to_numpy(), x["copies"].to_numpy(), q["own"].to_numpy() == at
     parts, _, width = index.books.shape
-    rest = qv - index.centres[at]
+    books = index.books.astype(np.float32)
+    rest = (qv - index.centres[at]).astype(np.float32).reshape(len(q), parts, width).transpose(1, 0, 2)
+    bound = (index.radius + error[None]) ** 2 + 1e-4  # wider than what single precision can be off
     met = np.zeros((len(q), len(x)), bool)
     for k in range(0, len(q), 64):
-        part = rest[k:k + 64].reshape(-1, parts, width)
-        tables = ((part[:, :, None, :] - index.books[None]) ** 2).sum(axis=3)
-        d2 = np.zeros((len(part), len(x)))
+        part = rest[:, k:k + 64]
+        tables = (part**2).sum(axis=2)[:, :, None] - 2 * part @ books.transpose(0, 2, 1) + (books**2).sum(axis=2)[:, None]
+        d2 = np.zeros((part.shape[1], len(x)), np.float32)
         for s in range(parts):
-            d2 += np.take(tables[:, s], codes[:, s], axis=1)
-        maybe = np.sqrt(d2) <= index.radius + error[None] + 1e-6
+            d2 += np.take(tables[s], codes[:, s], axis=1)
+        maybe = d2 <= bound
         maybe &= ~own[k:k + 64, None] | (q_id[k:k + 64, None] < x_id[None])
         columns = np.nonzero(maybe.any(axis=0))[0]
         if len(columns):
@@ -170,7 +172,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, index: Index | None
     null or non-finite parts, rows without a vec_id and vectors of another length than
     most link with nothing.  Rows that repeat a vec_id are one vector each.
     """
-    rows = vectors.select("vec_id", F.col("vector").cast("array<double>").alias("vector"))
+    # Singles stay singles on the way: half the bytes, and exact as doubles later.
+    kind = "array<float>" if dict(vectors.dtypes)["vector"] == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("vector").cast(kind).alias("vector"))
     able = rows.where(usable("vector") & F.col("vec_id").isNotNull())
     common = able.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     size = common["n"] if common else 0
@@ -194,7 +198,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, index: Index | None
                 yield part.assign(own=own, codes=[bytes(c) for c in codes], error=error, probes=lists)
 
     entries = written(members.mapInPandas(
-        listed, "vector array<double>, vec_id long, copies long, own long, codes binary, error double, probes array<long>"), "entries")
+        listed, f"vector {kind}, vec_id long, copies long, own long, codes binary, error double, probes array<long>"), "entries")
     held = entries.groupBy(F.col("own").alias("list")).agg(F.count("*").alias("held"))
     asked = entries.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("asked"))
     # One row per list: at most MOST_LISTS.
