@@ -15,6 +15,16 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def whole_texts(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, about to be handed to Python with whole texts: at most ``rows`` of them at a
+    time, which bounds memory on both sides.  A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_ = int(df.sparkSession.conf.get(name))
+    if set_ <= 0 or set_ > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def remainder(column: str, parts: int) -> Column:
     """crc32 of the value's text, modulo ``parts``; null for a null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from cellfold.llm.common import remainder, uniform
+from cellfold.llm.common import remainder, uniform, whole_texts
 from cellfold.runtime import written
 
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 #: Bounds of the training sample: positive texts, unlabelled texts, beginnings looked at.
-POSITIVES, UNLABELLED, WORDS = 4000, 8000, 1000
+POSITIVES, UNLABELLED, WORDS = 4000, 8000, 500
 #: How far the rates of a beginning have to be apart, in standard errors, and positives it needs.
 APART, LEAST = 4.0, 3
 #: Letters of a beginning.
@@ -112,9 +112,9 @@ def _sample_beginnings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 def cover(present: np.ndarray, positive: np.ndarray, apart: float = APART, least: int = LEAST) -> list[int]:
     """Columns that tell positives from the rest, each judged by the positives that those
     before it have left over."""
-    left, others, chosen = present[positive], present[~positive].mean(axis=0), []
+    left, others, chosen = present[positive], np.count_nonzero(present[~positive], axis=0) / max(1, (~positive).sum()), []
     while len(left) >= least:
-        mine = left.mean(axis=0)
+        mine = np.count_nonzero(left, axis=0) / len(left)
         pooled = np.clip((mine * len(left) + others * (~positive).sum() + 1) / (len(positive) + 1), 1e-6, 0.999)
         score = (mine - others) / np.sqrt(pooled * (1 - pooled) * (1 / len(left) + 1 / max(1, (~positive).sum())))
         score[mine * len(left) < least] = 0
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     prior = min(0.9, known["toxic"] / known["n"])
     chosen = usable.where("toxic = 1").where(uniform("doc_id", F.lit("toxic")) < positives / known["toxic"])
     chosen = chosen.select(F.col("doc_id").alias("_of")).distinct().limit(2 * positives)
-    able = docs.where(learned()).select("doc_id", "text")
+    able = whole_texts(docs).where(learned()).select("doc_id", "text")
     total = able.count()
     marked = able.join(F.broadcast(chosen), able["doc_id"] == chosen["_of"], "left")  # at most 2 * positives ids
     drawn = uniform("doc_id", F.lit("unlabelled")) < unlabelled / max(total, 1)
@@ -170,15 +170,28 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def known(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: values(words_of(t), sent))
+        """The places of what is there, and how much there is of each."""
+        def sparse(text):
+            full = values(words_of(text), sent)
+            there = np.nonzero(full)[0]
+            return np.concatenate([there, full[there]])
+
+        return texts.map(sparse)
 
     found = sample.select("doc_id", "positive", F.xxhash64("text").alias("h"), known("text").alias("x")).toPandas()
     found = found.sort_values(["doc_id", "positive", "h"])  # any order of arrival, same training
-    x, mask = np.stack(found["x"]), found["positive"].to_numpy(bool)
-    kept = cover(x > 0, mask)
+    mask = found["positive"].to_numpy(bool)
+    present = np.zeros((len(found), len(listed)), bool)
+    for row, pairs in enumerate(found["x"]):
+        present[row, np.asarray(pairs[:len(pairs) // 2], int)] = True
+    kept = cover(present, mask)
     if not kept:
         return None
-    x = x[:, kept]
+    x, at = np.zeros((len(found), len(kept))), {k: n for n, k in enumerate(kept)}
+    for row, pairs in enumerate(found["x"]):
+        for k, value in zip(pairs[:len(pairs) // 2], pairs[len(pairs) // 2:]):
+            if int(k) in at:
+                x[row, at[int(k)]] = value
     made = [train(x[mask], x[~mask], prior, seed) for seed in range(count)]
     return Classifiers([listed[k] for k in kept], np.stack([w for w, _ in made]), np.array([b for _, b in made]))
 
@@ -203,6 +216,6 @@ def score(docs: DataFrame, model: Classifiers | None, threshold: float = THRESHO
         return pd.Series(found, dtype=float)
 
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    return docs.select(
+    return whole_texts(docs).select(
         *kept, F.coalesce(remainder("doc_id", HELD_OUT_PARTS) == HELD_OUT, F.lit(False)).alias("held_out"),
         toxic("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
