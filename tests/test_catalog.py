@@ -72,7 +72,7 @@ def test_outline(spark):
     shapes = spark.createDataFrame([("/g/m", [4, 3]), ("/g/s", []), ("/n", None)], "path string, shape array<bigint>")
     rows = {r.path: (r.rank, r.elements, r.readout) for r in catalog.outline(nodes, shapes).collect()}
     assert rows == {"/": (None, None, "3 items"), "/g": (None, None, "2 items"), "/g/m": (2, 12, "(4 × 3)"),
-                    "/g/s": (0, 1, "scalar"), "/n": (0, 0, "null"), "/u": (None, None, "unresolved")}
+                    "/g/s": (0, 1, "scalar"), "/n": (0, 0, "null"), "/u": (None, None, "→ /x  (missing)")}
 
 
 def test_attributes(spark):
