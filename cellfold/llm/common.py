@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,26 @@ def whole_texts(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def tidy() -> None:
+    """Hand freed memory back to the system: workers are kept between tasks, and what they
+    once needed would count against the executor for good."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidied(run):
+    """``run`` over a partition's batches, tidied up after."""
+    def to_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return to_the_end
+
+
 def remainder(column: str, parts: int) -> Column:
     """crc32 of the value's text, modulo ``parts``; null for a null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

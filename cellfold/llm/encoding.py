@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from cellfold.llm.common import tidied, whole_texts
+
 #: Longest piece of a text that is encoded at once, and rows handed on at once.
 PIECE, ROWS = 1 << 18, 64
 
@@ -73,8 +76,8 @@ def tokenizer_text(vocabulary: Vocabulary) -> str:
     return made.to_str()
 
 
-@functools.lru_cache(maxsize=4)
 def tokenizer(text: str) -> Tokenizer:
+    """Made anew by each task, so that an idle worker doesn't keep it."""
     return Tokenizer.from_str(text)
 
 
@@ -82,13 +85,18 @@ def tokenizer(text: str) -> Tokenizer:
 def byte_table(text: str) -> list[bytes]:
     """The bytes of each id, by the byte-to-character table read backwards."""
     back = {c: b for b, c in enumerate(byte_characters())}
-    vocabulary = tokenizer(text).get_vocab()
+    vocabulary = json.loads(text)["model"]["vocab"]
     table = [b""] * (max(vocabulary.values()) + 1)
     for word, number in vocabulary.items():
         table[number] = bytes(back[c] for c in word)
     return table
 
 
+def joined_bytes(ids: np.ndarray, table: list[bytes]) -> bytes:
+    # Plain numbers are looked up several times faster than array elements.
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
 def pieces(text: str, most: int = PIECE) -> Iterator[tuple[int, str]]:
     """``text`` in pieces of about ``most`` characters, cut only where no match can span."""
     start = 0
@@ -108,7 +116,7 @@ class Encoder:
 
     LONGEST = 48
 
-    def __init__(self, made: Tokenizer, pattern: str, offsets: bool, most: int = 250_000):
+    def __init__(self, made: Tokenizer, pattern: str, offsets: bool, most: int = 100_000):
         self.made, self.offsets, self.most = made, offsets, most
         self.find = regex.compile(pattern).findall
         self.ids: dict[str, tuple[int, ...]] = {}
@@ -151,9 +159,10 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, offsets: bool = False, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids ARRAY<INT>`` for ``text``, which is dropped; with ``offsets`` also
-    ``starts, ends ARRAY<BIGINT>``, places in characters.
+    ``starts, ends ARRAY<BIGINT>``, places in characters, and with ``decoded`` also what
+    the ids decode to, BINARY.
 
     Each match of the vocabulary's pattern is encoded by itself, special tokens are
     ordinary text.  A character that is split over several tokens is the place of each of
@@ -161,24 +170,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, offsets: bool = False) -> Da
     are replaced.
     """
     names = ["ids", "starts", "ends"] if offsets else ["ids"]
-    kept = [c for c in docs.columns if c not in (*names, "text")]
+    last = ["decoded"] if decoded else []
+    kept = [c for c in docs.columns if c not in (*names, *last, "text")]
     sent, pattern = docs.sparkSession.sparkContext.broadcast(tokenizer_text(vocabulary)), vocabulary.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoded = Encoder(tokenizer(sent.value), pattern, offsets)
+        encoded, table = Encoder(tokenizer(sent.value), pattern, offsets), byte_table(sent.value) if decoded else None
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS)
                 found = [encoded(t or "") for t in rows.column("text").to_pylist()]
                 lists = [_lists([f[k] for f in found], (pa.int32(), pa.int64(), pa.int64())[k]) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *lists], [*kept, *names])
+                back = [pa.array([joined_bytes(f[0], table) for f in found], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *lists, *back], [*kept, *names, *last])
 
     kinds = {"ids": "array<int>", "starts": "array<bigint>", "ends": "array<bigint>"}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), *(f"{n} {kinds[n]}" for n in names)])
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), *(f"{n} {kinds[n]}" for n in names), *(f"{n} binary" for n in last)])
+    return whole_texts(docs).select(*kept, "text").mapInArrow(tidied(run), schema)
 
 
 def decode(ids: str | Column, spark, vocabulary: Vocabulary) -> Column:
@@ -189,8 +200,7 @@ def decode(ids: str | Column, spark, vocabulary: Vocabulary) -> Column:
     @F.pandas_udf("binary")
     def joined(lists: pd.Series) -> pd.Series:
         table = byte_table(sent.value)
-        # Plain numbers are looked up several times faster than array elements.
-        return lists.map(lambda x: None if x is None else b"".join(map(table.__getitem__, x.tolist())))
+        return lists.map(lambda x: None if x is None else joined_bytes(x, table))
 
     return joined(ids)
 

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellfold.llm.common import whole_texts
 from cellfold.runtime import small_side, written
 
 #: Words of a substring that counts as long, and one in how many words starts a suffix.
@@ -210,7 +211,7 @@ def extract(pages: DataFrame) -> DataFrame:
     ``n_chars`` are replaced.
     """
     kept = [f for f in pages.schema if f.name not in ("html", "text", "n_chars")]
-    known = small_side(furniture(pages)).withColumnRenamed("host", "_host")
+    known = small_side(furniture(whole_texts(pages))).withColumnRenamed("host", "_host")
     marked = pages.select(*(f.name for f in kept), "html", host("url").alias("_at"))
     joined = marked.join(known, F.col("_at") == F.col("_host"), "left").select(*(f.name for f in kept), "html", "keys")
 

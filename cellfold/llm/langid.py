@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.llm.common import remainder, uniform
+from cellfold.llm.common import remainder, tidy, uniform, whole_texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -180,9 +180,11 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                 named.append(net.languages[int(mean.argmax())])
                 scores.append(min(1.0, float(mean.max())))
             yield pd.DataFrame({"lang_pred": named, "score": scores})
+        tidy()
 
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    found = docs.select(*kept, language("text").alias("_found"))
+    # Said to be non-deterministic so that a filter on the result doesn't run it once more.
+    found = whole_texts(docs).select(*kept, language.asNondeterministic()("text").alias("_found"))
     return found.select(
         *kept, F.coalesce(remainder("doc_id", HELD_OUT_PARTS) == 0, F.lit(False)).alias("held_out"),
         F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))

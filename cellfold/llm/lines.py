@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cellfold.llm.common import discard
+from cellfold.llm.common import discard, tidied, whole_texts
 from cellfold.runtime import small_side, written
 
 #: Lines of fewer words are never dropped; lines of fewer than LONG only as exact repeats.
@@ -162,10 +162,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     once.  A null text stays null with 0 lines; a text that loses every line is empty.
     Columns called ``n_lines`` or ``n_kept`` are replaced.
     """
-    docs = docs.drop("n_lines", "n_kept")
+    docs = whole_texts(docs).drop("n_lines", "n_kept")
     marked = docs.withColumn("h", F.xxhash64("text"))
     lines = written(marked.where("text IS NOT NULL").select("doc_id", "h", "text").mapInPandas(
-        read_lines, "doc_id long, h long, no int, a long, b long, keys array<long>"), "lines")
+        tidied(read_lines), "doc_id long, h long, no int, a long, b long, keys array<long>"), "lines")
     at = F.struct("doc_id", "no")
     firsts = written(lines.groupBy("a", "b").agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
 
@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                         F.collect_set(F.when(side == 1, F.col("a"))).alias("lasts")), "asked")
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
     forms = texts.join(small_side(asked).withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).drop("_of")
-    forms = written(forms.mapInPandas(read_neighbourhoods, "v long, w long, place int, doc_id long, no int, a long"), "forms")
+    forms = written(forms.mapInPandas(tidied(read_neighbourhoods), "v long, w long, place int, doc_id long, no int, a long"), "forms")
 
     gone = earliest_met(forms).withColumn("gone", F.lit(True))
     # A line that stands once and meets no earlier one stays, whatever it is.

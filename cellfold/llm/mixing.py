@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellfold.llm.common import word_count
+from cellfold.llm.common import tidied, whole_texts, word_count
 from cellfold.runtime import bounded, written
 
 #: Words of a block, slots of an output shard.
@@ -239,7 +239,7 @@ def mixed_texts(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
     first one's name.
     """
     own = [c for c in docs.columns if c not in ("shard", "slot", "first", "past", "size", "h")]
-    marked = sized(docs.select(*own))
+    marked = sized(whole_texts(docs).select(*own))
     known = marked.select("doc_id", "h", "source", "size")
     mix = mix or mixture(known)
     spans = taken_spans(known, mix).groupBy("source_no", "doc_id", "h").agg(F.collect_list(F.struct("shard", "slot", "first", "past")).alias("_spans"))
@@ -269,4 +269,4 @@ def mixed_texts(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
                     [*(f.name for f in kept), "shard", "slot", "first", "past", "text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "shard long, slot long, first long, past long, text string"])
-    return joined.select(*(f.name for f in kept), "text", "_spans").mapInArrow(cut, schema).select("shard", "slot", "first", "past", *own)
+    return joined.select(*(f.name for f in kept), "text", "_spans").mapInArrow(tidied(cut), schema).select("shard", "slot", "first", "past", *own)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from cellfold.llm.cells import each_cell
-from cellfold.llm.common import components
+from cellfold.llm.common import components, tidied, tidy, whole_texts
 from cellfold.runtime import written
 
 PIVOTS = 32
@@ -55,7 +55,9 @@ def simhash(text: str | None, size: int = 3) -> int:
 
 @F.pandas_udf(LongType())
 def fingerprint(texts: pd.Series) -> pd.Series:
-    return texts.map(simhash).astype("int64")
+    found = texts.map(simhash).astype("int64")
+    tidy()
+    return found
 
 
 def block_keys(value: Column, bits: int) -> Column:
@@ -114,7 +116,7 @@ def near_links(prints: DataFrame, bits: int = 3, pivots: int = PIVOTS) -> DataFr
         "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp").withColumn("table", table)
     keys = ["key", "low", "high"]
     cells = cells.repartition(*keys).sortWithinPartitions(*keys)
-    found = cells.mapInPandas(lambda frames: each_cell(frames, keys, lambda cell: links_of_cell(cell, bits)), "a long, b long")
+    found = cells.mapInPandas(tidied(lambda frames: each_cell(frames, keys, lambda cell: links_of_cell(cell, bits))), "a long, b long")
     return found.distinct()
 
 
@@ -127,7 +129,7 @@ def simhash_groups(docs: DataFrame, bits: int = 3) -> DataFrame:
     Columns called ``fp`` or ``component_id`` are replaced.
     """
     kept = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
-    marked = written(docs.select(*kept, fingerprint("text").alias("fp")), "prints")
+    marked = written(whole_texts(docs).select(*kept, fingerprint("text").alias("fp")), "prints")
     prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")), "values")
     found = components(near_links(prints, bits)).withColumnRenamed("node", "fp")
     named = written(prints.join(found, "fp", "left").select("fp", "_first", F.coalesce("label", "fp").alias("label")), "groups")

@@ -46,8 +46,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every piece, and whether they decode to its very bytes."""
     vocabulary = encoding.multilingual()
     texts = docs.select("doc_id", "lang", "source", "n_chars", "text", F.sha2(F.coalesce(F.encode("text", "utf-8"), F.lit(b"")), 256).alias("_sha"))
-    found = encoding.encode(texts, vocabulary)
-    same = F.sha2(encoding.decode("ids", spark, vocabulary), 256) == F.col("_sha")
+    found = encoding.encode(texts, vocabulary, decoded=True)
+    same = F.sha2("decoded", 256) == F.col("_sha")
     return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"), "ids")
 
 
