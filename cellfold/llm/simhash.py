@@ -120,6 +120,19 @@ def near_links(prints: DataFrame, bits: int = 3, pivots: int = PIVOTS) -> DataFr
     return found.distinct()
 
 
+def labelled(docs: DataFrame, bits: int) -> DataFrame:
+    """``simhash_groups`` with the component's smallest fingerprint as ``_label``: a name
+    that components without a doc_id have too."""
+    kept = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
+    marked = written(whole_texts(docs).select(*kept, fingerprint("text").alias("fp")), "prints")
+    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")), "values")
+    found = components(near_links(prints, bits)).withColumnRenamed("node", "fp")
+    named = written(prints.join(found, "fp", "left").select("fp", "_first", F.coalesce("label", "fp").alias("_label")), "groups")
+    first = written(named.groupBy("_label").agg(F.min("_first").alias("component_id")), "firsts")
+    of = written(named.join(first, "_label").select("fp", "component_id", "_label"), "members")
+    return marked.join(of, "fp").select(*kept, "fp", "component_id", "_label")
+
+
 def simhash_groups(docs: DataFrame, bits: int = 3) -> DataFrame:
     """``docs`` (``doc_id, text`` and any others) with ``fp, component_id`` for ``text``.
 
@@ -128,14 +141,7 @@ def simhash_groups(docs: DataFrame, bits: int = 3) -> DataFrame:
     other.  Repeated rows stay; a null doc_id is linked but never names a component.
     Columns called ``fp`` or ``component_id`` are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
-    marked = written(whole_texts(docs).select(*kept, fingerprint("text").alias("fp")), "prints")
-    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")), "values")
-    found = components(near_links(prints, bits)).withColumnRenamed("node", "fp")
-    named = written(prints.join(found, "fp", "left").select("fp", "_first", F.coalesce("label", "fp").alias("label")), "groups")
-    first = written(named.groupBy("label").agg(F.min("_first").alias("component_id")), "firsts")
-    of = written(named.join(first, "label").select("fp", "component_id"), "members")
-    return marked.join(of, "fp").select(*kept, "fp", "component_id")
+    return labelled(docs, bits).drop("_label")
 
 
 def one_of_each(docs: DataFrame, bits: int = 3) -> DataFrame:
@@ -145,11 +151,10 @@ def one_of_each(docs: DataFrame, bits: int = 3) -> DataFrame:
     the kept id and text are one.
     """
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
-    groups = simhash_groups(marked, bits)
+    groups = labelled(marked, bits)
     able = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = able.where("doc_id IS NOT NULL").groupBy("doc_id", "component_id", "fp").agg(F.min("_h").alias("_of")).select("doc_id", "_of")
-    alone = able.where("doc_id IS NULL").groupBy("doc_id").agg(F.min("_h").alias("_of"))
-    kept = written(named.unionByName(alone).withColumnRenamed("doc_id", "_doc"), "kept")
+    chosen = able.groupBy(F.col("doc_id").alias("_doc"), "_label").agg(F.min("_h").alias("_of"))
+    kept = written(chosen.select("_doc", "_of"), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_of"))
     left = docs.join(kept, same, "left_semi")
     # Only where an id and text are repeated is there anything to collapse.

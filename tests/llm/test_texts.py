@@ -318,6 +318,19 @@ def test_groups_and_one_of_each(spark, odd):
     assert simhash.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_groups_without_an_id(spark):
+    """Each group whose documents all have no id keeps one of them; so does an id with unrelated or near texts."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    alone, story, twice, near = [words(40) for _ in range(9)], words(300), words(40), words(400)
+    copy = f"{near} more"
+    assert 0 < (plain_simhash(near) ^ plain_simhash(copy)).bit_count() <= 3
+    rows = [(None, t) for t in [*alone, alone[0], story, story, near, copy]] + [(7, story), (8, twice), (8, near[::-1])]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(frame(spark, rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([*((None, t) for t in alone), (7, story), (8, twice), (8, near[::-1]),
+                                            next((None, t) for t in (near, copy) if (None, t) in kept)], key=str)
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(0, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     star = spark.range(1001, 1500).select(F.lit(1000).cast("long").alias("a"), F.col("id").alias("b"))
