@@ -39,7 +39,14 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Monsieur Madame Mme Ml
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 ADDRESS = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
-PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: What may part groups of a phone number: no space before an address.
+PART = rf"(?:[.-]| (?!(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])))"
+#: +1 has ten digits after it; elsewhere a last group after a space is not the start of a fraction.
+PHONE = (rf"\+1(?:{PART}?\([0-9]{{3}}\)|{PART}?[0-9]{{3}}){PART}?[0-9]{{3}}{PART}?[0-9]{{4}}(?![0-9])"
+         rf"|\+[0-9]{{1,3}}{PART}?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:{PART}?[0-9]{{2,4}}){{2}}"
+         rf"(?:[.-]?[0-9]{{2,4}}|{PART}[0-9]{{2,4}}(?!\.?[0-9]))?(?![0-9])"
+         r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![A-Za-z0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![A-Za-z0-9])"

@@ -209,6 +209,20 @@ def test_surrogates(spark):
     assert [r.text for r in changed(spark, texts).values()] == [r.text for r in got.values()]
 
 
+def test_phone_before_other_numbers(spark):
+    """A phone number ends where an address, a year or an amount begins."""
+    texts = ["+1 (826) 555-4081 190.137.223.204", "+1 (826) 555-4081 2021 and +1 826-555-4081 17", "+44 20 7946 0958 10.1.2.3",
+             "+44 20 7946 0958 12.5 km", "+44 20 7946 190.137.223.204", "call +1 (826) 555-4081.", "+1 8265554081, +18265554081"]
+    got = changed(spark, texts)
+    assert [got[k].n_entities for k in range(7)] == [2, 2, 2, 1, 2, 1, 2]
+    assert "137.223" not in got[0].text and "137.223" not in got[4].text and "10.1.2.3" not in got[2].text
+    digits = lambda text: "".join(c for c in text if c.isdigit())
+    phone = digits(got[5].text)
+    assert len(phone) == 11 and got[0].text.startswith(got[5].text[5:-1]) and phone != "18265554081"
+    assert digits(got[1].text) == f"{phone}2021{phone}17" and digits(got[6].text) == phone * 2
+    assert got[3].text.endswith(" 12.5 km") and digits(got[3].text)[:12] == digits(got[2].text)[:12] and "7946" not in got[3].text
+
+
 def test_distinct(spark):
     """Names have few surrogates, so many draw again until all are distinct and none is real."""
     rng = random.Random(3)
