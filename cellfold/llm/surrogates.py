@@ -5,8 +5,9 @@ case of an address), and its surrogate is drawn from a keyed digest of type and
 text: the same person or number has the same surrogate everywhere, in whatever format it
 is written, and without the key nothing leads back.  Surrogates keep the type and the
 format: letters stay letters of their case, digits digits, separators and country codes
-stay, card numbers that pass the Luhn check pass it again, given names keep gender and
-script.
+stay, card numbers that pass the Luhn check pass it again, given names keep script and, where
+a list or a title tells it, gender.  A person is known by the last name; every name before it
+has a surrogate of its own.
 
 Two entities must not share a surrogate and a surrogate must not be another real entity.
 All distinct entities are checked for that; those that clash draw again, with a number of
@@ -35,6 +36,7 @@ SYLLABLES = {
     "cyrillic": "бор вал гор дан зор кар лен мар нов пет рад сол тар ван яр мил".split(),
     "greek": "βαρ γαλ δελ ζαν καρ λεν μαρ νικ παλ ραν σολ ταρ φιλ χαρ μπελ ρου".split(),
 }
+FEMALE, MALE = "Mrs Ms Miss Frau Señora Madame Mme Mlle".split(), "Mr Herr Señor Monsieur".split()
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Monsieur Madame Mme Mlle".split()
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
@@ -52,7 +54,14 @@ ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{
 CARD = r"(?<![A-Za-z0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
 GIVEN = "|".join(name for names in NAMES.values() for name in names)
-PERSON = rf"(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?:{GIVEN}) \p{{Lu}}\p{{Ll}}+)(?!\p{{L}})"
+TITLED = rf"(?:(?:{'|'.join(TITLES)})\.? )"
+#: A name as it is written (McDonald, O'Neill, Smith-Jones), and with particles or initials before it.
+WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
+NAME = rf"(?!{TITLED}){WORD}(?:-{WORD})*"
+LAST = rf"(?:\p{{Lu}}\. ){{0,2}}(?:(?:van|von|de|del|della|di|da|dos|du|zu|ter|ten|bin)(?: (?:la|las|los|der|den|het))? )?{NAME}"
+#: Up to four names after a title; a listed given name, others of them, and up to three names.
+PERSON = (rf"(?<![\p{{L}}])(?:{TITLED}+{LAST}(?: {LAST}){{0,3}}"
+          rf"|(?:{GIVEN})(?:[ -](?:{GIVEN}))* {LAST}(?: (?!(?:{GIVEN}) \p{{Lu}}){LAST}){{0,2}})(?!\p{{L}})")
 
 #: In order: what an earlier one takes a later one doesn't see.
 TYPES = {"email": EMAIL, "ip": ADDRESS, "phone": PHONE, "ssn": SOCIAL, "iban": ACCOUNT, "card": CARD, "secret": SECRET, "person": PERSON}
@@ -80,7 +89,7 @@ def country(entity: Column) -> Column:
 
 
 def surname(entity: Column) -> Column:
-    return F.regexp_extract(entity, r"(\p{L}+)$", 1)
+    return F.regexp_extract(entity, r"([^ ]+)$", 1)
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -128,6 +137,14 @@ def script_of(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def syllables(text: Column, hex_: Column, count: int) -> list[Column]:
+    """The first syllables a digest draws, in the script of ``text``."""
+    script = script_of(text)
+    listed = {name: F.array(*map(F.lit, found)) for name, found in SYLLABLES.items()}
+    chosen = F.when(script == "cyrillic", listed["cyrillic"]).when(script == "greek", listed["greek"]).otherwise(listed["latin"])
+    return [F.get(chosen, number(hex_, k, 16)) for k in range(count)]
+
+
 def drawn(kind: Column, value: Column, hex_: Column) -> Column:
     """The canonical text of the surrogate of a canonical text, from its digest."""
     rest = F.substring_index(value, "|", -1)
@@ -146,9 +163,8 @@ def drawn(kind: Column, value: Column, hex_: Column) -> Column:
     card = F.when(F.call_function("luhn_check", value), check).otherwise(F.concat(body, number(hex_, 63, 10).cast("string")))
     iban = F.concat(F.substring(value, 1, 2), F.substring(masked(value, hex_), 3, 40))
     secret = F.substring(hex_, F.lit(1), F.length(value))
-    syllables = F.when(script_of(value) == "cyrillic", F.array(*map(F.lit, SYLLABLES["cyrillic"]))).when(
-        script_of(value) == "greek", F.array(*map(F.lit, SYLLABLES["greek"]))).otherwise(F.array(*map(F.lit, SYLLABLES["latin"])))
-    person = F.concat(*[F.get(syllables, number(hex_, k, 16)) for k in range(4)])
+    a, b, c, d = syllables(value, hex_, 4)
+    person = F.concat(a, b, F.when(F.contains(value, F.lit("-")), "-").otherwise(""), c, d)
     return (F.when(kind == "phone", phone).when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
             .when(kind == "ssn", new).when(kind == "iban", iban).when(kind == "person", person).otherwise(secret))
 
@@ -164,6 +180,21 @@ def given_name(given: Column, key: str) -> Column:
     return found
 
 
+def other_name(name: Column, title: Column, key: str) -> Column:
+    """A surrogate for a name before the last: listed names by ``given_name``; others a
+    listed one of the title's gender, or syllables where no title tells; initials other
+    letters.  Particles stay."""
+    hex_ = digest(F.lit("given"), F.lower(name), F.lit(0), key)
+    of = lambda titles: title.rlike(rf"(?<!\p{{L}})(?:{'|'.join(titles)})(?!\p{{L}})")
+    gender = F.when(of(FEMALE), "f").when(of(MALE), "m")
+    drawn_ = F.initcap(F.concat(*syllables(name, hex_, 3)))
+    for (script, of_gender), names in NAMES.items():
+        listed = F.get(F.array(*map(F.lit, names)), number(hex_, 3, len(names)))
+        drawn_ = F.when((script_of(name) == script) & (gender == of_gender), listed).otherwise(drawn_)
+    return F.when(name.rlike(r"^\p{Ll}"), name).when(name.rlike(r"^[A-Z]\.$"), masked(name, hex_)).otherwise(
+        F.coalesce(given_name(name, key), drawn_))
+
+
 def dressed(kind: Column, entity: Column, new: Column, key: str) -> Column:
     """A surrogate's canonical text in the format the entity is written in."""
     plain = F.when(kind == "phone", F.concat(F.when(entity.startswith("+"), F.substring_index(new, "|", 1)).otherwise(F.lit("")),
@@ -174,11 +205,11 @@ def dressed(kind: Column, entity: Column, new: Column, key: str) -> Column:
     in_case = each_character(entity, lambda c, k: F.when(c.rlike("[A-Z]"), F.upper(F.substring(new, k + 1, F.lit(1)))).otherwise(
         F.substring(new, k + 1, F.lit(1))))
     secret = F.when(entity.rlike("[A-F]"), F.upper(new)).otherwise(new)
-    given = F.regexp_extract(entity, r"(\p{L}+) \p{L}+$", 1)
-    before = F.substring(entity, F.lit(1), F.length(entity) - F.length(surname(entity)))
-    other = given_name(given, key)
-    before = F.when(other.isNotNull(), F.concat(F.substring(before, F.lit(1), F.length(before) - F.length(given) - 1), other, F.lit(" "))).otherwise(before)
-    person = F.concat(before, F.initcap(new))
+    title = F.regexp_extract(entity, rf"^({TITLED}*)", 1)
+    names = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+    before = F.transform(F.slice(names, 1, F.size(names) - 1), lambda name: F.concat(other_name(name, title, key), F.lit(" ")))
+    family = F.array_join(F.transform(F.split(new, "-"), F.initcap), "-")
+    person = F.concat(title, F.array_join(before, ""), family)
     return (F.when(kind.isin("phone", "card", "ssn"), in_digits).when(kind == "iban", in_account).when(kind == "email", in_case)
             .when(kind == "person", person).when(kind == "secret", secret).otherwise(new))
 

@@ -209,6 +209,24 @@ def test_surrogates(spark):
     assert [r.text for r in changed(spark, texts).values()] == [r.text for r in got.values()]
 
 
+def test_every_name(spark):
+    """Given names outside the lists, further and compound surnames: nothing of them is left."""
+    texts = ["Dr. Barbara Miller met Frau Barbara Miller.", "Anna Maria Lopez and Carlos Garcia Lopez", "Mr McDonald, Mrs. Smith-Jones; John O'Neill",
+             "Herr Dr. Kurt von der Heide", "Anna Smith John Miller", "Frau Ольга Сидорова, Mr Αλέξης Παππάς", "John F. Kennedy"]
+    got = changed(spark, texts)
+    assert [got[k].n_entities for k in range(7)] == [2, 2, 3, 1, 2, 2, 1]
+    for k, names in enumerate(["Barbara Miller", "Anna Maria Lopez Carlos Garcia", "Donald Smith Jones Neill", "Kurt Heide", "Anna Smith John Miller",
+                               "Ольга Сидорова Αλέξης Παππάς", "John Kennedy"]):
+        assert not [n for n in names.split() if n in got[k].text], got[k].text
+    a, b = got[0].text[:-1].split(" met ")
+    assert a.startswith("Dr. ") and b.startswith("Frau ") and a.split()[2] == b.split()[2] and b.split()[1] in surrogates.NAMES["latin", "f"]
+    first = got[1].text.split()
+    assert first[0] in surrogates.NAMES["latin", "f"] and first[1] in surrogates.NAMES["latin", "f"] and first[2] == first[6]
+    assert got[2].text.startswith("Mr ") and ", Mrs. " in got[2].text and got[2].text.count("-") == 1
+    assert got[3].text.startswith("Herr Dr. ") and " von der " in got[3].text
+    assert got[5].text.split(", ")[1].split()[1] in surrogates.NAMES["greek", "m"]
+
+
 def test_phone_before_other_numbers(spark):
     """A phone number ends where an address, a year or an amount begins."""
     texts = ["+1 (826) 555-4081 190.137.223.204", "+1 (826) 555-4081 2021 and +1 826-555-4081 17", "+44 20 7946 0958 10.1.2.3",
