@@ -5,11 +5,15 @@ scripts, styles and comments are left out by their names, roles and classes; whe
 marks its article (or its main part), that is the main text.
 
 What the markup doesn't tell, the host does.  The token streams of all pages of a host
-are one text, and its suffixes, ordered by their first ``LONG`` words, show which long
-substrings occur on many distinct pages.  A substring that also stands outside any
-article is page furniture; words covered by it are taken out and unique runs stay.
-The array is sparse: a suffix starts only at words chosen by their own hash, the same
-words on every page, so equal substrings have equal suffixes in it.
+are one text, and its suffixes, by their first ``LONG`` words, show which long substrings
+occur on many distinct pages.  A substring that also stands outside any article is page
+furniture; words covered by it are taken out and unique runs stay.
+
+Not every suffix is shuffled.  Any ``LONG`` words hold ``LONG - PART + 1`` runs of ``PART``
+words, and the one with the smallest hash is their anchor: equal substrings have equal
+anchors, so a substring is on no more pages than its anchor.  Anchors are counted first
+(a page has about one for seven words), and only suffixes whose anchor is on enough pages
+are counted themselves, each of them, so a common run goes from its first word to its last.
 
 Ordering all suffixes of a host in one place would not hold for a large host.  Only
 suffixes with equal first words have to stand together, so these are what is shuffled,
@@ -20,21 +24,22 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.llm.common import whole_texts
-from cellfold.runtime import small_side, written
+from cellfold.llm.common import tidied, whole_texts
+from cellfold.runtime import written
 
-#: Words of a substring that counts as long, and one in how many words starts a suffix.
-LONG, EVERY = 24, 16
-#: Distinct pages, and share of the host's distinct pages, that make a substring furniture.
-PAGES, SHARE = 5, 0.2
+#: Words of a substring that counts as long, and of the runs of which one is its anchor.
+LONG, PART = 24, 12
+#: Distinct pages, and share of the host's distinct pages, that make a substring furniture;
+#: on so many pages it is furniture whatever the share.
+PAGES, SHARE, MANY = 5, 0.2, 100
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
@@ -132,10 +137,23 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     return found
 
 
-def anchors(words: list[str]) -> list[tuple[int, int]]:
-    """Where the stream's suffixes start, and a hash of their first words."""
-    return [(k, xxhash.xxh64_intdigest("\n".join(words[k:k + LONG])) - (1 << 63))
-            for k in range(len(words) - LONG + 1) if zlib.crc32(words[k].encode()) % EVERY == 0]
+def runs(own: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of so many words, from a hash of each word."""
+    found, n = np.zeros(len(own) - length + 1, np.uint64), len(own) - length + 1
+    for k in range(length):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + own[k:k + n]
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xD6E8FEB86659FD93)
+    return found ^ found >> np.uint64(32)
+
+
+def suffixes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word that ``LONG`` words start at, a hash of them and their anchor."""
+    if len(words) < LONG:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    anchors = np.lib.stride_tricks.sliding_window_view(runs(own, PART), LONG - PART + 1).min(axis=1)
+    return runs(own, LONG).view(np.int64), anchors.view(np.int64)
 
 
 def stream(blocks: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
@@ -156,7 +174,7 @@ def main_text(blocks: list[tuple[str, str]], furniture: set[int]) -> str:
         return "\n".join(blocks[k][1] for k in chosen)
     words, at = stream(blocks)
     covered = bytearray(len(words))
-    for k, key in anchors(words):
+    for k, key in enumerate(suffixes(words)[0].tolist()):
         if key in furniture:
             covered[k:k + LONG] = b"\1" * LONG
     kept: dict[int, list[str]] = {k: [] for k in chosen}
@@ -171,35 +189,73 @@ def host(url: str | Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _suffixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rows(frames: Iterator[pd.DataFrame], dense: bool) -> Iterator[pd.DataFrame]:
+    """A page's anchors, or its suffixes with an anchor in ``asked``: once each, and
+    whether ``LONG`` words of it start outside an article."""
+    def joined(parts):
+        lengths = [len(found) for found, *_ in parts]
+        at, page, of = (np.repeat(np.array(x, np.int64), lengths) for x in list(zip(*parts))[2:])
+        return pd.DataFrame({"at": at, "key": np.concatenate([p[0] for p in parts]), "page": page,
+                             "outside": np.concatenate([p[1] for p in parts]), "of": of})
+
     for frame in frames:
-        rows = []
-        for name, page in zip(frame["host"], frame["html"]):
+        parts, count = [], 0
+        for host_, page, of, asked in zip(frame["at"], frame["html"], frame["of"], frame["asked"]):
             blocks = blocks_of(page)
             words, at = stream(blocks)
+            keys, anchors = suffixes(words)
+            if not len(keys):
+                continue
             seen = xxhash.xxh64_intdigest("\n".join(t for z, t in blocks if z != "out")) - (1 << 63)
-            rows += [(name, key, seen, blocks[at[k]][0] not in ("article", "main")) for k, key in anchors(words)]
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=["host", "key", "page", "outside"])
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["host", "key", "page", "outside"])
+            zones = np.array([z not in ("article", "main") for z, _ in blocks])[np.array(at[:len(keys)])]
+            if dense:
+                met = np.isin(anchors, np.array(asked, np.int64))
+                keys, zones = keys[met], zones[met]
+            else:
+                keys = anchors
+            found, where = np.unique(keys, return_inverse=True)
+            parts.append((found, np.bincount(where, zones, len(found)) > 0, host_, seen, of))
+            count += len(found)
+            if count > 20_000:
+                yield joined(parts)
+                parts, count = [], 0
+        if parts:
+            yield joined(parts)
+
+
+def _rows_of(marked: DataFrame, dense: bool) -> DataFrame:
+    return marked.mapInPandas(tidied(lambda frames: _rows(frames, dense)), "at long, key long, page long, outside boolean, of long")
+
+
+def _often(rows: DataFrame, total: DataFrame) -> DataFrame:
+    """``at, key`` of what is on enough distinct pages of its host."""
+    once = rows.groupBy("at", "key", "page").agg(F.max("outside").alias("outside"))
+    counts = once.groupBy("at", "key").agg(F.count("*").alias("pages"), F.max("outside").alias("outside"))
+    enough = (F.col("pages") >= SHARE * F.col("total")) | (F.col("pages") >= MANY)
+    return counts.where(F.col("outside") & (F.col("pages") >= PAGES)).join(total, "at").where(enough).select("at", "key")
+
+
+def by_page(rows: DataFrame, often: DataFrame, name: str) -> DataFrame:
+    """``_of`` and the keys among ``often`` of each page: no more than the page has words."""
+    met = rows.select("of", "at", "key").join(often, ["at", "key"])
+    return written(met.groupBy(F.col("of").alias("_of")).agg(F.collect_set("key").alias(name)), name)
 
 
 def furniture(pages: DataFrame) -> DataFrame:
-    """``host, keys``: hashes of the long substrings that are furniture of a host.
+    """``_of, keys``: for pages that hold any (``_of`` hashes host and html), hashes of the
+    long substrings that are furniture of the host.
 
-    Pages with the same text outside furniture count once.  Each key is on a fifth of its
-    host's pages, so a host has at most five times as many as a page of it has suffixes.
+    Pages with the same text outside furniture count once, those of fewer than ``LONG``
+    words never.
     """
-    marked = pages.select(host("url").alias("host"), "html")
-    rows = marked.mapInPandas(_suffixes, "host string, key long, page long, outside boolean")
-    once = written(rows.groupBy("host", "key", "page").agg(F.max("outside").alias("outside")), "suffixes")
-    counts = once.groupBy("host", "key").agg(F.count("*").alias("pages"), F.max("outside").alias("outside")).where(
-        F.col("outside") & (F.col("pages") >= PAGES))
-    total = once.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    long = counts.join(total, "host").where(F.col("pages") >= SHARE * F.col("total"))
-    return written(long.groupBy("host").agg(F.collect_set("key").alias("keys")), "furniture")
+    at = host("url")
+    marked = pages.select(F.xxhash64(at).alias("at"), "html", F.xxhash64(at, "html").alias("of"))
+    none = F.lit(None).cast("array<long>").alias("asked")
+    rows = written(_rows_of(marked.select("*", none), False), "anchors")
+    total = written(rows.select("at", "page").distinct().groupBy("at").agg(F.count("*").alias("total")), "totals")
+    asked = by_page(rows, written(_often(rows, total), "often"), "asked")
+    dense = written(_rows_of(marked.join(asked, F.col("of") == F.col("_of")).drop("_of"), True), "suffixes")
+    return by_page(dense, written(_often(dense, total), "long"), "keys")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -211,9 +267,8 @@ def extract(pages: DataFrame) -> DataFrame:
     ``n_chars`` are replaced.
     """
     kept = [f for f in pages.schema if f.name not in ("html", "text", "n_chars")]
-    known = small_side(furniture(whole_texts(pages))).withColumnRenamed("host", "_host")
-    marked = pages.select(*(f.name for f in kept), "html", host("url").alias("_at"))
-    joined = marked.join(known, F.col("_at") == F.col("_host"), "left").select(*(f.name for f in kept), "html", "keys")
+    known = furniture(whole_texts(pages))
+    joined = pages.join(known, F.xxhash64(host("url"), "html") == F.col("_of"), "left").select(*(f.name for f in kept), "html", "keys")
 
     def run(frames):
         import pyarrow as pa

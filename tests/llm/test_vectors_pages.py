@@ -141,6 +141,25 @@ def test_furniture(spark):
     assert all(got[100 + k] == f"{story}\n{k}" for k in range(12)) and got[200] == banner
 
 
+def test_whole_furniture(spark):
+    """Short passages, whole runs to the word, and what is on many pages of a large host."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    page = lambda k, host, *parts: (k, f"http://{host}.example/{k}", "".join(f"<div>{p}</div>" for p in parts))
+    notices = [words(24 + k % 3) for k in range(20)]
+    less, some, large = words(23), words(40), words(30)
+    own = [words(40) for _ in range(600)]
+    rows = [page(20 * k + j, f"n{k}", own[20 * k + j], notice, words(3)) for k, notice in enumerate(notices) for j in range(5)]
+    rows += [page(1000 + k, "less", own[k], less) for k in range(8)]
+    rows += [page(2000 + k, "large", own[k], *([large] if k < 101 else []), *([some] if k > 510 else [])) for k in range(600)]
+    got = {r.page_id: r.text.split("\n") for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(20):
+        for j in range(5):
+            assert got[20 * k + j][0] == own[20 * k + j] and len(got[20 * k + j]) == 2 and len(got[20 * k + j][1].split()) == 3
+    assert all(got[1000 + k] == [own[k], less] for k in range(8))
+    assert all(got[2000 + k] == [own[k], *([some] if k > 510 else [])] for k in range(600))
+
+
 # --- toxicity -------------------------------------------------------------------
 
 
