@@ -177,7 +177,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                         F.collect_set(F.when(side == 0, F.col("a"))).alias("firsts"),
                         F.collect_set(F.when(side == 1, F.col("a"))).alias("lasts")), "asked")
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    forms = texts.join(small_side(asked).withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).drop("_of")
+    listed = 8 * (F.size("firsts") + F.size("lasts"))
+    forms = texts.join(small_side(asked, width=listed).withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).drop("_of")
     forms = written(forms.mapInPandas(tidied(read_neighbourhoods), "v long, w long, place int, doc_id long, no int, a long"), "forms")
 
     gone = earliest_met(forms).withColumn("gone", F.lit(True))

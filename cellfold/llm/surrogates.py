@@ -254,7 +254,8 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     # By text, not by row: texts that are equal have equal entities.
     named = each.join(apart, ["kind", "value"]).withColumn("new", dressed(F.col("kind"), F.col("entity"), F.col("new"), key))
     of_text = written(named.groupBy(F.col("h").alias("_h")).agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("_new")), "of_text")
-    joined = docs.join(small_side(of_text), F.xxhash64("text") == F.col("_h"), "left")
+    written_out = F.octet_length(F.concat_ws("", F.map_keys("_new"), F.map_values("_new")))
+    joined = docs.join(small_side(of_text, width=written_out), F.xxhash64("text") == F.col("_h"), "left")
     entities = F.when(F.col("_new").isNotNull(), found_in("text"))
     changed = F.transform("_all", lambda entity: F.element_at("_new", entity))
     gaps = F.split("text", PATTERN, -1)

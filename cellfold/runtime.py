@@ -6,11 +6,13 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it is known to hold no more rows than this.
 BROADCAST_ROWS = 200_000
+# One whose rows grow with the data also holds no more bytes than this.
+BROADCAST_BYTES = 32 << 20
 
 # Longest run of one line that a single window group may hold.
 BLOCK = 65_536
@@ -59,13 +61,16 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, match, how).drop(*[f"_same_{k}" for k in keys])
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
     """Broadcast a table of unknown size after counting it up to the limit.
 
     An aggregate that fits is fetched once (at most ``limit`` rows) and handed
     back as a local table, so it is not computed again; one that does not is
-    returned as it is.
+    returned as it is.  Rows without a fixed width need ``width``, the bytes of a
+    row: they are summed before anything is fetched.
     """
+    if width is not None and (df.agg(F.sum(width)).first()[0] or 0) > BROADCAST_BYTES:
+        return df
     head = df.limit(limit + 1).toArrow()
     if head.num_rows > limit:
         return df
