@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm import encoding, extraction, ivfpq, langid, lines, mixing, mtree, simhash, surrogates, toxicity
+from cellfold.llm import encoding, extraction, ivfpq, langid, lines, mixing, mtree, simhash, suffixes, surrogates, toxicity
 from cellfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,29 @@ def main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_surrogates")
 def private_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates.replace(table(spark, folder, "documents", "doc_id", "text"))
+
+
+REPEATS_SQL = """
+WITH t AS (
+    SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+    SELECT r, p, md5_number(b[p + 1:p + 200]) AS k FROM (SELECT r, b, unnest(range(octet_length(b) - 199)) AS p FROM t)
+), met AS (
+    SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1
+), runs AS (
+    SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run
+    FROM (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 200, true)::INT AS new FROM met)
+), spans AS (
+    SELECT r, list(a ORDER BY a) AS firsts, list(z ORDER BY a) AS pasts, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans
+    FROM (SELECT r, min(p) AS a, max(p) + 200 AS z FROM runs GROUP BY r, run) GROUP BY r
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(array_to_string(list_transform(range(coalesce(n_spans, 0) + 1), lambda i: substr(hex(b), 2 * coalesce(pasts[i], 0) + 1,
+        2 * (coalesce(firsts[i + 1], octet_length(b)) - coalesce(pasts[i], 0)))), ''))) AS kept_sha256
+FROM t LEFT JOIN spans USING (r)
+"""
+
+
+@query("op13_repeated_strings", REPEATS_SQL)
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(suffixes.without_repeats(table(spark, folder, "documents", "doc_id", "text")))
