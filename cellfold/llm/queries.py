@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm import encoding, extraction, ivfpq, langid, lines, mixing, mtree, simhash, suffixes, surrogates, toxicity
+from cellfold.llm import encoding, extraction, ivfpq, langid, lines, mixing, mtree, repair, simhash, suffixes, surrogates, toxicity, whitening
 from cellfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,70 @@ FROM t LEFT JOIN spans USING (r)
 @query("op13_repeated_strings", REPEATS_SQL)
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(suffixes.without_repeats(table(spark, folder, "documents", "doc_id", "text")))
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE drawn AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+    FROM conversations
+), faults AS (
+    SELECT conv_id, turn, role, text, xor(list_reduce(
+        list_concat([4294967295::UBIGINT], list_transform(range(1, length(name) + 1), lambda k: ascii(name[k])::UBIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda z: 0::UBIGINT)),
+            lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::UBIGINT) ELSE y // 2 END)), 4294967295::UBIGINT) % 20 AS f
+    FROM drawn
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+        CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM faults, unnest(CASE f WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS u(copy)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), facts AS (
+    SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, count(*) OVER (PARTITION BY conv_id) AS n,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+            WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN '-' ELSE 't' END AS fault
+    FROM placed
+), best AS (
+    SELECT conv_id, max(n) + 1 AS i, [
+        {'c': 0, 'a': '', 't': []::VARCHAR[]}, {'c': 10, 'a': 'II', 't': ['user:', 'assistant:']},
+        {'c': 5, 'a': 'I', 't': ['assistant:']}, {'c': 0, 'a': '', 't': []::VARCHAR[]}] AS s
+    FROM facts GROUP BY conv_id
+    UNION ALL
+    SELECT conv_id, i, list_transform([1, 2, 3, 4], lambda q: list_min([o[q],
+            {'c': o[w[q]].c + 5, 'a': 'I' || o[w[q]].a, 't': list_concat([r[w[q]] || ':'], o[w[q]].t)},
+            {'c': o[w[w[q]]].c + 10, 'a': 'II' || o[w[w[q]]].a, 't': list_concat([r[w[q]] || ':', r[w[w[q]]] || ':'], o[w[w[q]]].t)}]))
+    FROM (
+        SELECT *, list_transform([1, 2, 3, 4], lambda q: list_min([
+            {'c': s[q].c + 2, 'a': 'D' || s[q].a, 't': s[q].t},
+            {'c': CASE WHEN fault IN ('b', 'd') OR k[q] = 0 THEN 1000000000 ELSE s[greatest(k[q], 1)].c + more END, 'a': 'K' || s[greatest(k[q], 1)].a,
+                't': list_concat([role || ':' || text], s[greatest(k[q], 1)].t)},
+            {'c': CASE WHEN fault IN ('b', 'd') THEN 1000000000 ELSE s[w[q]].c + 1 + more END, 'a': 'R' || s[w[q]].a,
+                't': list_concat([r[w[q]] || ':' || text], s[w[q]].t)}])) AS o
+        FROM (
+            SELECT f.conv_id, f.i, f.role, f.text, f.fault, b.s, [3, 3, 4, 3] AS w, ['', '', 'user', 'assistant'] AS r, CASE fault WHEN 't' THEN 5 ELSE 0 END AS more,
+                CASE initial WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS k
+            FROM best b JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1))
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+        count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT *, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM facts) GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(s[1].c, 0)::BIGINT AS cost, coalesce(s[1].a, '') AS audit,
+    sha256(coalesce(array_to_string(s[1].t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN (SELECT * FROM best WHERE i = 1) b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return repair.repair_report(repair.damaged(rows), rows)
+
+
+@query("op11_whitening")
+def whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector"))
