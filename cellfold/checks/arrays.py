@@ -71,6 +71,29 @@ def _(spark, d):
     return selecting.slice(cube(spark, d), ..., 2).df
 
 
+@check("slice_array_axis", f"""
+WITH {CELLS} SELECT i0 - 100 AS i0, (i1 - 8) // 5 AS i1, v FROM cells WHERE i0 BETWEEN 100 AND 399 AND i1 >= 8 AND i1 < 56 AND (i1 - 8) % 5 = 0""")
+def _(spark, d):
+    return selecting.slice(embeddings(spark, d), slice(100, 400), slice(8, 56, 5)).df
+
+
+@check("pin_array_axis", f"WITH {CELLS} SELECT i0, v FROM cells WHERE i1 = 61")
+def _(spark, d):
+    return selecting.pin(embeddings(spark, d), 1, -3).df
+
+
+@check("cube_slice", f"WITH {CUBE} SELECT i0 - 3 AS i0, i1, i2, v FROM cube WHERE i0 BETWEEN 3 AND 20")
+def _(spark, d):
+    return selecting.slice(cube(spark, d), slice(3, 21)).df
+
+
+@check("cube_slice_turned", f"""
+WITH {CUBE} SELECT i2 AS i0, 9 - i1 AS i1, abs(v) AS v FROM cube WHERE i0 = 7""")
+def _(spark, d):
+    turned = rearranging.transpose(elementwise.abs(selecting.slice(cube(spark, d), slice(5, 20), slice(None, None, -1))))
+    return selecting.slice(turned, ..., 2).df
+
+
 @check("slice_reversed", "SELECT (SELECT max(event_id) FROM events) - event_id AS i0, value AS v FROM events")
 def _(spark, d):
     return selecting.slice(events(spark, d), slice(None, None, -1)).df

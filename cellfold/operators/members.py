@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellfold.model import ArgumentError, Cells, axis_name
-from cellfold.sources.tables import places
+from cellfold.model import ArgumentError, Box, Cells, axis_name, inside
+from cellfold.sources.tables import opened_axis
 
 
 def field_type(df: DataFrame, path: str) -> T.DataType:
@@ -40,21 +40,22 @@ def select_member(df: DataFrame, path: str, keys: list[str], shape: tuple[int, .
         if not -dims[0] <= sub < dims[0]:
             raise ArgumentError(f"index {sub} is outside an axis of {dims[0]}")
         value, kind, dims = F.get(value, F.lit(sub % dims[0])), kind.elementType, dims[1:]
-    out = df.select(*keyed, value.alias("v"))
-    rank = len(keys)
-    for extent in dims:
-        if not isinstance(kind, T.ArrayType):
+    inner, rank = kind, len(keys)
+    for _ in dims:
+        if not isinstance(inner, T.ArrayType):
             raise ArgumentError(f"{path} has fewer dims than {dims}")
-        axes = [axis_name(a) for a in range(rank)]
-        # Every place is opened, also of a null or short array.
-        at = axis_name(rank)
-        out = out.select(*axes, F.explode(places(extent)).alias(at), F.col("v").alias("_a"))
-        out = out.select(*axes, at, F.get("_a", F.col(at).cast("int")).alias("v"))
-        shape, kind, rank = (*shape, extent), kind.elementType, rank + 1
-    integer = isinstance(kind, T.IntegralType)
-    if isinstance(kind, T.NumericType):
-        out = out.withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))))
-    return Cells(out, shape, integer)
+        inner = inner.elementType
+    names = [axis_name(a) for a in range(rank + len(dims))]
+    bare, number = df.select(*keyed, value.alias("v")), isinstance(inner, T.NumericType)
+
+    def rows(box: Box) -> DataFrame:
+        out = inside(bare, names[:rank], box, shape)
+        for k in range(len(dims)):
+            out = opened_axis(out.withColumnRenamed("v", "_a"), names[:rank + k], box[rank + k])
+        return out.withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))) if number else out
+
+    shape = (*shape, *dims)
+    return Cells(rows(tuple(map(range, shape))), shape, isinstance(inner, T.IntegralType), rows=rows)
 
 
 def vlen_at(df: DataFrame, field: str, k: int, keys: list[str], shape: tuple[int, ...]) -> Cells:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.model import ArgumentError, Cells, axis_name, element_count, flat_position, unravelled
+from cellfold.model import ArgumentError, Box, Cells, axis_name, element_count, flat_position, spanned, strides, unravelled
 
 
 def permutation(axes, rank: int) -> list[int]:
@@ -26,7 +27,10 @@ def permutation(axes, rank: int) -> list[int]:
 def transpose(cells: Cells, axes=None) -> Cells:
     order = permutation(axes, cells.rank)
     moved = [F.col(axis_name(old)).alias(axis_name(new)) for new, old in enumerate(order)]
-    return cells.of(cells.df.select(*moved, "v"), (cells.shape[a] for a in order), limit=cells.limit)
+    turned = lambda df: df.select(*moved, "v")
+    back = [order.index(old) for old in range(cells.rank)]
+    return cells.of(turned(cells.df), (cells.shape[a] for a in order), limit=cells.limit,
+                    rows=lambda box: turned(cells.within(tuple(box[new] for new in back)).df))
 
 
 def reshaped(size: int, shape) -> tuple[int, ...]:
@@ -49,7 +53,17 @@ def reshaped(size: int, shape) -> tuple[int, ...]:
 
 
 def reshape(cells: Cells, shape) -> Cells:
+    """The same elements in another shape.  A box of it needs one span of flat positions,
+    which is a box of the cells reshaped."""
     target = reshaped(cells.size, shape)
     flat = flat_position(list(range(cells.rank)), cells.shape)
     axes = [c.alias(axis_name(k)) for k, c in enumerate(unravelled(F.col("_flat"), target))]
-    return cells.of(cells.df.select(flat.alias("_flat"), "v").select(*axes, "v"), target, limit=cells.limit)
+    laid_out = lambda df: df.select(flat.alias("_flat"), "v").select(*axes, "v")
+
+    def rows(box: Box) -> DataFrame:
+        if not all(map(len, box)):
+            return laid_out(cells.df.where(F.lit(False)))
+        low, high = (sum(places[end] * stride for places, stride in zip(box, strides(target))) for end in (0, -1))
+        return laid_out(cells.within(spanned(low, high, cells.shape)).df)
+
+    return cells.of(laid_out(cells.df), target, limit=cells.limit, rows=rows)

@@ -8,11 +8,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.model import ArgumentError, Cells, axis_name, element_count, flat_position, int_div
+from cellfold.model import ArgumentError, Box, Cells, axis_name, common, element_count, flat_position, int_div, listed_places
 from cellfold.runtime import BROADCAST_ROWS, same_keys, small_side
 from cellfold.sources.tables import element_positions
 
 CROWDED_LINES = 64
+# Marks that the driver sets to count what a list names.
+MARKED = 1 << 20
 
 
 def _whole(index: int, extent: int) -> int:
@@ -55,30 +57,61 @@ def _terms(sub: list, extent: int) -> list[range]:
     return out
 
 
-def _common(left: range, right: range) -> range:
-    """The indices that two runs share, again a run."""
-    left, right = (t if t.step > 0 else t[::-1] for t in (left, right))
-    shared = math.gcd(left.step, right.step)
-    if (right.start - left.start) % shared:
-        return range(0)
-    step = left.step // shared * right.step
-    turns = (right.start - left.start) // shared * pow(left.step // shared, -1, right.step // shared) if right.step > shared else 0
-    first = left.start + turns * left.step
-    low = builtins.max(left.start, right.start)
-    return range(first + -(-(low - first) // step) * step, builtins.min(left.stop, right.stop), step)
-
-
 def _list_count(terms: list[range]) -> int:
-    """How many different indices the terms name, by arithmetic alone."""
-    single = {t[0] for t in terms if len(t) == 1}
-    runs = [t for t in terms if len(t) > 1]
-    found = builtins.sum(1 for i in single if not builtins.any(i in t for t in runs))
-    for k, term in enumerate(runs):
-        over = [c for c in (_common(term, earlier) for earlier in runs[:k]) if len(c)]
-        found += len(term) - (_list_count(over) if over else 0)
+    """How many different indices the terms name, by arithmetic alone.
+
+    Runs are cut at every run's ends; between two neighbouring ends the same runs
+    go all the way through, so what they name there is a number of residues of
+    their steps' least common multiple.  Runs that step by one cover a stretch whole.
+    """
+    runs = [t if t.step > 0 else t[::-1] for t in terms if len(t)]
+    edges = sorted({e for t in runs for e in (t[0], t[-1] + 1)})
+    if not edges:
+        return 0
+    starts = sorted(runs, key=lambda t: t[0])
+    found, at, through = 0, 0, []
+    for low, high in zip(edges, edges[1:]):
+        while at < len(starts) and starts[at][0] <= low:
+            through.append(starts[at])
+            at += 1
+        through = [t for t in through if t[-1] >= low]
+        steps = {(t.step, t.start % t.step) for t in through}
+        # A run that another one holds adds nothing.
+        steps = {(n, r) for n, r in steps if not builtins.any(n % m == 0 and r % m == q for m, q in steps if m < n)}
+        found += _named(sorted(steps), low, high)
     return found
 
 
+def _named(steps: list[tuple[int, int]], low: int, high: int) -> int:
+    """Whole numbers in [low, high) with one of the residues."""
+    if not steps:
+        return 0
+    if len(steps) == 1:
+        (step, rest), = steps
+        return len(range(low + (rest - low) % step, high, step))
+    turn = math.lcm(*[n for n, _ in steps])
+    span = builtins.min(turn, high - low)
+    if span > MARKED:
+        # Steps that meet late: what each adds to those before it, where it meets them at all.
+        *before, (step, rest) = steps
+        met = ((math.lcm(step, n), _meeting(step, rest, n, r)) for n, r in before)
+        fewer = [c for c in met if c[1] is not None and _named([c], low, high)]
+        return _named(before, low, high) + _named([(step, rest)], low, high) - _named(sorted(set(fewer)), low, high)
+    marks = bytearray(span)
+    for n, r in steps:
+        first = (r - low) % n
+        marks[first::n] = b"\1" * len(range(first, span, n))
+    whole, more = divmod(high - low, span)
+    return whole * builtins.sum(marks) + builtins.sum(marks[:more])
+
+
+def _meeting(step: int, rest: int, other: int, residue: int) -> int | None:
+    """The residue that two residues have in common modulo both steps' multiple."""
+    turn = math.lcm(step, other)
+    met = common(range(rest, rest + 2 * turn, step), range(residue, residue + 2 * turn, other))
+    return met[0] % turn if len(met) else None
+
+
 def sliced_shape(shape, subs) -> tuple[int, ...]:
     """The shape a slice leaves, or the refusal it meets.  No job is started."""
     out = []
@@ -131,17 +164,46 @@ def take(cells: Cells, axis: int, indices: list) -> Cells:
         raise ArgumentError("the slice selects nothing")
     name = axis_name(at)
     pairs, count = _pairs(cells.df.sparkSession, terms)
-    df = cells.df.join(pairs, F.col(name) == F.col("_old")).select(
-        *[F.col("_new").alias(a) if a == name else F.col(a) for a in cells.axes], "v"
-    )
+    named = listed_places([t for t in terms if len(t)])
+
+    def picked(box: Box | None = None) -> DataFrame:
+        near = cells.within(tuple(named if a == at else box[a] if box else range(n) for a, n in enumerate(cells.shape)))
+        return near.df.join(pairs, F.col(name) == F.col("_old")).select(
+            *[F.col("_new").alias(a) if a == name else F.col(a) for a in cells.axes], "v"
+        )
+
     shape = tuple(count if a == at else n for a, n in enumerate(cells.shape))
-    return cells.of(df, shape, limit=cells.limit)
+    return cells.of(picked(), shape, limit=cells.limit, rows=picked)
+
+
+def _needed(sub, extent: int, places: range | tuple[int, ...] | None = None) -> range | tuple[int, ...]:
+    """What a subscript needs of its axis, or what ``places`` of its result do."""
+    if isinstance(sub, (list, tuple)):
+        return listed_places([t for t in _terms(list(sub), extent) if len(t)])
+    if not isinstance(sub, builtins.slice):
+        at = _whole(sub, extent)
+        return range(at, at + 1)
+    run = _run(sub, extent)
+    if places is not None:
+        if not isinstance(places, range):
+            return tuple(sorted(run[k] for k in places))
+        run = run[places.start:places.stop:places.step]
+    return run if run.step > 0 else run[::-1]
 
 
 def slice(cells: Cells, *subs) -> Cells:  # noqa: A001 - the operator's own name
-    """Python indexing per axis, except that selecting nothing is an error."""
+    """Python indexing per axis, except that selecting nothing is an error.
+
+    What is selected is asked of the cells first (``Cells.within``), so that it reaches the
+    scan through reshapes and opens no more of an array than it names.
+    """
     sliced_shape(cells.shape, subs)
-    filled = _filled(subs, cells.rank)
+    return _sliced(cells, _filled(subs, cells.rank))
+
+
+def _sliced(cells: Cells, filled: list) -> Cells:
+    source = cells
+    cells = cells.within(tuple(_needed(sub, extent) for sub, extent in zip(filled, cells.shape)))
     for axis, sub in enumerate(filled):
         if isinstance(sub, (list, tuple)):
             cells = take(cells, axis, list(sub))
@@ -166,7 +228,14 @@ def slice(cells: Cells, *subs) -> Cells:  # noqa: A001 - the operator's own name
         else:
             df = df.where(position == _whole(sub, extent))
     columns = [c.cast("bigint").alias(axis_name(k)) for k, (c, _) in enumerate(kept)]
-    return cells.of(df.select(*columns, "v"), (n for _, n in kept), limit=cells.limit)
+
+    def narrower(box: Box) -> DataFrame:
+        shown = iter(box)
+        need = tuple(_needed(sub, n, next(shown) if isinstance(sub, (builtins.slice, list, tuple)) else None)
+                     for sub, n in zip(filled, source.shape))
+        return _sliced(source.within(need), filled).df
+
+    return cells.of(df.select(*columns, "v"), (n for _, n in kept), limit=cells.limit, rows=narrower)
 
 
 def pin(cells: Cells, axis: int, index: int) -> Cells:

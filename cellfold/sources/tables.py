@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellfold.model import ArgumentError, Cells, axis_name, require_number
+from cellfold.model import ArgumentError, Box, Cells, axis_name, inside, require_number
 from cellfold.runtime import same_keys, small_side, written
 
 
@@ -87,17 +87,33 @@ def array_cells(df: DataFrame, keys: list[str], array_col: str, shape=None) -> C
     if len(shape) != len(keys) + 1:
         raise ArgumentError(f"{len(keys)} keys and an array are rank {len(keys) + 1}")
     axes = [F.col(k).cast("bigint").alias(axis_name(a)) for a, k in enumerate(keys)]
-    last = axis_name(len(keys))
-    # Every place of the axis is opened, also where a row's array is null or short.
-    opened = df.select(*axes, F.explode(places(shape[-1])).alias(last), F.col(array_col).alias("_a"))
-    number = F.coalesce(F.get("_a", F.col(last).cast("int")).cast("double"), F.lit(float("nan"))).alias("v")
+    keyed, names = df.select(*axes, F.col(array_col).alias("_a")), [axis_name(a) for a in range(len(keys))]
     whole = isinstance(df.schema[array_col].dataType.elementType, T.IntegralType)
-    return Cells(opened.select(*[axis_name(a) for a in range(len(keys))], last, number), tuple(shape), whole)
 
+    def rows(box: Box) -> DataFrame:
+        opened = opened_axis(inside(keyed, names, box, shape), names, box[-1])
+        return opened.withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))))
 
-def places(extent: int) -> Column:
-    """The positions 0 ... extent-1 as an array."""
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(extent - 1).cast("bigint")) if extent else F.array().cast("array<bigint>")
+    return Cells(rows(tuple(map(range, shape))), tuple(shape), whole, rows=rows)
+
+
+def opened_axis(df: DataFrame, names: list[str], at: range | tuple[int, ...]) -> DataFrame:
+    """The array ``_a`` of ``[*names, _a]`` opened into one more axis and ``v``: only the
+    places asked for, and each of them, also where a row's array is null or short."""
+    last = axis_name(len(names))
+    if len(at) == 1:
+        return df.select(*names, F.lit(at[0]).cast("bigint").alias(last), F.get("_a", F.lit(at[0])).alias("v"))
+    opened = df.select(*names, F.explode(places(at)).alias(last), "_a")
+    return opened.select(*names, last, F.get("_a", F.col(last).cast("int")).alias("v"))
+
+
+def places(at: range | tuple[int, ...]) -> Column:
+    """Positions as an array."""
+    if not len(at):
+        return F.array().cast("array<bigint>")
+    if isinstance(at, range):
+        return F.sequence(*[F.lit(k).cast("bigint") for k in (at[0], at[-1], at.step)])
+    return F.array(*[F.lit(k).cast("bigint") for k in at])
 
 
 def array_length(df: DataFrame, array_col: str) -> int:
@@ -114,7 +130,8 @@ def window(cells: Cells, offset: list[int], count: list[int]) -> DataFrame:
         raise ArgumentError(f"an offset and a count are needed for each of {cells.rank} axes")
     if any(o < 0 or c < 0 for o, c in zip(offset, count)):
         raise ArgumentError("offsets and counts are not negative")
-    out = cells.df
+    ends = [(start, min(start + span, extent)) for start, span, extent in zip(offset, count, cells.shape)]
+    out = cells.within(tuple(range(*e) for e in ends)).df
     for axis, (start, span, extent) in enumerate(zip(offset, count, cells.shape)):
         stop = min(start + span, extent)
         position = F.col(axis_name(axis))

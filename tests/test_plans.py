@@ -1,7 +1,9 @@
 """The plans are the ones that hold on a cluster."""
 
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,53 @@ def test_wide_rows_are_not_fetched(spark, monkeypatch):
     line = " ".join("abcdefghijkl")
     lines.dedup_lines(spark.createDataFrame([(1, line), (2, f"{line} m")], "doc_id long, text string"))
     assert len(seen) == 2 and seen[1][0] is seen[1][1]
+
+
+def test_selections_go_back_through_reshapes(spark, data):
+    """A selection of what is shown is a range of what is stored, in the scan."""
+    cube = inputs.cube(spark, data)
+    text = plan(selecting.slice(cube, slice(3, 4)).df)
+    assert "GreaterThanOrEqual(event_id,120)" in text and "LessThanOrEqual(event_id,159)" in text
+    text = plan(selecting.pin(selecting.slice(cube, slice(5, 20)), 0, 2).df)
+    assert "GreaterThanOrEqual(event_id,280)" in text and "LessThanOrEqual(event_id,319)" in text
+    text = plan(selecting.slice(cube, 7, 3, slice(1, 3)).df)
+    assert "GreaterThanOrEqual(event_id,293)" in text and "LessThanOrEqual(event_id,294)" in text
+    turned = rearranging.transpose(elementwise.abs(rearranging.reshape(cube, (-1, 5, 8))))
+    text = plan(selecting.line(turned, 0, slice(None), 6))
+    assert "GreaterThanOrEqual(event_id,240)" in text and "LessThanOrEqual(event_id,275)" in text
+
+
+@pytest.mark.parametrize("subs, opened", [
+    ((slice(None), slice(8, 56, 5)), [8, 13, 18, 23, 28, 33, 38, 43, 48, 53]),
+    ((slice(None), [3, 0, slice(10, 20, 3), 3, -1]), [0, 3, 10, 13, 16, 19, 63]),
+    ((slice(None), slice(None, None, -21)), [0, 21, 42, 63]),
+])
+def test_arrays_are_opened_where_asked(spark, data, monkeypatch, subs, opened):
+    asked, places = [], tables.places
+    monkeypatch.setattr(tables, "places", lambda at: asked.append(list(at)) or places(at))
+    df = tables.scan(spark, data, "embeddings", ["vec_id", "embedding"]).select("vec_id", F.struct("embedding").alias("s"))
+    for cells in (inputs.embeddings(spark, data), members.select_member(df, "s.embedding", ["vec_id"], (500,), (64,))):
+        text = plan(selecting.slice(cells, *subs).df)
+        assert asked[-1] == opened and text.count("Generate explode") == 1
+        one = plan(selecting.slice(cells, slice(10, 20), 5).df)
+        assert "Generate" not in one and "embedding#" in one and "GreaterThanOrEqual(vec_id,10)" in one
+
+
+@pytest.mark.parametrize("marked", [1 << 20, 10])
+def test_lists_are_counted_without_overlaps_of_overlaps(monkeypatch, marked):
+    monkeypatch.setattr(selecting, "MARKED", marked)
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        terms = [range(int(a), int(a + n), int(s)) for a, n, s in zip(rng.integers(0, 60, 9), rng.integers(1, 80, 9), rng.integers(1, 9, 9))]
+        terms += [t[::-1] for t in terms[:3]]
+        assert selecting._list_count(terms) == len({k for t in terms for k in t})
+
+
+def test_many_overlapping_runs_are_counted_at_once():
+    start = time.perf_counter()
+    many = [range(k, 10**12 + 7 * k, 1 + k % 6) for k in range(64)]
+    assert 10**12 < selecting._list_count(many) < 10**12 + 64 * 7
+    primes = [range(0, 10**9, p) for p in (10007, 10009, 10037)]
+    pairs = [range(0, 10**9, a.step * b.step) for a, b in ((primes[0], primes[1]), (primes[0], primes[2]), (primes[1], primes[2]))]
+    assert selecting._list_count(primes) == sum(map(len, primes)) - sum(map(len, pairs)) + 1
+    assert time.perf_counter() - start < 1
