@@ -362,6 +362,65 @@ def _(spark, d):
     return views.issue_counts(views.view_issues(saved_views(spark, d), view_facts(spark, d)))
 
 
+@check("resolve_links_long", """
+WITH k AS (SELECT c_custkey AS n FROM customer), top AS (SELECT max(n) AS most FROM k)
+SELECT '/chain/' || n AS path, 'Dataset' AS kind, '/data/end' AS resolved FROM k
+UNION ALL SELECT '/circle/' || n, 'Unresolved', NULL FROM k
+UNION ALL SELECT '/turns/' || n, 'Group', '/g' FROM k
+UNION ALL SELECT '/g/x', 'Group', '/g'""")
+def _(spark, d):
+    """A chain through every customer, a circle of all of them, and goals that run four
+    times through one link."""
+    n = F.col("c_custkey").cast("string")
+    people = scan(spark, d, "customer", ["c_custkey"])
+    least, most = people.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    name = lambda head, at: F.concat(F.lit(head), at)
+    onward = (F.col("c_custkey") + 1).cast("string")
+    last = F.col("c_custkey") == most
+    soft = lambda path, target: people.select(path.alias("path"), F.lit("Dataset").alias("kind"), F.lit("soft").alias("link"), target.alias("target"))
+    one = lambda path, kind, link, target: people.limit(1).select(
+        F.lit(path).alias("path"), F.lit(kind).alias("kind"), F.lit(link).alias("link"), F.lit(target).cast("string").alias("target"))
+    listed = soft(name("/chain/", n), F.when(last, "/data/end").otherwise(name("/chain/", onward)))
+    listed = listed.unionByName(soft(name("/circle/", n), name("/circle/", F.when(last, F.lit(str(least))).otherwise(onward))))
+    listed = listed.unionByName(soft(name("/turns/", n), F.lit("/g" + "/x" * 4)))
+    listed = listed.unionByName(one("/g/x", "Group", "soft", "/g")).unionByName(one("/data/end", "Dataset", "hard", None))
+    found = catalog.resolve_links(catalog.build_nodes(listed))
+    return found.where("link = 'soft'").select("path", "kind", "resolved")
+
+
+@check("resolve_external", """
+WITH RECURSIVE links AS (
+  SELECT 'orders_' || o_orderkey % 7 AS file, '/of/' || o_orderkey AS path,
+      'customers_' || o_custkey % 5 AS link_file, CASE WHEN o_orderkey % 11 = 0 THEN '/gone/' ELSE '/by_key/' END || o_custkey AS target FROM orders
+  UNION ALL SELECT 'customers_' || c_custkey % 5, '/by_key/' || c_custkey,
+      CASE WHEN c_custkey % 9 = 4 THEN 'customers_' || c_custkey % 5 WHEN c_custkey % 9 = 5 THEN 'lost' ELSE 'nations' END,
+      CASE WHEN c_custkey % 9 = 4 THEN '/by_key/' || c_custkey ELSE '/n/' || c_nationkey END FROM customer),
+walk AS (
+  SELECT file, path, link_file AS f, target AS t, 1 AS used FROM links
+  UNION ALL SELECT w.file, w.path, l.link_file, l.target, used + 1 FROM walk w JOIN links l ON l.file = w.f AND l.path = w.t WHERE used < 5)
+SELECT l.file, l.path, coalesce(o.kind, 'Unresolved') AS kind, o.f AS resolved_file, o.t AS resolved
+FROM links l LEFT JOIN (SELECT w.*, 'Dataset' AS kind FROM walk w JOIN nation ON f = 'nations' AND t = '/n/' || n_nationkey) o USING (file, path)""")
+def _(spark, d):
+    """Orders that point into files of customers, which point on into the nations' file."""
+    text = lambda head, key: F.concat(F.lit(head), key.cast("string"))
+    row = lambda df, file, path, link, target=None, away=None: df.select(
+        file.alias("file"), path.alias("path"), F.lit("Dataset").alias("kind"), F.lit(link).alias("link"),
+        *[(F.lit(None).cast("string") if c is None else c).alias(n) for c, n in ((target, "target"), (away, "link_file"))])
+    c, o, key = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_custkey")
+    orders = row(scan(spark, d, "orders", ["o_orderkey", "o_custkey"]), text("orders_", o % 7), text("/of/", o), "external",
+                 F.when(o % 11 == 0, text("/gone/", key)).otherwise(text("/by_key/", key)), text("customers_", key % 5))
+    people = scan(spark, d, "customer", ["c_custkey", "c_nationkey"])
+    own, home = text("/by_key/", c), text("customers_", c % 5)
+    turned = c % 9 == 4
+    customers = row(people.where(~turned), home, own, "external", text("/n/", F.col("c_nationkey")), F.when(c % 9 == 5, "lost").otherwise("nations"))
+    circles = row(people.where(turned), home, own, "soft", own)
+    nations = row(scan(spark, d, "nation", ["n_nationkey"]), F.lit("nations"), text("/n/", F.col("n_nationkey")), "hard")
+    listed = orders.unionByName(customers).unionByName(circles).unionByName(nations)
+    listed = listed.withColumns({"name": catalog.name_of("path"), "parent": catalog.parent_of("path")})
+    found = catalog.resolve_external(listed)
+    return found.where("link <> 'hard'").select("file", "path", "kind", "resolved_file", "resolved")
+
+
 @check("rank_views", f"""
 WITH {MATCHED} SELECT view, state, row_number() OVER (ORDER BY CASE state WHEN 'full' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END,
   lower(view), view) - 1 AS place FROM stated""")

@@ -9,11 +9,6 @@ from cellfold.runtime import written
 
 GROUP, DATASET, NAMED_TYPE, UNRESOLVED = "Group", "Dataset", "NamedType", "Unresolved"
 
-# A path that has passed as many links as there are, so many times over, leads in a
-# circle (a link below a link may be passed more than once).
-TURNS = 8
-
-
 def normalised(path: str | Column) -> Column:
     """A path with one separator between names and none at its end."""
     column = F.col(path) if isinstance(path, str) else path
@@ -91,6 +86,65 @@ def member_counts(nodes: DataFrame) -> DataFrame:
     return groups.join(counts, "path", "left").select("path", F.coalesce("members", F.lit(0)).alias("members"))
 
 
+def _followed(links: DataFrame, hops: int | None = None) -> list[DataFrame]:
+    """Where ``links`` [path, goal] end: tables of [path, goal, used], together a row for each.
+
+    The topmost part of a goal that is a link itself is what has to be followed first.  A
+    link waits for that one; links that wait for each other in a circle have no end and
+    their goal is null.  Two kinds of rows: settled ones, which no link is part of any
+    more, are written once and never joined among the open ones again; open ones go on.
+    In a phase every open link jumps along the chain it waits for, in steps of 1, 2, 4, …
+    links, to the link the chain ends with; what is still waiting after as many links as
+    there are open is in a circle.  What a settled link puts in for itself is free of links,
+    so a goal has fewer parts that may be links after each phase, and the phases end.
+    """
+    paths = links.select(F.col("path").alias("_part"))
+    open_ = links.select("path", "goal", F.lit(1).cast("long").alias("used"))
+    settled: list[DataFrame] = []
+    while True:
+        parts = with_ancestors(open_.where(F.col("goal").isNotNull()), "goal", "_part", own=True).where(F.col("_depth") > 0)
+        first = parts.select("path", "_depth", "_part").join(paths, "_part").groupBy("path").agg(F.min(F.struct("_depth", "_part")).alias("_s"))
+        part = F.col("_s._part")
+        over = part == F.col("path") if hops is None else (part == F.col("path")) | (F.col("used") > hops)
+        state = open_.join(first, "path", "left").select(
+            "path", F.when(F.coalesce(over, F.lit(False)), F.lit(None).cast("string")).otherwise(F.col("goal")).alias("goal"), "used",
+            F.when(~F.coalesce(over, F.lit(False)), part).alias("next"),
+            F.expr("substring(goal, length(_s._part) + 1)").alias("rest"))
+        state = written(state, "waiting")
+        done = state.where("next IS NULL").select("path", "goal", "used")
+        waiting = state.where("next IS NOT NULL")
+        count = waiting.count()
+        settled.append(done)
+        if not count:
+            return settled
+        # What is waited for: a settled link of before, one settled just now, or a waiting one.
+        known = settled[0]
+        for table in settled[1:]:
+            known = known.unionByName(table)
+        known = known.select(F.col("path").alias("next"), F.col("goal").alias("_goal"), F.col("used").alias("_used"), F.lit(True).alias("_known"))
+        chain = written(waiting.join(known, "next", "left").select(
+            "path", F.when(F.col("_known"), F.concat("_goal", "rest")).alias("goal"), (F.col("used") + F.coalesce("_used", F.lit(0))).alias("used"),
+            F.when(F.col("_known").isNull(), F.col("next")).alias("next"), "rest"), "chain")
+        jumped = 1
+        while not chain.where("next IS NOT NULL").isEmpty():
+            if jumped >= count:
+                chain = chain.withColumns({"goal": F.when(F.col("next").isNull(), F.col("goal")), "next": F.lit(None).cast("string")})
+                break
+            ahead = chain.select(F.col("path").alias("next"), F.col("goal").alias("_goal"), F.col("used").alias("_used"),
+                                 F.col("next").alias("_next"), F.col("rest").alias("_rest"))
+            stay = chain.where("next IS NULL")
+            moved = chain.where("next IS NOT NULL").join(ahead, "next").select(
+                "path", F.when(F.col("_next").isNull(), F.concat("_goal", "rest")).alias("goal"), (F.col("used") + F.col("_used")).alias("used"),
+                F.col("_next").alias("next"), F.concat("_rest", "rest").alias("rest"))
+            chain = written(stay.unionByName(moved), "chain")
+            jumped *= 2
+        open_ = chain.select("path", "goal", "used")
+
+
+def _goal_of(target: str = "target", parent: str = "parent") -> Column:
+    return normalised(F.when(F.col(target).startswith("/"), F.col(target)).otherwise(F.concat_ws("/", parent, target)))
+
+
 def resolve_links(nodes: DataFrame, hops: int | None = None) -> DataFrame:
     """``nodes`` with ``resolved``, the path of the object each one stands for.
 
@@ -98,37 +152,18 @@ def resolve_links(nodes: DataFrame, hops: int | None = None) -> DataFrame:
     target is one or lies below one; a relative target starts at the link's own
     group.  A loop or a target that is not there resolve to nothing, and the node's
     kind is Unresolved; so do more than ``hops`` links in a row where that is given.
-    Each round joins the links that are still open with the table of links as it
-    stands, so a chain is followed in steps of 1, 2, 4, … links and its length has
-    no bound.  What has passed the links there are ``TURNS`` times over is a loop.
+    Chains have no bound (``_followed``).  External links keep the kind they have;
+    ``resolve_external`` follows them.
     """
-    nodes = written(nodes.select("path", "name", "parent", "kind", "link", "target"), "nodes")
-    soft = nodes.where(F.col("link") == "soft")
-    goal = F.when(F.col("target").startswith("/"), F.col("target")).otherwise(F.concat_ws("/", "parent", "target"))
-    links = written(soft.select("path", normalised(goal).alias("goal"), F.lit(1).cast("long").alias("used"), F.lit(True).alias("open")), "links")
-    hops = TURNS * (links.count() + 1) if hops is None else hops
-    taken = 1
-    while taken <= hops:
-        # The topmost part of a goal that is a link itself is what gets replaced.
-        opened = with_ancestors(links.where(F.col("open") & (F.col("used") <= hops)), "goal", "_part", own=True)
-        opened = opened.where(F.col("_depth") > 0).select("path", "_depth", "_part")
-        table = links.select(F.col("path").alias("_part"), F.col("goal").alias("_goal"), F.col("used").alias("_used"))
-        onward = opened.join(table, "_part").groupBy("path").agg(
-            F.min(F.struct("_depth", "_part", "_goal", "_used")).alias("_s"))
-        rest = F.expr("substring(goal, length(_s._part) + 1)")
-        # A goal that runs through the link itself will never end.
-        loops = F.coalesce(F.col("_s._part") == F.col("path"), F.lit(False))
-        moved = links.join(onward, "path", "left").select(
-            "path",
-            F.when(F.col("_s").isNull(), F.col("goal")).otherwise(F.concat(F.col("_s._goal"), rest)).alias("goal"),
-            F.when(loops, hops + 1).otherwise(F.col("used") + F.coalesce("_s._used", F.lit(0))).alias("used"),
-            (F.col("_s").isNotNull() & ~loops).alias("open"))
-        links = written(moved, "links")
-        if links.where(F.col("open") & (F.col("used") <= hops)).isEmpty():
-            break
-        taken *= 2
+    nodes = nodes.select("path", "name", "parent", "kind", "link", "target")
+    links = written(nodes.where(F.col("link") == "soft").select("path", _goal_of().alias("goal")), "links")
+    ends = None
+    for table in _followed(links, hops):
+        ends = table if ends is None else ends.unionByName(table)
+    if hops is not None:
+        ends = ends.where(F.col("used") <= hops)
     objects = nodes.where(F.col("link") == "hard").select(F.col("path").alias("goal"), F.col("kind").alias("_kind"))
-    found = links.where(F.col("used") <= hops).join(objects, "goal").select("path", F.col("goal").alias("_goal"), "_kind")
+    found = ends.join(objects, "goal").select("path", F.col("goal").alias("_goal"), "_kind")
     is_soft = F.col("link") == "soft"
     return nodes.join(found, "path", "left").select(
         "path", "name", "parent",
@@ -137,6 +172,37 @@ def resolve_links(nodes: DataFrame, hops: int | None = None) -> DataFrame:
         F.when(is_soft, F.col("_goal")).when(F.col("link") == "hard", F.col("path")).alias("resolved"))
 
 
+def resolve_external(catalogs: DataFrame, hops: int | None = None) -> DataFrame:
+    """Links followed through the catalogs of several files: ``catalogs``, with
+    ``resolved_file, resolved`` and the kind of the object each node stands for.
+
+    ``catalogs`` is [file, path, name, parent, kind, link, target, link_file], a row for each node of
+    each file; an external link names a path in another file and is followed there, through
+    that file's own links, soft or external.  A file that is not there, a target that is not
+    there and a circle, also through several files, are Unresolved.
+    """
+    # One name for a path in a file, a file being a group above everything in it.
+    home = F.concat(F.lit("/"), F.hex(F.encode("file", "utf-8")))
+    away = F.concat(F.lit("/"), F.hex(F.encode("link_file", "utf-8")))
+    within = lambda top, path: F.concat(top, F.when(path == "/", F.lit("")).otherwise(path))
+    is_link = F.col("link").isin("soft", "external")
+    placed = catalogs.withColumn("_at", within(home, F.col("path")))
+    goal = F.when(F.col("link") == "external", within(away, normalised("target"))).otherwise(within(home, _goal_of()))
+    links = written(placed.where(is_link & goal.isNotNull()).select(F.col("_at").alias("path"), goal.alias("goal")), "links")
+    ends = None
+    for table in _followed(links, hops):
+        ends = table if ends is None else ends.unionByName(table)
+    if hops is not None:
+        ends = ends.where(F.col("used") <= hops)
+    objects = placed.where(F.col("link") == "hard").select(
+        F.col("_at").alias("goal"), F.col("kind").alias("_kind"), F.col("file").alias("_file"), F.col("path").alias("_path"))
+    found = ends.join(objects, "goal").select(F.col("path").alias("_at"), "_kind", "_file", "_path")
+    return placed.join(found, "_at", "left").select(
+        *[F.when(is_link, F.coalesce("_kind", F.lit(UNRESOLVED))).otherwise(F.col("kind")).alias("kind") if c == "kind" else F.col(c) for c in catalogs.columns],
+        F.when(is_link, F.col("_file")).otherwise(F.col("file")).alias("resolved_file"),
+        F.when(is_link, F.col("_path")).otherwise(F.col("path")).alias("resolved"))
+
+
 def walk_tree(links: DataFrame, root: str) -> DataFrame:
     """Breadth-first walk of a graph of groups: [path, object, kind, depth, cyclic].
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellfold.model import ArgumentError, Box, Cells, axis_name, inside, require_number
-from cellfold.runtime import same_keys, small_side, written
+from cellfold.runtime import BLOCK, bounded, same_keys, written
 
 
 def scan(spark: SparkSession, folder: str, table: str, columns: list[str]) -> DataFrame:
@@ -41,37 +41,94 @@ def _ordered_blocks(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
     )
 
 
-def element_positions(df: DataFrame, order_by: list[str], name: str = "pos") -> DataFrame:
-    """Row-major element position of every row of an ordered table.
+# Blocks that an order is cut into at most; sampled rows for each cut.
+MOST_BLOCKS, SAMPLED = 1 << 16, 8
+
 
-    Needs no global window: the position is the row's place in its range block
-    plus the rows of the blocks before.  Rows the keys do not tell apart come in
-    the order of a hash of the whole row, so that a key many rows share is cut
-    into several blocks as well.
+def _cut_in_blocks(df: DataFrame, keys: list[Column], rows: int = BLOCK) -> tuple[DataFrame, int]:
+    """``df`` with ``_block``, the range of the order a row falls in, and how many there are.
+
+    The cuts come from a sample that hashes of the keys choose, so they are the same
+    whenever a task runs, and nothing has to be written down.  Blocks of about ``rows``
+    rows, of which a task numbers each by itself; only with more than ``MOST_BLOCKS`` times
+    as many rows do they grow.
     """
+    blocks = max(1, min(MOST_BLOCKS, -(-df.count() // rows)))
+    if blocks == 1:
+        return df.withColumn("_block", F.lit(0)), 1
+    every = max(1, rows // SAMPLED)
+    key = F.struct(*[k.alias(f"k{n}") for n, k in enumerate(keys)])
+    chosen = F.pmod(F.xxhash64(*keys), F.lit(every)) == 0
+    sample = df.where(chosen).select(key.alias("key")).distinct().orderBy("key").toArrow()
+    step = max(1, sample.num_rows // blocks)
+    cuts = sample.take(list(range(step, sample.num_rows, step))[:blocks - 1])
+    if not cuts.num_rows:
+        return df.withColumn("_block", F.lit(0)), 1
+    spark = df.sparkSession
+    shape = df.select(key.alias("key")).schema
+    bounds = spark.createDataFrame(cuts, shape).agg(F.sort_array(F.collect_list("key")).alias("bounds")).scalar()
+    # Halving the bounds: how many of them are not above the row's key.
+    out = df.withColumns({"_bounds": bounds, "_key": key, "_block": F.lit(0)})
+    width = 1 << (cuts.num_rows.bit_length() - 1)
+    while width:
+        bound = F.get("_bounds", F.col("_block") + (width - 1))
+        out = out.withColumn("_block", F.col("_block") + F.when(F.coalesce(bound <= F.col("_key"), F.lit(False)), width).otherwise(0))
+        width //= 2
+    return out.drop("_bounds", "_key"), cuts.num_rows + 1
+
+
+def _whole_order(df: DataFrame, order_by: list[str]) -> list[Column]:
+    """The order's keys, and a hash of the rest of the row to part what they don't: a key
+    that many rows share is cut into several blocks as well."""
     rest = [c for c in df.columns if c not in order_by]
-    ties = [F.xxhash64(*rest)] if rest else []
-    blocks = _ordered_blocks(df, [*order_by, *ties])
-    # One row per shuffle partition: the window below holds a few thousand rows.
-    sizes = blocks.groupBy("_block").agg((F.max("_row") + 1).alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = small_side(sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    return blocks.join(starts, "_block").select(
-        *df.columns, (F.col("_start") + F.col("_row")).cast("bigint").alias(name)
-    )
+    return [*map(F.col, order_by), *([F.xxhash64(*rest)] if rest else [])]
 
 
-def series_positions(df: DataFrame, series: str, order_by: list[str]) -> DataFrame:
+def element_positions(df: DataFrame, order_by: list[str], name: str = "pos", rows: int = BLOCK) -> DataFrame:
+    """Row-major element position of every row of an ordered table.
+
+    Needs no global window and no table: the position is the row's place in its
+    block of the order plus the rows of the blocks before.  Rows the keys do not tell
+    apart come in the order of a hash of the whole row.
+    """
+    keys = _whole_order(df, order_by)
+    cut, blocks = _cut_in_blocks(df, keys, rows)
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*keys)).cast("bigint") - 1
+    numbered = cut.withColumn("_row", inside)
+    if blocks == 1:
+        return numbered.select(*df.columns, F.col("_row").alias(name))
+    # One row per block, which the driver adds up.
+    sizes = dict(cut.groupBy("_block").count().collect())
+    starts, start = [], 0
+    for block in range(blocks):
+        starts.append((block, start))
+        start += sizes.get(block, 0)
+    table = df.sparkSession.createDataFrame(starts, "_block int, _start bigint")
+    return numbered.join(bounded(table, blocks), "_block").select(*df.columns, (F.col("_start") + F.col("_row")).alias(name))
+
+
+def series_positions(df: DataFrame, series: str, order_by: list[str], rows: int = BLOCK) -> DataFrame:
     """A line frame: position of every row within its series.
 
-    Works on the global order by (series, order), so a series holding most of
+    Works on blocks of the order by (series, order), so a series holding most of
     the rows is still spread over many tasks.
     """
-    ordered = element_positions(df, [series, *order_by], "_flat")
-    starts = small_side(ordered.groupBy(series).agg(F.min("_flat").alias("_first")))
-    return same_keys(ordered, starts, [series]).select(
-        *df.columns, (F.col("_flat") - F.col("_first")).alias("pos")
-    )
+    keys = _whole_order(df, [series, *order_by])
+    cut, blocks = _cut_in_blocks(df, keys, rows)
+    inside = F.row_number().over(Window.partitionBy("_block", series).orderBy(*keys)).cast("bigint") - 1
+    numbered = cut.withColumn("_row", inside)
+    if blocks == 1:
+        return numbered.select(*df.columns, F.col("_row").alias("pos"))
+    # A series in several blocks ends or begins at a cut, so there are two rows a cut at most.
+    parts = cut.groupBy(series, "_block").count()
+    spread = parts.withColumn("_all", F.count("*").over(Window.partitionBy(series))).where("_all > 1").orderBy("_block").drop("_all")
+    starts, before = [], {}
+    for key, block, count in spread.collect():
+        starts.append((key, block, before.get(key, 0)))
+        before[key] = before.get(key, 0) + count
+    table = df.sparkSession.createDataFrame(starts, spread.drop("count").schema.add("_start", "long"))
+    return same_keys(numbered, bounded(table, len(starts)), [series, "_block"], "left").select(
+        *df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_row")).alias("pos"))
 
 
 def array_cells(df: DataFrame, keys: list[str], array_col: str, shape=None) -> Cells:

@@ -57,6 +57,37 @@ def test_resolve_links(spark):
     assert (few["/chain/24"], few["/chain/23"]) == ("Dataset", "Unresolved")
 
 
+def test_goals_run_through_one_link_again_and_again(spark):
+    nodes = tree(spark, ("/g", "Group", "hard", None), soft("/g/x", "/g"), soft("/l", "/g" + "/x" * 12), "/g/end", soft("/m", "/l/x/end"))
+    rows = {r.path: (r.kind, r.resolved) for r in catalog.resolve_links(nodes).collect()}
+    assert rows["/l"] == ("Group", "/g") and rows["/m"] == ("Dataset", "/g/end")
+
+
+def test_settled_links_are_not_written_again(spark, monkeypatch):
+    """Every phase writes the links that are still open, and there are fewer of them."""
+    sizes, real = [], catalog.written
+    monkeypatch.setattr(catalog, "written", lambda df, label: sizes.append((label, (out := real(df, label)).count())) or out)
+    chain = [soft(f"/c/{k}", f"/c/{k + 1}") for k in range(20)] + ["/c/20", soft("/g/x", "/g"), "/g/y"]
+    nodes = tree(spark, *chain, *[soft(f"/l/{k}", f"/c/{k}") for k in range(20)], soft("/t", "/g/x/x/y"))
+    catalog.resolve_links(nodes)
+    waiting = [n for label, n in sizes if label == "waiting"]
+    assert waiting[0] == 42 and waiting == sorted(waiting, reverse=True) and waiting[-1] == 1
+
+
+def test_resolve_external(spark):
+    row = lambda file, path, link, target=None, away=None, kind="Dataset": (file, path, path, "/", kind, link, target, away)
+    rows = [row("a", "/1", "external", "/d", "b"), row("a", "/2", "soft", "1"), row("a", "/3", "external", "/s/x", "b"), row("a", "/4", "external", "/d", "none"),
+            row("a", "/5", "external", "/back", "b"), row("a", "/6", "external", "/", "b"), row("a", "/7", "external", None, "b"), row("a", "/d", "hard"),
+            row("b", "/d", "hard"), row("b", "/s", "soft", "/g"), row("b", "/g/x", "hard", kind="NamedType"), row("b", "/back", "external", "/5", "a"),
+            row("b", "/", "hard", kind="Group"), row(None, "/n", "external", "/d", "b")]
+    df = spark.createDataFrame(rows, "file string, path string, name string, parent string, kind string, link string, target string, link_file string")
+    got = {(r.file, r.path): (r.kind, r.resolved_file, r.resolved) for r in catalog.resolve_external(df).collect()}
+    assert got["a", "/1"] == got["a", "/2"] == ("Dataset", "b", "/d") and got["a", "/3"] == ("NamedType", "b", "/g/x")
+    assert got["a", "/d"] == ("Dataset", "a", "/d") and got["a", "/6"] == ("Group", "b", "/")
+    for lost in ("/4", "/5", "/7"):
+        assert got["a", lost] == ("Unresolved", None, None)
+
+
 def test_walk_tree(spark):
     links = spark.createDataFrame([
         ("root", "a", "A", "Group"), ("root", "x", "X", "Dataset"), ("A", "again", "root", "Group"),

@@ -178,3 +178,25 @@ def test_many_overlapping_runs_are_counted_at_once():
     pairs = [range(0, 10**9, a.step * b.step) for a, b in ((primes[0], primes[1]), (primes[0], primes[2]), (primes[1], primes[2]))]
     assert selecting._list_count(primes) == sum(map(len, primes)) - sum(map(len, pairs)) + 1
     assert time.perf_counter() - start < 1
+
+
+def test_positions_write_nothing(spark, data, monkeypatch):
+    """Blocks of the order come from a sample; nothing is written, no task numbers it all."""
+    monkeypatch.setattr(tables, "written", lambda *given: pytest.fail("a table is written"))
+    rng = np.random.default_rng(3)
+    rows = [(["a", "b", "c", None][rng.choice(4, p=[0.7, 0.1, 0.1, 0.1])], [None, 1.0, 2.0, float("nan")][rng.integers(4)],
+             int(rng.integers(6)), str(k % 7)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "s string, x double, k int, t string").repartition(5)
+    placed = tables.element_positions(df, ["x", "k"], rows=50)
+    assert "SinglePartition" not in plan(placed)
+    got = [(r.x, r.k) for r in placed.orderBy("pos").collect()]
+    assert str(got) == str([(r.x, r.k) for r in df.orderBy("x", "k").collect()])
+    assert sorted(r.pos for r in placed.collect()) == list(range(2000))
+    by_series = tables.series_positions(df, "s", ["x", "k"], rows=50).collect()
+    for name in ("a", "b", "c", None):
+        mine = sorted((r.pos, r.x, r.k) for r in by_series if r.s == name)
+        want = df.where(F.col("s").eqNullSafe(F.lit(name))).orderBy("x", "k").collect()
+        assert str(mine) == str([(n, r.x, r.k) for n, r in enumerate(want)])
+    # One key in every row is still cut, by the rest of the row.
+    same = tables.element_positions(df.withColumn("x", F.lit(1.0)).withColumn("t", F.monotonically_increasing_id()), ["x"], rows=50)
+    assert "_block" in plan(same) and sorted(r.pos for r in same.collect()) == list(range(2000))
