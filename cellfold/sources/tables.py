@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +42,8 @@ def _ordered_blocks(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
     )
 
 
-# Blocks that an order is cut into at most; sampled rows for each cut.
-MOST_BLOCKS, SAMPLED = 1 << 16, 8
+# Blocks that an order is cut into at most, and at least where there is enough; sampled rows for each cut.
+MOST_BLOCKS, FEWEST_BLOCKS, SAMPLED = 1 << 16, 8, 8
 
 
 def _cut_in_blocks(df: DataFrame, keys: list[Column], rows: int = BLOCK) -> tuple[DataFrame, int]:
@@ -53,10 +54,12 @@ def _cut_in_blocks(df: DataFrame, keys: list[Column], rows: int = BLOCK) -> tupl
     rows, of which a task numbers each by itself; only with more than ``MOST_BLOCKS`` times
     as many rows do they grow.
     """
-    blocks = max(1, min(MOST_BLOCKS, -(-df.count() // rows)))
+    count = df.count()
+    # A few blocks for a small table as well: tasks work side by side.
+    blocks = max(1, min(MOST_BLOCKS, max(-(-count // rows), min(FEWEST_BLOCKS, count // 128))))
     if blocks == 1:
         return df.withColumn("_block", F.lit(0)), 1
-    every = max(1, rows // SAMPLED)
+    every = max(1, count // (blocks * SAMPLED))
     key = F.struct(*[k.alias(f"k{n}") for n, k in enumerate(keys)])
     chosen = F.pmod(F.xxhash64(*keys), F.lit(every)) == 0
     sample = df.where(chosen).select(key.alias("key")).distinct().orderBy("key").toArrow()
@@ -64,9 +67,9 @@ def _cut_in_blocks(df: DataFrame, keys: list[Column], rows: int = BLOCK) -> tupl
     cuts = sample.take(list(range(step, sample.num_rows, step))[:blocks - 1])
     if not cuts.num_rows:
         return df.withColumn("_block", F.lit(0)), 1
-    spark = df.sparkSession
-    shape = df.select(key.alias("key")).schema
-    bounds = spark.createDataFrame(cuts, shape).agg(F.sort_array(F.collect_list("key")).alias("bounds")).scalar()
+    listed = pa.ListArray.from_arrays(pa.array([0, cuts.num_rows], pa.int32()), cuts.column("key").combine_chunks())
+    shape = df.select(F.array(key).alias("bounds")).schema
+    bounds = df.sparkSession.createDataFrame(pa.table({"bounds": listed}), shape).scalar()
     # Halving the bounds: how many of them are not above the row's key.
     out = df.withColumns({"_bounds": bounds, "_key": key, "_block": F.lit(0)})
     width = 1 << (cuts.num_rows.bit_length() - 1)
