@@ -106,30 +106,6 @@ def test_sort_order_in_blocks(spark, data):
     assert exchanges(text)[-1] == "hashpartitioning"
 
 
-def test_wide_rows_are_not_fetched(spark, monkeypatch):
-    """Few rows with long lists or maps stay where they are, and texts are the same either way."""
-    from pyspark.sql import functions as F
-
-    from cellfold import runtime
-    from cellfold.llm import lines, surrogates
-
-    wide = spark.range(4).select("id", F.sequence(F.lit(1), F.lit(100)).alias("list"))
-    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 1000)
-    width = 8 * F.size("list")
-    assert runtime.small_side(wide, width=width) is wide
-    assert runtime.small_side(wide.limit(1), width=width).count() == 1
-    docs = spark.createDataFrame([(1, "Mr. John Smith, " + "a@b.cc " * 3), (2, None), (3, "Anna Smith")], "doc_id long, text string")
-    wanted = sorted(map(str, surrogates.replace(docs).collect()))
-    seen, side = [], runtime.small_side
-    for module in (lines, surrogates):
-        monkeypatch.setattr(module, "small_side", lambda df, **given: seen.append((df, found := side(df, **given))) or found)
-    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
-    assert sorted(map(str, surrogates.replace(docs).collect())) == wanted and seen[0][0] is seen[0][1]
-    line = " ".join("abcdefghijkl")
-    lines.dedup_lines(spark.createDataFrame([(1, line), (2, f"{line} m")], "doc_id long, text string"))
-    assert len(seen) == 2 and seen[1][0] is seen[1][1]
-
-
 def test_selections_go_back_through_reshapes(spark, data):
     """A selection of what is shown is a range of what is stored, in the scan."""
     cube = inputs.cube(spark, data)
