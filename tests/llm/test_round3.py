@@ -7,8 +7,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cellfold.llm import queries, repair, suffixes, whitening
+from cellfold import runtime
+from cellfold.llm import lines, queries, repair, suffixes, surrogates, whitening
 
 # --- whitening ------------------------------------------------------------------
 
@@ -199,3 +201,63 @@ def test_repeats(spark, monkeypatch, length, chunk):
     want = [(r[0], *w) for r, w in zip(rows, brute_repeats([(r[1] or "").encode() for r in rows], length))]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert suffixes.without_repeats(df.limit(0), length).count() == 0
+
+
+# --- surrogates and lines --------------------------------------------------------
+
+
+def test_wide_rows_are_not_fetched(spark, monkeypatch):
+    """Few rows with long lists or maps stay where they are."""
+    wide = spark.range(4).select("id", F.sequence(F.lit(1), F.lit(100)).alias("list"))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 1000)
+    width = 8 * F.size("list")
+    assert runtime.small_side(wide, width=width) is wide
+    assert runtime.small_side(wide.limit(1), width=width).count() == 1
+    seen, side = [], runtime.small_side
+    monkeypatch.setattr(lines, "small_side", lambda df, **given: seen.append((df, found := side(df, **given))) or found)
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    line = " ".join("abcdefghijkl")
+    lines.dedup_lines(spark.createDataFrame([(1, line), (2, f"{line} m")], "doc_id long, text string"))
+    assert len(seen) == 1 and seen[0][0] is seen[0][1]
+
+
+def test_surrogates_have_one_plan(spark):
+    docs = spark.createDataFrame([(1, "Mr. John Smith, " + "a@b.cc " * 3), (2, None), (3, "Anna Smith")], "doc_id long, text string")
+    plan = surrogates.replace(docs)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_texts_of_any_form_are_read(spark):
+    """Long names, host names and runs of names end, as does a text of thousands of titles."""
+    texts = ["Mr. " + "Ab" * 4000, "Mr. " + "Ab-" * 4000 + "Ab", "x@" + "a." * 20000 + "com", "Anna " * 5000 + "Miller", "Mr. " * 5000 + "Miller",
+             "to x@a.b.co.uk. And", "x@" + "abc." * 100 + "com", "+1" + " (222)" * 5000, "1." * 20000]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    assert len(got) == len(texts)
+    for k in (0, 1, 3, 4, 5, 6):
+        assert got[k].n_entities >= 1 and got[k].text != texts[k], k
+    assert "Ab" not in got[0].text and "Ab" not in got[1].text and "Miller" not in got[3].text + got[4].text
+    assert "x@a.b.co.uk" not in got[5].text and got[5].text.endswith(". And") and "abc." not in got[6].text
+
+
+def test_surrogates_grow_until_there_is_room(spark, monkeypatch):
+    """A space of two surnames for 40, one-letter addresses that fill theirs, and a whole 192.168 range."""
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["bar"] * 8 + ["ben"] * 8)
+    people = [("person", f"name{k}") for k in range(40)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mail = [("email", f"{a}@{b}.org") for a in letters for b in letters]
+    inside = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(0, 256, 2)]
+    entities = people + mail + inside
+    got = surrogates.drawn_apart(spark.createDataFrame(entities, "kind string, value string"), "key").collect()
+    assert len(got) == len(entities) == len({(r.kind, r.new) for r in got}) and not {r.new for r in got} & {v for _, v in entities}
+    assert all(r.new.endswith(".org") for r in got if r.kind == "email") and all(r.new.count(".") == 3 for r in got if r.kind == "ip")
+
+
+def test_given_names_are_permuted_by_the_key(spark):
+    orders = {tuple(surrogates.keyed_order(surrogates.NAMES["latin", "f"], f"key {k}")) for k in range(20)}
+    assert len(orders) == 20
+    names = [n for each in surrogates.NAMES.values() for n in each]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.new for r in df.select("name", surrogates.given_name(F.col("name"), "key").alias("new")).collect()}
+    assert all(a != b for a, b in got.items()) and sorted(got.values()) == sorted(names)
+    for each in surrogates.NAMES.values():
+        assert {got[n] for n in each} == set(each)
