@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellfold.checks import check
 from cellfold.checks.inputs import CELLS, CUBE, cube, embeddings, events, part_sizes
+from cellfold.model import cells_of
 from cellfold.operators import elementwise, folds, grids, members, rearranging, running, selecting
 from cellfold.plans.pipeline import pipeline, pipeline_line
 from cellfold.sources import tables
@@ -402,6 +403,15 @@ def _(spark, d):
     return pipeline(part_sizes(spark, d), ["slice", ("multiply", 2), ("add", 1), "cumsum"]).frame()
 
 
+@check("pipeline_integer_column", "SELECT p_partkey - 1 AS i0, CAST(abs(3 * p_size - 40) AS BIGINT) AS v FROM part WHERE p_partkey >= 1 ORDER BY 1")
+def _(spark, d):
+    """Whole numbers come back as such because the column holds them."""
+    df = scan(spark, d, "part", ["p_partkey", "p_size"])
+    top = df.agg(F.max("p_partkey")).first()[0]
+    cells = cells_of(df, ["p_partkey"], "p_size", (top + 1,))
+    return pipeline(cells, [("slice", slice(1, None)), ("multiply", 3), ("add", -40), "abs"]).frame()
+
+
 @check("pipeline_stops", "SELECT event_id // 40 AS i0, event_id % 40 AS i1, value AS v FROM events")
 def _(spark, d):
     return pipeline(events(spark, d), ["slice", ("reshape", (-1, 40)), ("transpose", (0, 0)), "sqrt"]).cells.df

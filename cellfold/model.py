@@ -195,14 +195,17 @@ def require_number(kind: T.DataType, name: str) -> None:
         raise ArgumentError(f"{name} holds {kind.simpleString()}, not numbers")
 
 
-def cells_of(df: DataFrame, axes: list[str], value: str, shape, integer: bool = False) -> Cells:
+def cells_of(df: DataFrame, axes: list[str], value: str, shape, integer: bool | None = None) -> Cells:
     """Cells from a table whose columns ``axes`` already hold axis positions.
 
-    A missing value becomes NaN, which is what it is in every numeric path.
+    A missing value becomes NaN, which is what it is in every numeric path.  Whether the
+    elements are whole numbers is the column's type, unless ``integer`` says it.
     """
     if len(axes) != len(shape):
         raise ArgumentError(f"{len(axes)} axes for a shape of rank {len(shape)}")
     require_number(df.schema[value].dataType, value)
+    if integer is None:
+        integer = isinstance(df.schema[value].dataType, T.IntegralType)
     columns = [F.col(a).cast("bigint").alias(axis_name(k)) for k, a in enumerate(axes)]
     number = F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v")
     # The magnitudes of the smaller integer types.

@@ -23,6 +23,18 @@ def test_without(missing):
     assert done.stdout.split() == [str(len(x)) for x in checks.load()]
 
 
+@pytest.mark.parametrize("missing", ["xxhash", "tokenizers"])
+def test_without_a_package_of_theirs(missing):
+    """The other queries stay, and it is said why the text operators don't."""
+    from cellfold import checks
+
+    done = told(missing)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(x)) for x in checks.load()]
+    # Where they are there at all.
+    assert "left out" in done.stderr or not (ROOT / "cellfold" / "llm").exists()
+
+
 def test_other_errors_show():
     done = told("cellfold.runtime")
     assert done.returncode and "cellfold.runtime" in done.stderr

@@ -71,11 +71,20 @@ def test_envelope_of_lines_of_several_lengths(spark):
     assert sorted((r.bucket, r.slot, r.pos) for r in rows if r.series == "long") == [e[:3] for e in brute_envelope(long, 5)]
 
 
-def test_spikes_survive(spark):
-    values = np.zeros(100_000)
-    values[54_321], values[76_543] = 9, -7
-    rows = summaries.envelope(lines_from(spark, a=values), buckets=300, length=100_000, series_count=1).collect()
-    assert (54_321, 9.0) in [(r.pos, r.v) for r in rows] and (76_543, -7.0) in [(r.pos, r.v) for r in rows]
+def test_lone_outliers_are_in_the_summary(spark):
+    """Single samples far out, anywhere in a noisy line of any length, as in the fold by hand."""
+    rng = np.random.default_rng(31)
+    length, buckets = int(rng.integers(5_000, 9_000)), int(rng.integers(40, 120))
+    values = rng.normal(size=length).round(3)
+    out = rng.choice(length, 12, replace=False)
+    values[out] = rng.choice([-1, 1], 12) * rng.uniform(20, 90, 12).round(3)
+    found = got_envelope(summaries.envelope(lines_from(spark, a=values), buckets=buckets, length=length, series_count=1))
+    width = -(-length // buckets)
+    assert found == brute_envelope(values, width)
+    shown = {(pos, v) for _, _, pos, v in found}
+    furthest = {max((k for k in out if k // width == b and np.sign(values[k]) == sign), key=lambda k: abs(values[k]), default=None)
+                for b in set(out // width) for sign in (-1, 1)} - {None}
+    assert furthest and all((k, values[k]) in shown for k in furthest)
 
 
 def test_one_sample_buckets_are_the_samples(spark):
@@ -167,16 +176,18 @@ def test_lines(spark):
 
 
 def test_thin_and_runs(spark):
-    lines = lines_from(spark, a=range(10_000))
-    for thinned in (selecting.thin(lines, 2048, 10_000), selecting.thin(lines, 2048)):
-        assert thinned.count() == 2000 and thinned.where("pos % 5 <> 0").count() == 0
-    two = selecting.thin(lines_from(spark, a=range(10), b=range(4)), 5)
-    assert sorted((r.series, r.pos) for r in two.collect()) == [("a", 0), ("a", 2), ("a", 4), ("a", 6), ("a", 8),
-                                                                ("b", 0), ("b", 1), ("b", 2), ("b", 3)]
-    assert selecting.run_of(lines, 9_990, 50).count() == 10
-    assert selecting.run_of(lines, -5, 10).count() == 5
-    assert selecting.run_of(lines, 20_000, 10).count() == 0
-    assert selecting.run_of(lines, 5, 0).count() == 10_000
+    rng = np.random.default_rng(17)
+    for _ in range(3):
+        sizes = {name: int(rng.integers(1, 4_000)) for name in "abc"}
+        cap = int(rng.integers(1, 900))
+        lines = lines_from(spark, **{name: range(n) for name, n in sizes.items()})
+        kept = {(name, pos) for name, n in sizes.items() for pos in range(0, n, max(1, math.ceil(n / cap)))}
+        assert {(r.series, r.pos) for r in selecting.thin(lines, cap).collect()} == kept
+        one = lines.where("series = 'a'")
+        assert {r.pos for r in selecting.thin(one, cap, sizes["a"]).collect()} == {pos for name, pos in kept if name == "a"}
+        for first, span in rng.integers(-200, sizes["a"] + 200, (3, 2)).tolist():
+            want = set(range(sizes["a"])) if span <= 0 else {k for k in range(sizes["a"]) if first <= k < first + span}
+            assert {r.pos for r in selecting.run_of(one, first, span).collect()} == want
 
 
 # --- order and lookup ---------------------------------------------------------
