@@ -10,12 +10,25 @@ from cellfold.model import ArgumentError
 from cellfold.operators.ordering import sort_order
 from cellfold.operators.selecting import lengths
 from cellfold.operators.summaries import log_columns
-from cellfold.runtime import bounded, same_keys, small_side
+from cellfold.runtime import BROADCAST_ROWS, bounded, same_keys, small_side, small_table
 
 
 def against_time_base(lines: DataFrame, base: DataFrame) -> DataFrame:
     """[series, pos, x, v]: sample i at x = base[i]; what has no partner is not drawn."""
-    return lines.join(small_side(base.select("pos", F.col("v").alias("x"))), "pos").select("series", "pos", "x", "v")
+    return lines.join(small_table(base.select("pos", F.col("v").alias("x"))), "pos").select("series", "pos", "x", "v")
+
+
+def _asked_for(places: DataFrame, rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """The side of a base for a join with ``rows`` by ``keys``.
+
+    Many short lines ask for few places, on which all their rows would meet in a
+    shuffle.  So a base too long to broadcast is cut down to the places that are asked
+    for, found by an aggregate that combines in every task first; what is left is
+    broadcast if it is short, and else no place has much of the rows.
+    """
+    if count <= BROADCAST_ROWS:
+        return bounded(places, count)
+    return small_side(places.join(rows.select(*keys).distinct(), keys, "left_semi"))
 
 
 def _spread(lines: DataFrame, axis_length: int) -> DataFrame:
@@ -35,9 +48,8 @@ def stretch_against(lines: DataFrame, base: DataFrame, axis_length: int | None =
     """Stretched over a base, then x is the base at the nearest position."""
     n = base.count() if axis_length is None else axis_length
     near = stretch(lines, max(n, 1)).withColumn("_k", round_away(F.col("at")))
-    # Many short lines ask for few places: a base that is small is not shuffled against them.
     places = base.select(F.col("pos").alias("_k"), F.col("v").alias("x"))
-    joined = near.join(bounded(places, n) if axis_length is None else small_side(places), "_k")
+    joined = near.join(_asked_for(places, near, ["_k"], n if axis_length is None else base.count()), "_k")
     return joined.select("series", "pos", "at", "x", "v")
 
 
@@ -51,7 +63,7 @@ def own_time_bases(lines: DataFrame, assign: DataFrame, bases: DataFrame, defaul
     there is not drawn.
     """
     named = assign.select("series", F.trim("base").alias("_own")).where(F.col("_own") != "")
-    chosen = lines.join(small_side(named), "series", "left")
+    chosen = lines.join(small_table(named), "series", "left")
     own = F.col("_own").isNotNull() & (F.col("_own") != default)
     chosen = chosen.withColumns({"base": F.coalesce("_own", F.lit(default)), "_is_own": own})
     if stretch_to is None:
@@ -63,7 +75,7 @@ def own_time_bases(lines: DataFrame, assign: DataFrame, bases: DataFrame, defaul
         placed = counted.withColumn(
             "_k", F.when(F.col("_is_own") | (F.col("n") <= 1), F.col("pos")).otherwise(round_away(at)))
     x = bases.select("base", F.col("pos").alias("_k"), F.col("v").alias("x"))
-    return placed.join(small_side(x), ["base", "_k"]).select("series", "base", "pos", "x", "v")
+    return placed.join(_asked_for(x, placed, ["base", "_k"], bases.count()), ["base", "_k"]).select("series", "base", "pos", "x", "v")
 
 
 def log_columns_against(lines: DataFrame, base: DataFrame, lo: float, hi: float, columns: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellfold.functions.numbers import is_finite, nan
 from cellfold.model import ArgumentError, Cells
-from cellfold.runtime import small_side
+from cellfold.runtime import small_table
 
 
 def _number(value, name: str) -> float:
@@ -102,7 +102,7 @@ def move(lines: DataFrame, moves: DataFrame) -> DataFrame:
     A scale that is not finite and above zero leaves the line as it is.
     """
     usable = moves.where(is_finite("scale") & (F.col("scale") > 0) & is_finite("shift"))
-    moved = lines.join(small_side(usable.select("series", "scale", "shift")), "series", "left")
+    moved = lines.join(small_table(usable.select("series", "scale", "shift")), "series", "left")
     value = F.when(F.col("scale").isNull(), F.col("v")).otherwise(F.col("v") * F.col("scale") + F.col("shift"))
     return moved.select("series", "pos", value.alias("v"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from cellfold.model import EXACT, ArgumentError, Cells
 from cellfold.operators import elementwise, folds, rearranging, running, selecting
+from cellfold.runtime import written
 
 OPERATIONS: dict[str, Callable[..., Cells]] = {
     "slice": selecting.slice,
@@ -50,16 +51,18 @@ class Ran:
         """The result as a table; whole numbers that stayed whole come back BIGINT.
 
         No job runs while the steps provably stay within what a double holds
-        exactly.  Otherwise the values are looked at once, and a column with one
-        that a BIGINT could not say exactly stays DOUBLE.
+        exactly.  Otherwise the plan runs once, into a table; a column with a value that a
+        BIGINT could not say exactly stays DOUBLE.
         """
         cells = self.cells
         if not cells.integer:
             return cells.df
         if cells.limit is None or cells.limit > EXACT:
+            table = written(cells.df, "whole")
             beyond = F.max(F.when(F.abs("v") <= EXACT, 0).otherwise(1))
-            if cells.df.agg(F.coalesce(beyond, F.lit(0)).alias("off")).first().off:
-                return cells.df
+            if table.agg(F.coalesce(beyond, F.lit(0)).alias("off")).first().off:
+                return table
+            return table.withColumn("v", F.col("v").try_cast("bigint"))
         return cells.df.withColumn("v", F.col("v").try_cast("bigint"))
 
 

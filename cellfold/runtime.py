@@ -52,6 +52,14 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a stored table, or a projection of one, where its rows allow it.
+
+    They are counted first, which for a scan reads the files' footers; nothing is
+    fetched to see whether it fits."""
+    return bounded(df, df.count(), limit)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``left`` joined to ``right`` where the keys are the same, null being a key like any other."""
     renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})

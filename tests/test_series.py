@@ -325,3 +325,18 @@ def test_one_answer_at_every_size(spark, monkeypatch):
     names = ["series", "bucket", "lo", "hi", "lo_at", "hi_at", "start"]
     ways = [sorted(map(str, summaries.fold_extremes(rows, ["series", "bucket"], groups=g).select(names).collect())) for g in (10, 10**9)]
     assert ways[0] == ways[1] and len(ways[0]) == 6
+
+
+def test_many_short_lines_over_a_long_base(spark, monkeypatch):
+    """A base too long to broadcast is cut down to the few places that are asked for."""
+    monkeypatch.setattr(aligning, "BROADCAST_ROWS", 50)
+    base = base_of(spark, np.arange(1000) / 2)
+    lines = spark.range(40 * 5).select((F.col("id") % 40).cast("string").alias("series"), F.floor(F.col("id") / 40).alias("pos"), (F.col("id") * 1.0).alias("v"))
+    found = aligning.stretch_against(lines, base, 1000)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString().split("Physical Plan")[1]
+    rows = found.collect()
+    assert len(rows) == 200 and {(r.pos, r.x) for r in rows} == {(k, math.floor(k * 999 / 4 + 0.5) / 2) for k in range(5)}
+    bases = base.select(F.lit("b").alias("base"), "pos", "v").union(base.select(F.lit("own"), "pos", F.col("v") + 1))
+    assign = spark.createDataFrame([("3", "own")], "series string, base string")
+    rows = aligning.own_time_bases(lines, assign, bases, "b", stretch_to=1000).collect()
+    assert {(r.pos, r.x) for r in rows if r.series == "3"} == {(k, k / 2 + 1) for k in range(5)} and len(rows) == 200
