@@ -8,9 +8,9 @@ equal:
 * both deleted a word at the same place: one word was replaced;
 * one deleted a word, the other is whole: one word was inserted.
 
-The place and a second hash, by another base, verify a meeting, so nothing but lines at
-distance one remains.  A line goes if an earlier one is equal to it or meets it: for that
-the earliest line of a key is enough, and no pairs are listed.
+The place and a second hash, by another base, are part of the key.  A line that meets an
+earlier one is compared with it word by word, and goes if the edit distance is one; the
+earliest line of a key is enough for that, so no other pairs are listed.
 
 Lines without a possible partner emit nothing: at distance one, one half of a line
 (for the shorter line's length) is equal in both.  Halves are hashed and counted first,
@@ -25,9 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from cellfold.llm.common import discard, tidied, whole_texts
 from cellfold.runtime import small_side, written
@@ -104,14 +104,16 @@ def neighbourhood(words: list[bytes], first: bool, last: bool) -> tuple[np.ndarr
 
 def read_neighbourhoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def joined(parts):
-        v, w, place, *one = zip(*parts)
+        v, w, place, words, *one = zip(*parts)
         lengths = list(map(len, v))
-        doc, no, a = (pd.Series(x, dtype="Int64").repeat(lengths).array for x in one)
-        return pd.DataFrame({"v": np.concatenate(v), "w": np.concatenate(w), "place": np.concatenate(place), "doc_id": doc, "no": no, "a": a})
+        doc, h, no, a = (pd.Series(x, dtype="Int64").repeat(lengths).array for x in one)
+        line = np.full(sum(lengths), None, object)
+        line[np.cumsum(lengths) - lengths] = [b" ".join(x) for x in words]  # once, with the whole line's hash
+        return pd.DataFrame({"v": np.concatenate(v), "w": np.concatenate(w), "place": np.concatenate(place), "doc_id": doc, "h": h, "no": no, "a": a, "line": line})
 
     for frame in frames:
         parts, count = [], 0
-        for doc, text, firsts, lasts in zip(frame["doc_id"], frame["text"], frame["firsts"], frame["lasts"]):
+        for doc, h, text, firsts, lasts in zip(frame["doc_id"], frame["h"], frame["text"], frame["firsts"], frame["lasts"]):
             firsts, lasts, seen = set(firsts), set(lasts), set()
             for no, line in enumerate(text.encode().split(b"\n")):
                 words = line.split()
@@ -120,7 +122,7 @@ def read_neighbourhoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
                 a = line_hash(words)[0]
                 if (a in firsts or a in lasts) and a not in seen:
                     seen.add(a)
-                    parts.append((*neighbourhood(words, a in firsts, a in lasts), None if pd.isna(doc) else int(doc), no, a))
+                    parts.append((*neighbourhood(words, a in firsts, a in lasts), words, None if pd.isna(doc) else int(doc), h, no, a))
                     count += len(words) + 1
             if count >= ROWS:
                 yield joined(parts)
@@ -129,6 +131,23 @@ def read_neighbourhoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             yield joined(parts)
 
 
+def one_edit_apart(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether the word edit distance is one: beside what both begin and end with, one
+    has a single word, the other one or none."""
+    most, same = min(len(a), len(b)), 0
+    while same < most and a[same] == b[same]:
+        same += 1
+    back = 0
+    while back < most - same and a[-1 - back] == b[-1 - back]:
+        back += 1
+    return max(len(a), len(b)) - same - back == 1
+
+
+@F.pandas_udf(BooleanType())
+def near(ones: pd.Series, others: pd.Series) -> pd.Series:
+    return pd.Series([one_edit_apart(a.split(), b.split()) for a, b in zip(ones, others)], dtype=bool)
+
+
 @F.pandas_udf(StringType())
 def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
     def one(text, numbers):
@@ -141,56 +160,68 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def earliest_met(forms: DataFrame) -> DataFrame:
-    """``a`` of the lines that meet an earlier one, from the keys of all neighbourhoods."""
+    """``a`` of the lines that meet an earlier one, from the keys of all neighbourhoods.
+    Each is compared with the earliest it meets, word by word."""
     shared = written(forms.groupBy("v").count().where("count > 1").select("v"), "shared")
-    forms = written(forms.join(shared, "v"), "meeting").withColumn("at", F.struct("doc_id", "no"))
-    same_place = forms.where("place >= 0").groupBy("v", "w", "place").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
-    replaced = forms.join(written(same_place.drop("n"), "replaced"), ["v", "w", "place"]).where("at > first")
-    both = forms.groupBy("v", "w").agg(F.min(F.when(F.col("place") < 0, F.col("at"))).alias("whole"),
-                                       F.min(F.when(F.col("place") >= 0, F.col("at"))).alias("part"))
+    met = written(forms.drop("line").join(shared, "v"), "meeting").withColumn("at", F.struct("doc_id", "h", "no", "a"))
+    same_place = met.where("place >= 0").groupBy("v", "w", "place").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
+    replaced = met.join(written(same_place.drop("n"), "replaced"), ["v", "w", "place"]).where("at > first")
+    both = met.groupBy("v", "w").agg(F.min(F.when(F.col("place") < 0, F.col("at"))).alias("whole"),
+                                     F.min(F.when(F.col("place") >= 0, F.col("at"))).alias("part"))
     both = written(both.where("whole IS NOT NULL AND part IS NOT NULL"), "inserted")
-    inserted = forms.join(both, ["v", "w"]).where("(place < 0 AND at > part) OR (place >= 0 AND at > whole)")
-    return replaced.select("a").union(inserted.select("a")).distinct()
+    inserted = met.join(both, ["v", "w"]).withColumn("first", F.when(F.col("place") < 0, F.col("part")).otherwise(F.col("whole"))).where("at > first")
+    pairs = replaced.select("a", F.col("first.a").alias("b")).union(inserted.select("a", F.col("first.a").alias("b"))).where("a <> b").distinct()
+    said = forms.where("place < 0").select("a", "line")
+    told = pairs.join(said, "a").join(said.select(F.col("a").alias("b"), F.col("line").alias("other")), "b")
+    return told.where(near("line", "other")).select("a").distinct()
+
+
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """A hash of whole rows; maps, which have none, by what they read like."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in df.schema[c].dataType.simpleString() else F.col(c) for c in columns])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id, text`` and any others) without repeated lines, and with
     ``n_lines`` and ``n_kept``.
 
-    Lines are cut at \\n.  Order is that of ``doc_id`` (null first) and then of the lines
-    in the text; rows that share a doc_id share its places and a repeated row appears
-    once.  A null text stays null with 0 lines; a text that loses every line is empty.
-    Columns called ``n_lines`` or ``n_kept`` are replaced.
+    Lines are cut at \\n.  Order is that of ``doc_id`` (null first), of a hash of the text
+    where an id is missing or shared, and then of the lines in the text.  A repeated row
+    appears once.  A null text stays null with 0 lines; a text that loses every line is
+    empty.  Columns called ``n_lines`` or ``n_kept`` are replaced.
     """
     docs = whole_texts(docs).drop("n_lines", "n_kept")
     marked = docs.withColumn("h", F.xxhash64("text"))
     lines = written(marked.where("text IS NOT NULL").select("doc_id", "h", "text").mapInPandas(
         tidied(read_lines), "doc_id long, h long, no int, a long, b long, keys array<long>"), "lines")
-    at = F.struct("doc_id", "no")
+    at = F.struct("doc_id", "h", "no")
     firsts = written(lines.groupBy("a", "b").agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
 
-    halves_ = lines.select("doc_id", "a", F.explode("keys").alias("key"))
+    # Lines that share a half with another: only where one stands first are its words read again.
+    halves_ = lines.select("a", F.explode("keys").alias("key"))
     multi = written(halves_.groupBy("key").agg(F.min("a").alias("p"), F.max("a").alias("q")).where("p <> q").select("key"), "halves")
     side = F.col("key").bitwiseAND(F.lit(1))
-    asked = written(halves_.join(multi, "key").join(firsts.select("a", F.col("first.doc_id").alias("f")), "a")
-                    .where("f <=> doc_id").groupBy("doc_id").agg(
-                        F.collect_set(F.when(side == 0, F.col("a"))).alias("firsts"),
-                        F.collect_set(F.when(side == 1, F.col("a"))).alias("lasts")), "asked")
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text")
+    sides = halves_.join(multi, "key").groupBy("a").agg(F.max(side == 0).alias("f"), F.max(side == 1).alias("l"))
+    asked = written(sides.join(firsts.select("a", "first.doc_id", "first.h"), "a").groupBy("doc_id", "h").agg(
+        F.collect_set(F.when(F.col("f"), F.col("a"))).alias("firsts"),
+        F.collect_set(F.when(F.col("l"), F.col("a"))).alias("lasts")).withColumnsRenamed({"doc_id": "_of", "h": "_h"}), "asked")
     listed = 8 * (F.size("firsts") + F.size("lasts"))
-    forms = texts.join(small_side(asked, width=listed).withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).drop("_of")
-    forms = written(forms.mapInPandas(tidied(read_neighbourhoods), "v long, w long, place int, doc_id long, no int, a long"), "forms")
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("h") == F.col("_h"))
+    forms = marked.where("text IS NOT NULL").select("doc_id", "h", "text").join(small_side(asked, width=listed), same).drop("_of", "_h")
+    forms = written(forms.mapInPandas(
+        tidied(read_neighbourhoods), "v long, w long, place int, doc_id long, h long, no int, a long, line binary"), "forms")
 
     gone = earliest_met(forms).withColumn("gone", F.lit(True))
     # A line that stands once and meets no earlier one stays, whatever it is.
     state = written(firsts.join(gone, "a", "left").where("n > 1 OR gone").drop("n"), "state")
     discard(firsts, multi, asked, forms)
-    dropped = lines.select("doc_id", "h", "no", "a", "b").join(state, ["a", "b"]).where(
-        F.col("gone") | (F.struct("doc_id", "no") != F.col("first")))
+    dropped = lines.select("doc_id", "h", "no", "a", "b").join(state, ["a", "b"]).where(F.col("gone") | (at != F.col("first")))
     dropped = dropped.groupBy(F.col("doc_id").alias("_of"), F.col("h").alias("_h")).agg(F.collect_set("no").alias("_gone"))
 
-    whole = marked.repartition("doc_id", "h").dropDuplicates()
-    found = whole.join(dropped, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("h") == F.col("_h")), "left")
+    # Whole texts are only moved to find equal rows where ids and texts are repeated at all.
+    if not marked.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        marked = marked.withColumn("_row", row_hash(docs, docs.columns)).repartition("doc_id", "h").dropDuplicates(["doc_id", "h", "_row"]).drop("_row")
+    found = marked.join(dropped, same, "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     cut = without_lines(F.when(F.col("_gone").isNotNull(), F.col("text")), "_gone")
     return found.select(

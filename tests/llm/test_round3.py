@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellfold import runtime
-from cellfold.llm import lines, queries, repair, suffixes, surrogates, whitening
+from cellfold.llm import extraction, ivfpq, lines, queries, repair, suffixes, surrogates, whitening
 
 # --- whitening ------------------------------------------------------------------
 
@@ -261,3 +261,51 @@ def test_given_names_are_permuted_by_the_key(spark):
     assert all(a != b for a, b in got.items()) and sorted(got.values()) == sorted(names)
     for each in surrogates.NAMES.values():
         assert {got[n] for n in each} == set(each)
+
+
+def test_lines_of_rows_without_ids_and_with_maps(spark):
+    """Rows that share or lack an id are told apart by their texts; maps and clashing columns stay."""
+    head = "one two three four"
+    rows = [(None, f"{head}\nfirst text", {"k": 1}), (None, f"{head}\nsecond text", {"k": 2}), (None, f"{head}\nsecond text", {"k": 2}),
+            (7, "same id other", {}), (7, "another three words\nsame id other", None), (8, None, {"a": 1}), (9, "", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_kept map<string, int>").withColumn("m", F.col("n_kept"))
+    got = lines.dedup_lines(df).collect()
+    assert len(got) == 6 and sum(head in (r.text or "") for r in got) == 1
+    assert sum("same id other" in (r.text or "") for r in got if r.doc_id == 7) == 1
+    assert {str(r.m) for r in got if r.doc_id is None} == {"{'k': 1}", "{'k': 2}"}
+
+
+def test_word_distance():
+    rng = random.Random(4)
+    for _ in range(3000):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randint(0, 6))] for _ in range(2))
+        table = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, table[0] = table[0], i
+            for j, y in enumerate(b, 1):
+                before, table[j] = table[j], min(table[j] + 1, table[j - 1] + 1, before + (x != y))
+        assert lines.one_edit_apart(a, b) == (table[-1] == 1)
+
+
+# --- pages and vectors --------------------------------------------------------------
+
+
+def test_names_that_only_hold_a_word_of_furniture(spark):
+    kept = ['<div class="content has-sidebar"><p>body</div>', '<div class="post related-social-theory"><p>body</div>', '<section id="notice-of-motion"><p>body</section>']
+    left = ['<div class="site-footer">x</div><p>body', "<div id=comment-list>x</div><p>body", '<p>body<div class="wide ad">x</div>', '<p>body<div class="Related-Posts">x</div>']
+    df = spark.createDataFrame([(k, "http://h/x", page) for k, page in enumerate(kept + left)], "page_id long, url string, html string")
+    assert [r.text for r in extraction.extract(df).orderBy("page_id").collect()] == ["body"] * 7
+
+
+def test_probes_by_products():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 16))
+    index = ivfpq.Index(centres, np.zeros((4, 2, 4)), 0.4, 3.0)
+    vectors = rng.normal(size=(50, 16))
+    own, asked = index.probes(vectors)
+    distance = np.linalg.norm(vectors[:, None] - centres[None], axis=2)
+    assert (own == distance.argmin(axis=1)).all()
+    between = np.linalg.norm(centres[own][:, None] - centres[None], axis=2)
+    bound = 2 * 0.4 * between * (3 / 4) + 1e-9
+    apart = distance**2 - (distance**2).min(axis=1)[:, None] - bound
+    assert ((apart <= 0) == asked)[np.abs(apart) > 1e-6].all() and asked[np.arange(50), own].all()
