@@ -59,6 +59,24 @@ popup modal overlay newsletter subscribe subscription signup login share sharing
 pagination pager sidebar sidebars widget menu nav navbar navigation masthead footer comment comments disqus replies reply toolbar
 skip alert
 """.split())
+#: Words that may stand beside them in such a name: site-footer, related-posts.
+BESIDE = set("""site page top bottom left right box bar block list wrap wrapper container section area primary secondary global local inner
+outer post posts article articles link links item items button buttons slot unit zone icon icons col column row header main text form
+""".split())
+#: Words that make a name a statement about the element: has-sidebar.
+STATING = set("has have with without no not of on in is and or for to".split())
+
+
+def names_furniture(value: str) -> bool:
+    """Whether one of the names in a class or id is one of furniture: as a whole or by what
+    it ends with (user-comments), not by any word in it (has-sidebar, notice-of-motion)."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if FURNITURE.isdisjoint(words) or not STATING.isdisjoint(words):
+            continue
+        if words[-1] in FURNITURE or FURNITURE | BESIDE >= set(words):
+            return True
+    return False
 
 
 def is_left_out(name: str, tag: str, in_article: bool) -> bool:
@@ -66,7 +84,7 @@ def is_left_out(name: str, tag: str, in_article: bool) -> bool:
         return True
     for key, value in ATTRIBUTE.findall(tag):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and name not in ("body", "html", "main", "article") and FURNITURE & set(re.split(r"[^a-z]+", value)):
+        if key in ("class", "id") and name not in ("body", "html", "main", "article") and names_furniture(value):
             return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
