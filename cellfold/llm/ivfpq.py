@@ -55,9 +55,11 @@ class Index:
 
     def probes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each vector's own list, and which lists it probes (vectors x lists)."""
-        d2 = ((vectors**2).sum(axis=1)[:, None] - 2 * vectors @ self.centres.T + (self.centres**2).sum(axis=1)[None])
+        squares = (self.centres**2).sum(axis=1)
+        d2 = (vectors**2).sum(axis=1)[:, None] - 2 * vectors @ self.centres.T + squares[None]
         own = d2.argmin(axis=1)
-        between = np.linalg.norm(self.centres[own][:, None] - self.centres[None], axis=2)
+        # By products as well: vectors x lists, not vectors x lists x components.
+        between = np.sqrt(np.maximum(squares[own][:, None] - 2 * self.centres[own] @ self.centres.T + squares[None], 0))
         share = min(1.0, self.sure / np.sqrt(vectors.shape[1]))
         return own, d2 - d2[np.arange(len(own)), own][:, None] <= 2 * self.radius * between * share + 1e-9
 
