@@ -155,7 +155,7 @@ def resolve_links(nodes: DataFrame, hops: int | None = None) -> DataFrame:
     Chains have no bound (``_followed``).  External links keep the kind they have;
     ``resolve_external`` follows them.
     """
-    nodes = nodes.select("path", "name", "parent", "kind", "link", "target")
+    nodes = written(nodes.select("path", "name", "parent", "kind", "link", "target"), "nodes")  # made once, read three times
     links = written(nodes.where(F.col("link") == "soft").select("path", _goal_of().alias("goal")), "links")
     ends = None
     for table in _followed(links, hops):
