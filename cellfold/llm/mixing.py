@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -239,34 +240,37 @@ def mixed_texts(docs: DataFrame, mix: Mixture | None = None) -> DataFrame:
     first one's name.
     """
     own = [c for c in docs.columns if c not in ("shard", "slot", "first", "past", "size", "h")]
-    marked = sized(whole_texts(docs).select(*own))
-    known = marked.select("doc_id", "h", "source", "size")
+    docs = whole_texts(docs).select(*own)
+    # Words are counted once; from here on texts are only read to be cut.
+    known = written(sized(docs.select("doc_id", "text", "source")).drop("text"), "sizes")
     mix = mix or mixture(known)
     spans = taken_spans(known, mix).groupBy("source_no", "doc_id", "h").agg(F.collect_list(F.struct("shard", "slot", "first", "past")).alias("_spans"))
     s = spans.select(F.col("source_no").alias("_s"), F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "_spans")
-    rows = numbered(marked.where("size > 0"), mix).repartition("doc_id", "h").dropDuplicates(["doc_id", "h", "source_no"])
+    rows = numbered(docs.withColumn("h", F.xxhash64("text")), mix)
+    # Only where an id, text and source are repeated is there anything to collapse.
+    if not known.where("size > 0").groupBy("doc_id", "h", "source").count().where("count > 1").isEmpty():
+        rows = rows.repartition("doc_id", "h").dropDuplicates(["doc_id", "h", "source_no"])
     joined = rows.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")) & (F.col("source_no") == F.col("_s")))
-    kept = [f for f in docs.select(*own).schema if f.name != "text"]
-
-    def cut(batches):
-        import pyarrow as pa
+    kept = [f for f in docs.schema if f.name != "text"]
+    numbers = ("shard", "slot", "first", "past")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                index, found = [], {n: [] for n in ("shard", "slot", "first", "past", "text")}
-                for row, (text, spans) in enumerate(zip(part.column("text").to_pylist(), part.column("_spans").to_pylist())):
-                    words = text.encode().split()
-                    for span in spans:
-                        index.append(row)
-                        for name in ("shard", "slot", "first", "past"):
-                            found[name].append(span[name])
-                        found["text"].append(b" ".join(words[span["first"]:span["past"]]).decode())
-                same = part.take(pa.array(index, pa.int64()))
+                lists = part.column("_spans")
+                many, flat = lists.value_lengths().to_numpy(), lists.flatten()
+                first, past = flat.field("first").to_numpy(), flat.field("past").to_numpy()
+                found, at = [], 0
+                for text, n in zip(part.column("text"), many.tolist()):
+                    words = text.as_buffer().to_pybytes().split()
+                    found += [b" ".join(words[a:b]) for a, b in zip(first[at:at + n].tolist(), past[at:at + n].tolist())]
+                    at += n
+                # The text and its list of spans are not taken: a row for each piece would hold them again.
+                rows_of = pa.array(np.repeat(np.arange(part.num_rows), many))
                 yield pa.RecordBatch.from_arrays(
-                    [*(same.column(f.name) for f in kept), *(pa.array(found[n], pa.int64()) for n in ("shard", "slot", "first", "past")),
-                     pa.array(found["text"], pa.string())],
-                    [*(f.name for f in kept), "shard", "slot", "first", "past", "text"])
+                    [*(part.column(f.name).take(rows_of) for f in kept), *(flat.field(n) for n in numbers), pa.array(found, pa.binary()).cast(pa.string())],
+                    [*(f.name for f in kept), *numbers, "text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "shard long, slot long, first long, past long, text string"])
     return joined.select(*(f.name for f in kept), "text", "_spans").mapInArrow(tidied(cut), schema).select("shard", "slot", "first", "past", *own)
