@@ -267,6 +267,11 @@ def _(spark, d):
     return rounded(folds.sum(events(spark, d)), 4)
 
 
+@check("sum_reproducible", f"WITH {CELLS} SELECT i1 AS i0, round(sum(v) + 10, 6) AS v FROM cells GROUP BY i1")
+def _(spark, d):
+    return rounded(folds.sum(embeddings(spark, d), 0, initial=10, reproducible=True))
+
+
 @check("prod_axis", f"WITH {CUBE} SELECT i0, i1, round(product(v * 0.0137) * 2, 6) AS v FROM cube GROUP BY i0, i1")
 def _(spark, d):
     return rounded(folds.prod(elementwise.multiply(cube(spark, d), 0.0137), 2, initial=2))

@@ -79,6 +79,13 @@ def _(spark, d):
     return summaries.envelope(lines, bucket=5, seam=True)
 
 
+@check("envelope_many_buckets", f"WITH {EVENTS}, {envelope_sql('line', '2', True)} SELECT * FROM pairs")
+def _(spark, d):
+    """Half as many buckets as samples, with a bound that no broadcast is made for."""
+    lines, n = event_line(spark, d)
+    return summaries.envelope(lines, bucket=2, length=n, seam=True, series_count=1 + summaries.BROADCAST_ROWS // n)
+
+
 @check("envelope_lengths", f"""
 WITH placed AS (
   SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, value AS v
@@ -276,6 +283,22 @@ def _(spark, d):
     return ordering.nearest_sample(probes, typed_events(spark, d))
 
 
+@check("nearest_sample_gaps", f"""
+WITH probes AS (
+  SELECT c_custkey AS probe,
+         CASE WHEN c_nationkey % 7 = 0 THEN NULL WHEN c_nationkey % 7 = 1 THEN 'other'
+              ELSE (['click', 'error', 'purchase', 'signup', 'view'])[c_nationkey % 5 + 1] END AS series,
+         CASE WHEN c_acctbal > 0 THEN 1704067200e0 + c_acctbal * 130 END AS x FROM customer), {NEAREST}""")
+def _(spark, d):
+    """Probes without a series, of an unknown one, or without a place keep their row."""
+    key = F.col("c_nationkey")
+    series = F.when(key % 7 == 0, None).when(key % 7 == 1, "other").otherwise(_series_of(key))
+    probes = scan(spark, d, "customer", ["c_custkey", "c_nationkey", "c_acctbal"]).select(
+        F.col("c_custkey").alias("probe"), series.alias("series"),
+        F.when(F.col("c_acctbal") > 0, F.lit(1704067200.0) + F.col("c_acctbal") * 130).alias("x"))
+    return ordering.nearest_sample(probes, typed_events(spark, d))
+
+
 @check("x_range_to_positions", """
 WITH ranges AS (
   SELECT s_suppkey, 1704067200e0 + s_acctbal * 100 AS lo, 1704067200e0 + s_acctbal * 100 + 86400 AS hi FROM supplier),

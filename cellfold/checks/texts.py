@@ -59,6 +59,26 @@ def _(spark, d):
     return rendering.fields(records(spark, d), "s")
 
 
+@check("fields_json", f"""
+WITH {RECORDS} SELECT c_custkey, 'name' AS name, 'string' AS type, c_name AS value, '"' || c_name || '"' AS json FROM records
+UNION ALL SELECT c_custkey, 'balance', 'double', balance, CASE WHEN finite THEN balance ELSE '"nan"' END FROM records
+UNION ALL SELECT c_custkey, 'nation', 'struct<n_name:string,n_regionkey:int>', '{{n_name=' || n_name || ', n_regionkey=' || n_regionkey || '}}',
+  '{{"n_name": "' || n_name || '", "n_regionkey": ' || n_regionkey || '}}' FROM records
+UNION ALL SELECT c_custkey, 'keys', 'array<int>', '[' || c_nationkey || ', ' || n_regionkey || ']', '[' || c_nationkey || ', ' || n_regionkey || ']' FROM records""")
+def _(spark, d):
+    return rendering.fields(records(spark, d), "s", json=True)
+
+
+@check("to_json_names", """
+SELECT o_orderkey, '{"total \\"gross\\"": ' || o_custkey || ', "a\\\\b": {"tab\\there": "' || o_orderstatus || '"}}' AS json FROM orders""")
+def _(spark, d):
+    """Member names that JSON has to escape."""
+    orders = scan(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    inner = F.struct(F.col("o_orderstatus").alias("tab\there"))
+    named = F.struct(F.col("o_custkey").alias('total "gross"'), inner.alias("a\\b"))
+    return rendering.to_json(orders.select("o_orderkey", named.alias("s")), "s").drop("s")
+
+
 @check("element_text", f"""
 WITH {RECORDS} SELECT c_custkey, '{{name=' || c_name || ', balance=' || balance || ', nation={{n_name=' || n_name || ', n_regionkey=' ||
   n_regionkey || '}}, keys=[' || c_nationkey || ', ' || n_regionkey || ']}}' AS "text" FROM records""")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellfold.functions.numbers import is_finite, nan
-from cellfold.model import ArgumentError, Cells, axis_name, element_count, unravelled
+from cellfold.model import EXACT, ArgumentError, Cells, axis_name, element_count, unravelled
 from cellfold.operators.elementwise import whole
 from cellfold.operators.grids import extents_of
 
@@ -70,12 +70,65 @@ def max(cells: Cells, axis=None) -> Cells:  # noqa: A001
     return _fold(cells, axis, F.max("v"), None, True, cells.limit)
 
 
-def sum(cells: Cells, axis=None, initial: float = 0.0) -> Cells:  # noqa: A001
-    value = F.sum("v") if initial == 0 else F.sum("v") + F.lit(float(initial))
+def sum(cells: Cells, axis=None, initial: float = 0.0, reproducible: bool = False) -> Cells:  # noqa: A001
+    """Sums in the order rows arrive in, one shuffle; with ``reproducible`` the same bits
+    whatever that order is, at the price of a second shuffle of a few rows a result.
+
+    A reproducible sum is exact up to one rounding for each 8 powers of two that occur
+    among the addends.  It overflows only if it is too large itself.
+    """
     limit = cells.at_most(lambda most: most * cells.size + abs(initial))
+    total = F.sum("v")
+    if reproducible and not (cells.integer and limit is not None and limit < EXACT):
+        gone = fold_axes(axis, cells.rank)
+        kept = [axis_name(a) for a in range(cells.rank) if a not in gone]
+        cells, total = cells.of(_in_bins(cells.df, kept), cells.shape, limit=cells.limit), _of_bins()
+    value = total if initial == 0 else total + F.lit(float(initial))
     return _fold(cells, axis, value, initial, whole(initial), limit)
 
 
+# --- sums that do not depend on the order of arrival --------------------------
+#
+# Addends of one magnitude, 8 powers of two wide, are whole multiples of one power of two,
+# below 2 ** 62 of it.  Whole numbers are added exactly in any order; each is added in three
+# pieces of 21 bits, so that a BIGINT holds the sums of 2 ** 42 rows.
+
+BIN_POWERS, PIECE = 8, 21
+
+
+def _power_of_two(exponent: Column) -> list[Column]:
+    """2 ** exponent as two factors, either of which is an ordinary double."""
+    half = F.floor(exponent / 2)
+    return [F.pow(F.lit(2.0), half), F.pow(F.lit(2.0), exponent - half)]
+
+
+def _in_bins(df: DataFrame, kept: list[str]) -> DataFrame:
+    """[*kept, _bin, the sums of three pieces, _other]: a row for each magnitude."""
+    plain = is_finite("v") & (F.col("v") != 0)
+    # Subnormal numbers are multiples of the same power as the least normal ones.
+    power = F.greatest(F.floor(F.log2(F.abs("v"))), F.lit(-1022))
+    held = df.select(*kept, "v", F.when(plain, F.floor(power / BIN_POWERS)).alias("_bin"))
+    up, more = _power_of_two(53 - BIN_POWERS * F.col("_bin"))
+    placed = held.withColumn("_n", (F.col("v") * up * more).cast("bigint"))
+    low = F.lit((1 << PIECE) - 1).cast("bigint")
+    pieces = [F.col("_n").bitwiseAND(low), F.shiftright("_n", PIECE).bitwiseAND(low), F.shiftright("_n", 2 * PIECE)]
+    return placed.groupBy(*kept, "_bin").agg(
+        *[F.sum(F.when(F.col("_bin").isNotNull(), piece)).alias(f"_p{k}") for k, piece in enumerate(pieces)],
+        F.sum(F.when(F.col("_bin").isNull(), F.col("v"))).alias("_other"))
+
+
+def _of_bins() -> Column:
+    """The bins of a result, at most 256, added from the smallest magnitude up."""
+    whole_part = lambda k: F.col(f"_p{k}").cast("decimal(38,0)") * F.lit(1 << (PIECE * k)).cast("decimal(19,0)")
+    exact = (whole_part(0) + whole_part(1) + whole_part(2)).cast("double")
+    down, more = _power_of_two(BIN_POWERS * F.col("_bin") - 53)
+    bins = F.array_sort(F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", (exact * down * more).alias("total")))))
+    added = F.aggregate(bins, F.lit(0.0), lambda so_far, one: so_far + one["total"])
+    # Infinities and NaN decide alone; zeros add nothing.
+    other = F.sum("_other")
+    return F.when(is_finite(F.coalesce(other, F.lit(0.0))), added).otherwise(other)
+
+
 def product_of(v: Column) -> Column:
     """A product that does not depend on the order rows arrive in.
 

@@ -15,18 +15,20 @@ def to_json(df: DataFrame, column: str, name: str = "json") -> DataFrame:
     return df.withColumn(name, text.json_text(F.col(column), df.schema[column].dataType))
 
 
-def fields(df: DataFrame, column: str) -> DataFrame:
-    """A struct opened into rows: the other columns, then name, type and value."""
+def fields(df: DataFrame, column: str, json: bool = False) -> DataFrame:
+    """A struct opened into rows: the other columns, then name, type and value, and with
+    ``json`` the value as JSON beside its text."""
     kind = df.schema[column].dataType
     if not hasattr(kind, "fields"):
         raise ArgumentError(f"{column} is {kind.simpleString()}, not a struct")
     opened = F.array(*[
         F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
-                 text.element_text(F.col(column)[f.name], f.dataType).alias("value"))
+                 text.element_text(F.col(column)[f.name], f.dataType).alias("value"),
+                 *([text.json_text(F.col(column)[f.name], f.dataType).alias("json")] if json else []))
         for f in kind.fields
     ])
     rest = [c for c in df.columns if c != column]
-    return df.select(*rest, F.explode(opened).alias("_f")).select(*rest, "_f.name", "_f.type", "_f.value")
+    return df.select(*rest, F.explode(opened).alias("_f")).select(*rest, "_f.*")
 
 
 def element_text(df: DataFrame, column: str, name: str = "text") -> DataFrame:

@@ -49,14 +49,16 @@ def running_sum(df: DataFrame, keys: list[str], by: str, value: str, extent: int
     """``value`` replaced by its running sum along ``by``, per ``keys``.
 
     ``extent`` bounds ``by`` and ``groups`` bounds the number of different keys;
-    both come from the shape, so no job is needed to know them.
+    both come from the shape, so no job is needed to know them.  The total of a
+    block is its last running value: every sum is taken in the order of positions,
+    whatever order rows arrive in, and the rows are shuffled once for both uses.
     """
     if extent <= block:
         return df.withColumn(value, F.sum(value).over(_window(keys, by)))
     home = f"{by}_b"
     cut = df.withColumn(home, int_div(F.col(by), block))
     inside = cut.withColumn(value, F.sum(value).over(_window([*keys, home], by)))
-    totals = cut.groupBy(*keys, home).agg(F.sum(value).alias(value))
+    totals = inside.groupBy(*keys, home).agg(F.max_by(value, by).alias(value))
     blocks = -(-extent // block)
     before = running_sum(totals, keys, home, value, blocks, groups, block).select(
         *keys, (F.col(home) + 1).alias(home), F.col(value).alias("_before")
@@ -103,9 +105,9 @@ def _running_product(df: DataFrame, keys: list[str], by: str, extent: int, group
     inside = cut.withColumns({"v": F.product("v").over(over), "_e": F.sum("_e").over(over)})
     inside = _split(inside, "v", F.col("_e"))
     if extent > PRODUCT_BLOCK:
-        totals = cut.groupBy(*keys, home).agg(F.product("v").alias("v"), F.sum("_e").alias("_e"))
+        totals = inside.groupBy(*keys, home).agg(F.max_by("v", by).alias("v"), F.max_by("_e", by).alias("_e"))
         blocks = -(-extent // PRODUCT_BLOCK)
-        before = _running_product(_split(totals, "v", F.col("_e")), keys, home, blocks, groups).select(
+        before = _running_product(totals, keys, home, blocks, groups).select(
             *keys, (F.col(home) + 1).alias(home), F.col("v").alias("_bv"), F.col("_e").alias("_be")
         )
         joined = inside.join(bounded(before, groups * blocks), [*keys, home], "left")
@@ -119,14 +121,20 @@ def _running_product(df: DataFrame, keys: list[str], by: str, extent: int, group
 
 def cumprod(cells: Cells, axis=None, block: int = BLOCK) -> Cells:
     """Running product.  Once it has overflowed or vanished it stays so, as a
-    running product taken element by element does."""
+    running product taken element by element does.
+
+    An axis of up to 512 positions (or ``block``, if that is less) is multiplied as it
+    stands.  Every longer one is multiplied in blocks of 512 mantissas: the first block
+    has the bits of the plain product as long as that keeps within the normal numbers,
+    later ones differ from it by the rounding of one more product per level of blocks.
+    """
     shape = scanned_shape(cells.shape, axis)
     at = scan_axis(axis, cells.rank)
     if at is None or cells.rank == 0:
         cells, at = _flattened(cells), 0
     others = [a for k, a in enumerate(cells.axes) if k != at]
     by, extent = axis_name(at), cells.shape[at]
-    if extent <= block:
+    if extent <= min(block, PRODUCT_BLOCK):
         df = cells.df.withColumn("v", F.product("v").over(_window(others, by)))
         return cells.of(df.select(*cells.axes, "v"), shape)
     groups = element_count(cells.shape) // extent

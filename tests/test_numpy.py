@@ -1,7 +1,10 @@
 """Array operations against numpy: shape, values and refusals."""
 
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellfold import ArgumentError
 from cellfold.operators import elementwise as ew
@@ -115,6 +118,37 @@ def test_cumprod_in_blocks(spark, case):
                              lambda a: np.cumprod(a, axis=-1))})
 
 
+def test_cumprod_has_one_path(spark):
+    """Neither the length of an axis nor where it is cut changes a bit of what both hold."""
+    line = np.random.default_rng(8).uniform(0.5, 1.99, 66_000)
+    long = to_numpy(running.cumprod(cells_from(spark, line)))
+    short = to_numpy(running.cumprod(cells_from(spark, line[:65_000])))
+    assert (long[:65_000].view("int64") == short.view("int64")).all()
+    assert (long[:512] == np.cumprod(line[:512])).all()
+    np.testing.assert_allclose(long[:5000], np.cumprod(line[:5000]), rtol=1e-12)
+
+
+def test_reproducible_sums(spark):
+    """The same bits for every order of arrival, within a rounding of the exact sum."""
+    rng = np.random.default_rng(9)
+    line = np.concatenate([rng.normal(size=700) * 10.0 ** rng.integers(-300, 300, 700), [5e-324, -1e-310, 1.7e308, -1.7e308, 0.0]])
+    cells = cells_from(spark, line)
+    sums = {f"{k}": folds.sum(cells.of(cells.df.repartition(2 + k, F.rand(k)), cells.shape), reproducible=True) for k in range(20)}
+    found = {float(v) for v in collect_cases(sums).values()}
+    assert len(found) == 1 and found.pop() == pytest.approx(math.fsum(line), rel=1e-15)
+    rows = rng.normal(size=(5, 300))
+    rows[0, 3], rows[1, 4], rows[2, 5:7], rows[3] = np.inf, np.nan, (np.inf, -np.inf), 0
+    for axis in (None, 0, 1):
+        with np.errstate(invalid="ignore"):
+            want = rows.sum(axis=axis, initial=2.0)
+        np.testing.assert_allclose(to_numpy(folds.sum(cells_from(spark, rows), axis, 2.0, True)), want, rtol=1e-12)
+    tiny = np.full(1000, 5e-324)
+    assert to_numpy(folds.sum(cells_from(spark, tiny), reproducible=True)) == tiny.sum()
+    assert to_numpy(folds.sum(cells_from(spark, np.zeros((0, 3))), reproducible=True)) == 0
+    # What the addends come to in between does not count.
+    assert to_numpy(folds.sum(cells_from(spark, [1.7e308, 1.0, 1.7e308, -1.7e308, -1.7e308]), reproducible=True)) == 1
+
+
 def test_prod_far_from_one(spark):
     big = np.r_[np.full(1100, 2.0), np.full(1100, 0.5), [3.0]]
     got = collect_cases({"back": folds.prod(cells_from(spark, big)),

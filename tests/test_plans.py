@@ -71,6 +71,19 @@ def test_folds_are_partial_hash_aggregates(spark, data):
     assert "Exchange hashpartitioning" in plan(known)
 
 
+def test_running_folds_read_what_they_run_over_once(spark, data):
+    """Block totals and ends come from the rows already shuffled."""
+    for run in (running.cumsum(inputs.events(spark, data), block=100), running.cumprod(inputs.events(spark, data))):
+        run.df.toArrow()
+        text = run.df._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in text
+        lines = text.splitlines()
+        for at in [k for k, line in enumerate(lines) if "FileScan" in line]:
+            above = next(k for k in range(at, 0, -1) if "Exchange hashpartitioning" in lines[k])
+            # The same exchange for every use: nothing is aggregated on its own from the scan.
+            assert not any("Aggregate" in line for line in lines[above:at])
+
+
 def test_diff_shuffles_once(spark, data):
     assert exchanges(plan(running.diff(inputs.embeddings(spark, data), 3).df)) == ["hashpartitioning"]
 
