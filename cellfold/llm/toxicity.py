@@ -6,9 +6,10 @@ clean is estimated from the unlabelled texts less p times that of the positives;
 that estimate falls below zero the step goes the other way (Kiryo et al., 2017).
 
 A text is what its words (runs of letters, lower-cased) begin with: whole words and their
-first letters, each with how much of the text it makes up.  Spark finds which of those
-are more frequent among positives, a greedy cover keeps those that add something, and
-classifiers over them are trained in numpy from different draws, their scores averaged.
+first letters, each with how much of the text it makes up.  Spark counts which of those
+are more frequent among positives; thousands of them are kept, scaled by their log-odds,
+and classifiers over them are trained in numpy from different draws, their scores averaged.
+The decay of the risk decides which count.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from cellfold.runtime import written
 
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 #: Bounds of the training sample: positive texts, unlabelled texts, beginnings looked at.
-POSITIVES, UNLABELLED, WORDS = 4000, 8000, 500
+POSITIVES, UNLABELLED, WORDS = 4000, 8000, 8000
 #: How far the rates of a beginning have to be apart, in standard errors, and positives it needs.
-APART, LEAST = 4.0, 3
+APART, LEAST = 1.0, 2
+#: Log-odds count up to this many; a beginning of half as many is taken as it is.
+MOST_ODDS = 4.0
 #: Letters of a beginning.
 LENGTHS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -48,14 +51,40 @@ def beginnings(word: str) -> list[str]:
     return [word + " ", *(word[:k] for k in LENGTHS if k < len(word))]
 
 
-def values(words: list[str], at: dict[str, int]) -> np.ndarray:
-    """How much of the text each known beginning makes up: 0 for none, 1 for 4 in 100 words."""
-    found = np.zeros(len(at))
+def values(words: list[str], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the known beginnings of a text, and how much of it each makes up: 1 for
+    4 in 100 words and more."""
+    found: Counter = Counter()
     for word, n in Counter(words).items():
         for begin in beginnings(word):
             if begin in at:
                 found[at[begin]] += n
-    return np.minimum(1, 25 * found / (len(words) + 25))
+    counts = np.fromiter(found.values(), float, len(found))
+    return np.fromiter(found, np.int64, len(found)), np.minimum(1, 25 * counts / (len(words) + 25))
+
+
+@dataclass
+class Rows:
+    """Texts over beginnings, entry by entry: which text, which beginning, how much."""
+
+    text: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    texts: int
+
+    @classmethod
+    def of(cls, pairs: list[np.ndarray], scale: np.ndarray) -> Rows:
+        """``pairs``: of each text its places, and behind them as many values."""
+        sizes = [len(p) // 2 for p in pairs]
+        place = np.concatenate([p[:n] for p, n in zip(pairs, sizes)]).astype(np.int64)
+        value = np.concatenate([p[n:] for p, n in zip(pairs, sizes)])
+        return cls(np.repeat(np.arange(len(pairs)), sizes), place, value * scale[place], len(pairs))
+
+    def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return np.bincount(self.text, self.value * weights[self.place], self.texts) + bias
+
+    def gradient(self, slopes: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.place, self.value * slopes[self.text], width)
 
 
 @dataclass
@@ -63,7 +92,7 @@ class Classifiers:
     """Weights and bias of each classifier over one list of beginnings."""
 
     words: list[str]
-    weights: np.ndarray  # classifiers x words
+    weights: np.ndarray  # words x classifiers
     bias: np.ndarray
 
 
@@ -75,28 +104,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def nnpu_risk(p_scores: np.ndarray, u_scores: np.ndarray, prior: float) -> tuple[float, float]:
-    """Risk on positives, and the corrected (perhaps negative) risk on negatives."""
-    return prior * softplus(-p_scores).mean(), softplus(u_scores).mean() - prior * softplus(p_scores).mean()
+def nnpu_risk(p_scores: np.ndarray, u_scores: np.ndarray, prior: float, p_shares: np.ndarray | None = None,
+              u_shares: np.ndarray | None = None) -> tuple[float, float]:
+    """Risk on positives, and the corrected (perhaps negative) risk on negatives.  Every text
+    counts the same, or by its share."""
+    mean = lambda x, shares: np.average(x, weights=shares)
+    return (prior * mean(softplus(-p_scores), p_shares),
+            mean(softplus(u_scores), u_shares) - prior * mean(softplus(p_scores), p_shares))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, rounds: int = 600,
-          rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def train(positive: Rows, unlabelled: Rows, width: int, prior: float, seed: int, rounds: int = 400,
+          rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """One linear classifier by Adam over a bootstrap draw of both sides."""
     rng = np.random.default_rng(seed)
-    p = positive[rng.integers(0, len(positive), len(positive))]
-    u = unlabelled[rng.integers(0, len(unlabelled), len(unlabelled))]
-    w, b = np.zeros(p.shape[1]), -1.0
-    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    drawn = lambda n: np.bincount(rng.integers(0, n, n), minlength=n) / n
+    sp, su = drawn(positive.texts), drawn(unlabelled.texts)
+    w, b = np.zeros(width), -1.0
+    first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, rounds + 1):
-        fp, fu = p @ w + b, u @ w + b
-        _, negative = nnpu_risk(fp, fu, prior)
-        gp, gu = -prior * sigmoid(-fp) / len(p), sigmoid(fu) / len(u)
+        fp, fu = positive.scores(w, b), unlabelled.scores(w, b)
+        _, negative = nnpu_risk(fp, fu, prior, sp, su)
+        gp, gu = -prior * sigmoid(-fp) * sp, sigmoid(fu) * su
         if negative >= 0:
-            gp = gp - prior * sigmoid(fp) / len(p)
+            gp = gp - prior * sigmoid(fp) * sp
         else:  # the corrected part alone, upwards
-            gp, gu = prior * sigmoid(fp) / len(p), -gu
-        g = np.append(p.T @ gp + u.T @ gu + decay * w, gp.sum() + gu.sum())
+            gp, gu = prior * sigmoid(fp) * sp, -gu
+        g = np.append(positive.gradient(gp, width) + unlabelled.gradient(gu, width) + decay * w, gp.sum() + gu.sum())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -109,23 +142,6 @@ def _sample_beginnings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"doc_id": frame["doc_id"], "positive": frame["positive"], "words": found})
 
 
-def cover(present: np.ndarray, positive: np.ndarray, apart: float = APART, least: int = LEAST) -> list[int]:
-    """Columns that tell positives from the rest, each judged by the positives that those
-    before it have left over."""
-    left, others, chosen = present[positive], np.count_nonzero(present[~positive], axis=0) / max(1, (~positive).sum()), []
-    while len(left) >= least:
-        mine = np.count_nonzero(left, axis=0) / len(left)
-        pooled = np.clip((mine * len(left) + others * (~positive).sum() + 1) / (len(positive) + 1), 1e-6, 0.999)
-        score = (mine - others) / np.sqrt(pooled * (1 - pooled) * (1 / len(left) + 1 / max(1, (~positive).sum())))
-        score[mine * len(left) < least] = 0
-        best = int(score.argmax())
-        if score[best] < apart:
-            break
-        chosen.append(best)
-        left = left[~left[:, best]]
-    return chosen
-
-
 def learned() -> Column:
     return remainder("doc_id", HELD_OUT_PARTS) != HELD_OUT
 
@@ -136,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     Held-out rows teach nothing.  Samples are drawn by a hash of the id, about
     ``positives`` and ``unlabelled`` texts whatever the input's size.  The prior is the
-    toxic share of the labels that may be learned from.  None where no confirmed toxic
+    toxic share of the labels that may be learned from, taken to be that of all documents,
+    which the unlabelled side is drawn from.  None where no confirmed toxic
     text is left to learn from.
     """
     usable = labels.where(learned()).where("toxic IS NOT NULL")
@@ -163,37 +180,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     both = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 1)
     apart = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(both * (1 - F.least(both, F.lit(0.999))) * (1 / n_p + 1 / n_u))
     top = rates.where(F.col("p") >= LEAST).withColumn("apart", apart).where(F.col("apart") >= APART)
-    listed = sorted(r["word"] for r in top.orderBy(F.desc("apart"), "word").limit(words).collect())
+    odds = F.log((F.col("p") + 0.5) / (n_p + 1)) - F.log((F.col("u") + 0.5) / (n_u + 1))
+    listed = {r["word"]: r["odds"] for r in top.withColumn("odds", odds).orderBy(F.desc("apart"), "word").limit(words).collect()}
     if not listed:
         return None
-    sent = {w: k for k, w in enumerate(listed)}
+    names = sorted(listed)
+    scale = np.clip([listed[w] for w in names], 0, MOST_ODDS) / (MOST_ODDS / 2)
+    sent = {w: k for k, w in enumerate(names)}
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def known(texts: pd.Series) -> pd.Series:
         """The places of what is there, and how much there is of each."""
-        def sparse(text):
-            full = values(words_of(text), sent)
-            there = np.nonzero(full)[0]
-            return np.concatenate([there, full[there]])
-
-        return texts.map(sparse)
+        return texts.map(lambda text: np.concatenate(values(words_of(text), sent)))
 
     found = sample.select("doc_id", "positive", F.xxhash64("text").alias("h"), known("text").alias("x")).toPandas()
     found = found.sort_values(["doc_id", "positive", "h"])  # any order of arrival, same training
     mask = found["positive"].to_numpy(bool)
-    present = np.zeros((len(found), len(listed)), bool)
-    for row, pairs in enumerate(found["x"]):
-        present[row, np.asarray(pairs[:len(pairs) // 2], int)] = True
-    kept = cover(present, mask)
-    if not kept:
-        return None
-    x, at = np.zeros((len(found), len(kept))), {k: n for n, k in enumerate(kept)}
-    for row, pairs in enumerate(found["x"]):
-        for k, value in zip(pairs[:len(pairs) // 2], pairs[len(pairs) // 2:]):
-            if int(k) in at:
-                x[row, at[int(k)]] = value
-    made = [train(x[mask], x[~mask], prior, seed) for seed in range(count)]
-    return Classifiers([listed[k] for k in kept], np.stack([w for w, _ in made]), np.array([b for _, b in made]))
+    sides = [Rows.of([np.asarray(x, float) for x in found["x"][chosen]], scale) for chosen in (mask, ~mask)]
+    made = [train(*sides, len(names), prior, seed) for seed in range(count)]
+    return Classifiers(names, np.stack([w * scale for w, _ in made], axis=1), np.array([b for _, b in made]))
 
 
 def score(docs: DataFrame, model: Classifiers | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,7 +217,8 @@ def score(docs: DataFrame, model: Classifiers | None, threshold: float = THRESHO
         at = {w: k for k, w in enumerate(model.words)}
         found = []
         for text in texts:
-            found.append(sigmoid(model.weights @ values(words_of(text), at) + model.bias).mean())
+            places, much = values(words_of(text), at)
+            found.append(sigmoid(much @ model.weights[places] + model.bias).mean())
         return pd.Series(found, dtype=float)
 
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]

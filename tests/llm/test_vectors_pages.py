@@ -197,6 +197,27 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_many_rare_stems(spark):
+    """Each toxic text holds two of forty stems, with endings that were not learned from."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    words, stems = [word(6) for _ in range(400)], ["q" + word(5) for _ in range(40)]
+    rows = []
+    for k in range(2400):
+        text = [rng.choice(words) + word(rng.randint(0, 2)) for _ in range(rng.randint(10, 60))]
+        if k % 8 == 0:
+            for stem in rng.sample(stems, 2):
+                text.insert(rng.randrange(len(text)), stem + word(3))
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = docs.where("doc_id % 3 > 0").selectExpr("doc_id", "int(doc_id % 8 = 0) AS toxic")
+    model = toxicity.fit(docs, known)
+    assert len(model.words) > 200
+    held = [r for r in toxicity.score(docs, model).collect() if r.held_out]
+    toxic, clean = [r for r in held if r.doc_id % 8 == 0], [r for r in held if r.doc_id % 8]
+    assert np.mean([r.predicted for r in toxic]) >= 0.8 and np.mean([r.predicted for r in clean]) <= 0.02
+
+
 # --- surrogates -----------------------------------------------------------------
 
 
