@@ -386,7 +386,8 @@ def _(spark, d):
 WITH {CELLS}, flat AS (SELECT i0 * 64 + i1 AS p, v FROM cells)
 SELECT p // 160 AS i0, p // 32 % 5 AS i1, p % 32 AS i2, v FROM flat""")
 def _(spark, d):
-    return rearranging.reshape(embeddings(spark, d), (-1, 5, 32)).df
+    """Any number of vectors: the last row may hold fewer than 160 elements."""
+    return rearranging.reshape(embeddings(spark, d), (-1, 5, 32), partial=True).df
 
 
 # --- pipelines ----------------------------------------------------------------

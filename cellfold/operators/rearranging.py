@@ -33,8 +33,9 @@ def transpose(cells: Cells, axes=None) -> Cells:
                     rows=lambda box: turned(cells.within(tuple(box[new] for new in back)).df))
 
 
-def reshaped(size: int, shape) -> tuple[int, ...]:
-    """The shape asked for, with one -1 worked out from the element count."""
+def reshaped(size: int, shape, partial: bool = False) -> tuple[int, ...]:
+    """The shape asked for, with one -1 worked out from the element count; rounded up where
+    the last places may stay without an element."""
     shape = [shape] if isinstance(shape, int) else list(shape)
     if not shape:
         raise ArgumentError("a shape is missing")
@@ -44,18 +45,20 @@ def reshaped(size: int, shape) -> tuple[int, ...]:
         raise ArgumentError("-1 appears at most once")
     known = element_count([n for n in shape if n != -1])
     if -1 in shape:
-        if known == 0 or size % known:
+        if known == 0 or size % known and not partial:
             raise ArgumentError(f"{size} elements leave no whole extent over {known}")
-        shape[shape.index(-1)] = size // known
+        shape[shape.index(-1)] = -(-size // known)
     elif known != size:
         raise ArgumentError(f"a shape of {known} elements for {size}")
     return tuple(shape)
 
 
-def reshape(cells: Cells, shape) -> Cells:
+def reshape(cells: Cells, shape, partial: bool = False) -> Cells:
     """The same elements in another shape.  A box of it needs one span of flat positions,
-    which is a box of the cells reshaped."""
-    target = reshaped(cells.size, shape)
+    which is a box of the cells reshaped.  With ``partial``, elements that do not come out
+    even over a -1 all stay: it is rounded up, and the frame has no rows for the places
+    after the last element."""
+    target = reshaped(cells.size, shape, partial)
     flat = flat_position(list(range(cells.rank)), cells.shape)
     axes = [c.alias(axis_name(k)) for k, c in enumerate(unravelled(F.col("_flat"), target))]
     laid_out = lambda df: df.select(flat.alias("_flat"), "v").select(*axes, "v")
@@ -64,6 +67,9 @@ def reshape(cells: Cells, shape) -> Cells:
         if not all(map(len, box)):
             return laid_out(cells.df.where(F.lit(False)))
         low, high = (sum(places[end] * stride for places, stride in zip(box, strides(target))) for end in (0, -1))
+        high = min(high, cells.size - 1)
+        if low > high:  # only places after the last element
+            return laid_out(cells.df.where(F.lit(False)))
         return laid_out(cells.within(spanned(low, high, cells.shape)).df)
 
     return cells.of(laid_out(cells.df), target, limit=cells.limit, rows=rows)

@@ -1,12 +1,13 @@
 """Array operations against numpy: shape, values and refusals."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellfold import ArgumentError
+from cellfold import ArgumentError, checks
 from cellfold.operators import elementwise as ew
 from cellfold.operators import folds, rearranging, running, selecting
 from conftest import cells_from, collect_cases, to_numpy
@@ -222,6 +223,33 @@ def test_rearranging(spark):
     run_cases(spark, cases)
 
 
+@pytest.mark.parametrize("vectors", [1, 5, 7])
+def test_reshape_query_of_any_number_of_vectors(spark, tmp_path, vectors):
+    """160 elements a row: 7 vectors fill two rows and 128 places of a third."""
+    array = np.arange(vectors * 64.0).reshape(vectors, 64)
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(array)], "vec_id long, embedding array<double>").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    got = checks.load()[0]["reshape"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(p // 160, p // 32 % 5, p % 32, float(p)) for p in range(vectors * 64)]
+
+
+def test_reshape_that_does_not_come_out_even(spark):
+    array = np.arange(10.0)
+    with pytest.raises(ArgumentError):
+        rearranging.reshape(cells_from(spark, array), (-1, 4))
+    for to, shape in (((-1, 4), (3, 4)), ((4, -1), (4, 3)), ((-1, 5), (2, 5)), ((3, -1, 2), (3, 2, 2))):
+        cells = rearranging.reshape(cells_from(spark, array), to, partial=True)
+        assert cells.shape == shape
+        want = [(*map(int, np.unravel_index(p, shape)), float(p)) for p in range(10)]
+        assert sorted(map(tuple, cells.df.collect())) == want
+        for box in itertools.product(*[[range(n), range(n - 1, n), range(n - 1)] for n in shape]):
+            held = lambda row: all(k in places for k, places in zip(row, box))
+            assert [r for r in sorted(map(tuple, cells.within(box).df.collect())) if held(r)] == list(filter(held, want))
+    for to in ((0, -1), (-1, -1), (3, 4)):
+        with pytest.raises(ArgumentError):
+            rearranging.reshape(cells_from(spark, array), to, partial=True)
+
+
 def golden_reshape(a, to):
     if any(n < -1 for n in to):
         raise ValueError
